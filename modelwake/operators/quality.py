@@ -55,11 +55,9 @@ def with_error_groups(
     if groups <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
     labelled = null_safe_join(scored, limits, list(by))
-    group = (
-        F.when(F.col("error") <= F.col("_limits")[0], UNDER)
-        .when(F.col("error") >= F.col("_limits")[1], OVER)
-        .otherwise(MAJORITY)
-    )
+    # Compared at nine places: interpolating between equal errors may leave a trace in the last bits.
+    error, low, high = (F.round(c, 9) for c in (F.col("error"), F.col("_limits")[0], F.col("_limits")[1]))
+    group = F.when(error <= low, UNDER).when(error >= high, OVER).otherwise(MAJORITY)
     return labelled.withColumn("error_group", group).drop("_limits")
 
 

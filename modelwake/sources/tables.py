@@ -98,11 +98,11 @@ def item_sales_labels(spark: SparkSession, folder: str) -> DataFrame:
     return spine.join(sold, ["article_id", "timestamp"], "left").fillna(0.0, ["sales"])
 
 
-def scored_events(spark: SparkSession, folder: str) -> DataFrame:
+def score_events(events: DataFrame) -> DataFrame:
     """The monitored series: ``value`` is the target; the error of ``prediction`` grows with time."""
     days = F.datediff(F.col("ts"), F.lit(SERIES_START))
     wobble = (F.col("event_id") % 11 - 5) * (F.lit(1.0) + F.lit(0.02) * days * days)
-    return table(spark, folder, "events").select(
+    return events.select(
         "event_id",
         "ts",
         "user_id",
@@ -114,6 +114,10 @@ def scored_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def scored_events(spark: SparkSession, folder: str) -> DataFrame:
+    return score_events(table(spark, folder, "events"))
+
+
 def reference_and_current(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return reference_current_split(scored_events(spark, folder), "ts", REFERENCE_END, CURRENT_END)
 
