@@ -10,12 +10,13 @@ from pyspark.sql import types as T
 
 from modelwake.functions import metrics as M
 from modelwake.operators import cohorts, drift, prepare, profile, quality, rolling, sampling, views
+from modelwake.operators.critical import poor_performance
 from modelwake.operators.ordered import asof_join
 from modelwake.operators.timewindows import calendar_split, interval_metric_buckets, ntz, plan_windows
 from modelwake.plans import features
 from modelwake.plans.monitoring import MonitoringRun
 from modelwake.roles import ColumnRoles, SemanticType, TaskType, TimeConfig
-from modelwake.session import scratch_path
+from modelwake.session import materialize, scratch_path
 from modelwake.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,15 +26,22 @@ NUMERIC = list(tables.NUMERIC_FEATURES)
 CATEGORICAL = list(tables.CATEGORICAL_FEATURES)
 
 
+TIE_SHIFT = 1.37e-8
+
+
 def query(make: Query) -> Query:
     QUERIES[make.__name__] = make
     return make
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of summation does not show; -0.0 becomes 0.0."""
+    """Doubles rounded, so that the order of summation does not show.
+
+    A value exactly between two steps would still show it, so all are moved by a
+    hundredth of the smallest step first. -0.0 becomes 0.0.
+    """
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in doubles})
+    return df.withColumns({c: F.round(F.col(c) + TIE_SHIFT, digits) + F.lit(0.0) for c in doubles})
 
 
 def run_of(spark: SparkSession, folder: str) -> MonitoringRun:
@@ -70,9 +78,8 @@ def reference_current_split(spark, folder):
 @query
 def monitor_window_quality(spark, folder):
     run = run_of(spark, folder)
-    limit = F.round(F.coalesce("r2_score", F.lit(0.0)), 3) < 0.7
     joined = run.windows.join(run.quality, "window_id", "left")
-    return rounded(joined.withColumn("poor_performance", limit))
+    return rounded(joined.withColumn("poor_performance", poor_performance()))
 
 
 @query
@@ -116,7 +123,7 @@ def window_reports(spark, folder):
     performance = [
         F.col("feature_performance")["k"][c].alias(f"k_{c}") for c in ("range", "majority_value", "under_value", "over_value")
     ]
-    scores = [F.round(F.col("drift_analysis.feature_scores")[c]["score"], 6).alias(f"{c}_score") for c in ("target", "prediction")]
+    scores = [F.round(F.col("drift_analysis.feature_scores")[c]["score"] + TIE_SHIFT, 6).alias(f"{c}_score") for c in ("target", "prediction")]
     return reports.select(
         "window_id", "metrics.*", *groups, *performance, *scores,
         F.array_join("drift_analysis.drifted_features", ",").alias("drifted"), "is_critical",
@@ -283,6 +290,11 @@ def _grain(spark, folder):
     return rolling.purchase_grain(tables.transactions(spark, folder))
 
 
+def _stored_grain(spark, folder):
+    """For queries that read the purchases several times."""
+    return materialize(_grain(spark, folder))
+
+
 def _rows(spark, folder) -> int:
     """Bound of purchase and label rows together."""
     return 2 * tables.row_count(spark, folder, "lineitem") + 100 * tables.row_count(spark, folder, "customer")
@@ -331,7 +343,7 @@ def asof_article(spark, folder):
     txns = tables.transactions(spark, folder)
     month_after = F.date_trunc("month", F.add_months("t_dat", 1)).cast("timestamp_ntz")
     pairs = txns.select("article_id", month_after.alias("timestamp")).distinct()
-    grain = rolling.purchase_grain(txns)
+    grain = _stored_grain(spark, folder)
     return rounded(features.items_at(pairs, grain, tables.articles(spark, folder), _rows(spark, folder)))
 
 
@@ -339,7 +351,7 @@ def asof_article(spark, folder):
 def week_bucket_aggs(spark, folder):
     return rounded(
         features.week_buckets(
-            tables.churn_labels(spark, folder), _grain(spark, folder), tables.articles(spark, folder), _rows(spark, folder)
+            tables.churn_labels(spark, folder), _stored_grain(spark, folder), tables.articles(spark, folder), _rows(spark, folder)
         )
     )
 
@@ -680,10 +692,10 @@ def class_shares(spark, folder):
 def recommendations(spark, folder):
     """Findings of the monitoring run, each with its action."""
     run = run_of(spark, folder)
-    shifts = run.feature_drift(only_critical=False).groupBy("window_id").agg(F.max("detected").alias("drifted"))
+    shifts = run.feature_drift(only_critical=False).groupBy("window_id").agg(F.max("detected").alias("shifted"))
     joined = run.flags.join(shifts, "window_id", "left")
     finding = (
-        F.when(F.col("drifted"), "data_drift").when(F.col("is_critical"), "concept_drift").otherwise("stable")
+        F.when(F.col("shifted"), "data_drift").when(F.col("is_critical"), "concept_drift").otherwise("stable")
     )
     return cohorts.recommend(joined.select("window_id", finding.alias("finding")))
 

@@ -66,12 +66,11 @@ def category_stages(columns: Sequence[str], one_hot: bool = True) -> list:
         ),
     ]
     if one_hot:
-        # "keep" adds a last slot for unseen values; dropLast removes exactly that slot.
+        # The indexer gives unseen values a last index of their own; dropLast removes its slot.
         stages.append(
             OneHotEncoder(
                 inputCols=[f"{c}_index" for c in columns],
                 outputCols=[f"{c}_hot" for c in columns],
-                handleInvalid="keep",
                 dropLast=True,
             )
         )

@@ -11,9 +11,14 @@ from modelwake.operators.quality import ERROR_GROUPS
 R2_LIMIT = 0.7
 
 
+def reported(value: Column, digits: int) -> Column:
+    """Half-up rounding of the decimal value. The first step drops the noise of the last bits."""
+    return F.round(F.round(value, 9), digits)
+
+
 def poor_performance(r2_score: str = "r2_score") -> Column:
     """A missing r2 counts as 0, as in the performance series."""
-    return F.round(F.coalesce(F.col(r2_score), F.lit(0.0)), 3) < R2_LIMIT
+    return reported(F.coalesce(F.col(r2_score), F.lit(0.0)), 3) < R2_LIMIT
 
 
 def flag_windows(windows: DataFrame, quality: DataFrame, drifted: DataFrame) -> DataFrame:
@@ -60,16 +65,16 @@ def window_reports(
     metrics = quality.select(
         "window_id",
         F.struct(
-            F.round(F.coalesce("r2_score", F.lit(0.0)), 3).alias("r2_score"),
-            *[F.round(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in ("rmse", "mean_error", "error_std")],
+            reported(F.coalesce("r2_score", F.lit(0.0)), 3).alias("r2_score"),
+            *[reported(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in ("rmse", "mean_error", "error_std")],
         ).alias("metrics"),
     )
 
     def group_struct(name: str) -> Column:
         mine = F.col("error_group") == name
         return F.struct(
-            F.round(F.coalesce(F.max(F.when(mine, F.col("mean_error"))), F.lit(0.0)), 2).alias("mean"),
-            F.round(F.coalesce(F.max(F.when(mine, F.col("std_error"))), F.lit(0.0)), 2).alias("std"),
+            reported(F.coalesce(F.max(F.when(mine, F.col("mean_error"))), F.lit(0.0)), 2).alias("mean"),
+            reported(F.coalesce(F.max(F.when(mine, F.col("std_error"))), F.lit(0.0)), 2).alias("std"),
         ).alias(name)
 
     distribution = groups.groupBy("window_id").agg(
@@ -87,8 +92,8 @@ def window_reports(
                     F.struct(
                         "feature",
                         F.struct(
-                            F.round(F.coalesce("range", F.lit(0.0)), 2).alias("range"),
-                            *[F.round(F.coalesce(c, F.lit(0.0)), 3).alias(c) for c in ("majority_value", "under_value", "over_value")],
+                            reported(F.coalesce("range", F.lit(0.0)), 2).alias("range"),
+                            *[reported(F.coalesce(c, F.lit(0.0)), 3).alias(c) for c in ("majority_value", "under_value", "over_value")],
                         ).alias("v"),
                     )
                 )

@@ -33,20 +33,22 @@ DATASET_SHARE = 0.5
 def numeric_long(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Rows (keys, feature, x) with x double, nulls left out."""
     numbers = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features])
-    return numbers.unpivot(list(keys), list(features), "feature", "x").where(F.col("x").isNotNull())
+    long = numbers.unpivot(list(keys), list(features), "feature", "x")
+    return long.where(F.col("feature").isNotNull() & F.col("x").isNotNull())
 
 
 def category_long(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Rows (keys, feature, value) with value text, nulls left out."""
     texts = df.select(*keys, *[F.col(f).cast("string").alias(f) for f in features])
-    return texts.unpivot(list(keys), list(features), "feature", "value").where(F.col("value").isNotNull())
+    long = texts.unpivot(list(keys), list(features), "feature", "value")
+    return long.where(F.col("feature").isNotNull() & F.col("value").isNotNull())
 
 
 def counted(long: DataFrame) -> DataFrame:
     return long.groupBy(*long.columns).agg(F.count("*").alias("n"))
 
 
-def _positions(reference: DataFrame, current: DataFrame, features: Sequence[str], rows: int, split_above: int) -> DataFrame:
+def _positions(reference: DataFrame, current: DataFrame, features: Sequence[str], rows: int, split_above: int) -> tuple[DataFrame, DataFrame]:
     """Every distinct current value with the running counts of its window and of the reference.
 
     ``rows`` bounds the long rows of both sides together.
@@ -55,7 +57,8 @@ def _positions(reference: DataFrame, current: DataFrame, features: Sequence[str]
     cur = counted(numeric_long(current, features, [WINDOW]))
     pool = (
         ref.withColumnRenamed("n", "rn")
-        .unionByName(cur.select("feature", "x", F.lit(0).cast("long").alias("rn")))
+        # Written as a function of n, the zero keeps the count in use: both readers of ``cur`` share one shuffle.
+        .unionByName(cur.select("feature", "x", F.least("n", F.lit(0)).alias("rn")))
         .groupBy("feature", "x")
         .agg(F.sum("rn").alias("rn"))
         .withColumn("rs", F.col("rn") * F.col("x"))
@@ -65,6 +68,7 @@ def _positions(reference: DataFrame, current: DataFrame, features: Sequence[str]
         "x",
         "rn",
         F.col("tot_rn").alias("n_ref"),
+        (F.col("tot_rs") / F.col("tot_rn")).alias("ref_mean"),
         F.col("cum_rn").alias("ref_rank"),
         (F.col("cum_rn") / F.col("tot_rn")).alias("ref_cdf"),
         ((F.col("cum_rn") - F.col("rn")) / F.col("tot_rn")).alias("ref_cdf_before"),
@@ -131,7 +135,9 @@ def wasserstein(reference: DataFrame, current: DataFrame, features: Sequence[str
     found = looked.groupBy(WINDOW, "feature").agg(
         F.sum(area + tail).alias("distance"), F.max("tot_n").alias("n_cur"), F.max("n_ref").alias("n_ref")
     )
-    spread = numeric_long(reference, features).groupBy("feature").agg(F.stddev_pop("x").alias("ref_std"))
+    spread = ranked.groupBy("feature").agg(
+        F.sqrt(F.sum(F.col("rn") * F.pow(F.col("x") - F.col("ref_mean"), 2)) / F.max("n_ref")).alias("ref_std")
+    )
     joined = found.join(bounded_broadcast(spread, len(features)), "feature")
     return joined.select(
         WINDOW, "feature", "n_cur", "n_ref",
@@ -264,7 +270,7 @@ def choose_methods(
     """
     columns = [*numeric, *categorical]
     row = reference.agg(
-        F.count("*").alias("n"), *[F.approx_count_distinct(c, 0.01).alias(f"d{i}") for i, c in enumerate(columns)]
+        F.count("*").alias("n"), *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)]
     ).first()
     chosen = {}
     for i, c in enumerate(columns):

@@ -105,10 +105,13 @@ class WindowPlan:
             .withColumn("_guess", guess)
             .withColumn("_first", F.greatest(first.otherwise(g + 1), F.lit(0)))
             .withColumn("_last", F.least(last.otherwise(g - 1), F.lit(self.count - 1)))
-            .where(F.col("_first") <= F.col("_last"))
         )
-        ids = F.sequence((F.col("_first") + 1).cast("int"), (F.col("_last") + 1).cast("int"))
-        return located.select(*df.columns, F.explode(ids).alias("window_id"))
+        # A row is in one window, or in two neighbours. The test sits behind the explode,
+        # where the optimizer does not copy the arithmetic into a filter.
+        one = F.when(F.col("_first") <= F.col("_last"), F.col("_first") + 1).cast("int")
+        two = F.when(F.col("_first") < F.col("_last"), F.col("_last") + 1).cast("int")
+        placed = located.select(*df.columns, F.explode(F.array(one, two)).alias("window_id"))
+        return placed.where(F.col("window_id").isNotNull())
 
 
 def window_unit(span: timedelta) -> timedelta:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from modelwake.operators import critical, drift, profile, quality
 from modelwake.operators.timewindows import WindowPlan, plan_windows
-from modelwake.session import bounded_broadcast
+from modelwake.session import bounded_broadcast, materialize
 from modelwake.sources.files import as_json
 
 
@@ -74,7 +74,8 @@ class MonitoringRun:
 
     @cached_property
     def flags(self) -> DataFrame:
-        return critical.flag_windows(self.windows, self.quality, drift.drifted_names(self.target_drift))
+        """One stored row per window: every later step reads it instead of repeating the drift tests."""
+        return materialize(critical.flag_windows(self.windows, self.quality, drift.drifted_names(self.target_drift)))
 
     @property
     def summary(self) -> DataFrame:

@@ -43,9 +43,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return the stored rows."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and return the stored rows.
+
+    Parquet rather than an RDD checkpoint: later readers prune columns, and the
+    lineage ends at a file that outlives every executor.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:

@@ -11,7 +11,12 @@ ORACLE: dict[str, str] = {}
 
 
 def r(expression: str, name: str, digits: int = 6) -> str:
-    return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0 AS {name}"
+    """Rounded like the Spark side: moved off exact ties, -0.0 made 0.0."""
+    return f"round(CAST({expression} AS DOUBLE) + 1.37e-8::DOUBLE, {digits}) + 0.0 AS {name}"
+
+
+def reported(expression: str, name: str, digits: int) -> str:
+    return f"CAST(round(CAST({expression} AS DECIMAL(28, 9)), {digits}) AS DOUBLE) + 0.0 AS {name}"
 
 
 def with_(ctes: list[str], body: str) -> str:
@@ -138,7 +143,7 @@ def pooled(columns: list[str], source: str = "asg", key: str = "window_id") -> l
 
 
 KS_P = """CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(least(list_sum(list_transform(range(1, 101),
-  i -> (CASE WHEN i % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END) * exp(-2.0::DOUBLE * i * i * lam * lam))), 1), 0) END"""
+  lambda i: (CASE WHEN i % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END) * exp(-2.0::DOUBLE * i * i * lam * lam))), 1), 0) END"""
 FOUR = ["k", "hour", "target", "prediction"]
 ORACLE["ks_by_window"] = with_(
     [
@@ -189,7 +194,7 @@ ORACLE["chi2_by_window"] = with_(
 def erfc(x: str) -> str:
     """Power series; far in the tail the value is 0 at six places."""
     return f"""CASE WHEN {x} > 4.5 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 100),
-      i -> (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * pow(({x})::DOUBLE, 2 * i + 1) / (gamma(i + 1.0) * (2 * i + 1)))) END"""
+      lambda i: (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * pow(({x})::DOUBLE, 2 * i + 1) / (gamma(i + 1.0) * (2 * i + 1)))) END"""
 
 
 ORACLE["z_by_window"] = with_(
@@ -223,8 +228,8 @@ def binned(columns: list[str], source: str = "asg", key: str = "window_id") -> l
         f"rl AS ({long('ref', columns)})",
         f"cl AS ({long(source, columns, key + ' AS wid,')})",
         "ed AS (SELECT feature, quantile_cont(x, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS e FROM rl GROUP BY 1)",
-        "rb AS (SELECT feature, len(list_filter(e, v -> v <= x)) AS bin, count(*) AS n FROM rl JOIN ed USING (feature) GROUP BY ALL)",
-        "cb AS (SELECT wid, feature, len(list_filter(e, v -> v <= x)) AS bin, count(*) AS n FROM cl JOIN ed USING (feature) GROUP BY ALL)",
+        "rb AS (SELECT feature, len(list_filter(e, lambda v: v <= x)) AS bin, count(*) AS n FROM rl JOIN ed USING (feature) GROUP BY ALL)",
+        "cb AS (SELECT wid, feature, len(list_filter(e, lambda v: v <= x)) AS bin, count(*) AS n FROM cl JOIN ed USING (feature) GROUP BY ALL)",
         "rt AS (SELECT feature, sum(n) AS n_ref FROM rb GROUP BY 1)",
         "ct AS (SELECT wid, feature, sum(n) AS n_cur FROM cb GROUP BY 1, 2)",
         """bq AS (SELECT ct.wid, ct.feature, n_cur, n_ref, greatest(coalesce(rb.n, 0) / n_ref::DOUBLE, 1e-4::DOUBLE) AS p,
@@ -291,13 +296,13 @@ def _group_value(g: str, c: str) -> str:
 ORACLE["window_reports"] = with_(
     [*FLAGGED, *GROUPS, BIAS],
     "SELECT fl.window_id, "
-    + r("coalesce(fl.r2_score, 0)", "r2_score", 3) + ", "
-    + ", ".join(r(f"coalesce({c}, 0)", c, 2) for c in ("rmse", "mean_error", "error_std")) + ", "
+    + reported("coalesce(fl.r2_score, 0)", "r2_score", 3) + ", "
+    + ", ".join(reported(f"coalesce({c}, 0)", c, 2) for c in ("rmse", "mean_error", "error_std")) + ", "
     + ", ".join(
-        f"{r(f'coalesce({_group_value(g, fn)}, 0)', f'{g}_{m}', 2)}"
+        f"{reported(f'coalesce({_group_value(g, fn)}, 0)', f'{g}_{m}', 2)}"
         for g in ("majority", "underestimation", "overestimation") for m, fn in (("mean", "avg"), ("std", "stddev_samp"))
     ) + ", "
-    + ", ".join(r(f"coalesce({c}, 0)", f"k_{c}", d) for c, d in (("range", 2), ("majority_value", 3), ("under_value", 3), ("over_value", 3)))
+    + ", ".join(reported(f"coalesce({c}, 0)", f"k_{c}", d) for c, d in (("range", 2), ("majority_value", 3), ("under_value", 3), ("over_value", 3)))
     + f", {r('t.score', 'target_score')}, {r('p.score', 'prediction_score')}, drifted, is_critical"
     + """ FROM fl JOIN qual ON qual.window_id = fl.window_id JOIN bias ON bias.window_id = fl.window_id AND bias.feature = 'k'
        JOIN td t ON t.window_id = fl.window_id AND t.feature = 'target' JOIN td p ON p.window_id = fl.window_id AND p.feature = 'prediction'""",
@@ -501,7 +506,7 @@ WEEK = [
          count(DISTINCT article_id) AS num_unique_articles_purchased, avg(sales_channel_id - 1) AS prop_sales_channel_2,
          avg(amount) AS avg_monthly_sales_amount, avg(cnt) AS avg_monthly_sales_count, avg(days) AS avg_days_since_last_sale FROM rich GROUP BY 1, 2, 3)""",
     *[
-        f"""wm{i} AS (SELECT customer_id, timestamp, w, {a} AS v FROM hit JOIN art USING (article_id) GROUP BY ALL
+        f"""wm{i} AS (SELECT customer_id, timestamp, w, {a} AS v FROM hit JOIN art USING (article_id) GROUP BY 1, 2, 3, 4
               QUALIFY row_number() OVER (PARTITION BY customer_id, timestamp, w ORDER BY count(*) DESC, {a}) = 1)"""
         for i, (a, _) in enumerate(ATTRS)
     ],
@@ -789,7 +794,7 @@ ORACLE["ranking_metrics"] = with_(
     [EV, "rk AS (SELECT user_id, CAST(event_type = 'purchase' AS INTEGER) AS rel, row_number() OVER (PARTITION BY user_id ORDER BY target DESC, event_id) AS k FROM ev)",
      """ag AS (SELECT user_id, sum(rel) AS n_relevant, sum(rel) FILTER (k <= 10) AS hits, sum(rel / log2(k + 1)) FILTER (k <= 10) AS dcg FROM rk GROUP BY 1)"""],
     f"""SELECT user_id, CAST(n_relevant AS BIGINT) AS n_relevant, {r('hits / 10.0::DOUBLE', 'precision_at_k')}, {r('hits::DOUBLE / nullif(n_relevant, 0)', 'recall_at_k')},
-        {r('''CASE WHEN n_relevant > 0 THEN dcg / list_sum(list_transform(range(1, CAST(least(n_relevant, 10) + 1 AS BIGINT)), i -> 1 / log2(i + 1))) ELSE 0 END''', 'ndcg_at_k')} FROM ag""",
+        {r('''CASE WHEN n_relevant > 0 THEN dcg / list_sum(list_transform(range(1, CAST(least(n_relevant, 10) + 1 AS BIGINT)), lambda i: 1 / log2(i + 1))) ELSE 0 END''', 'ndcg_at_k')} FROM ag""",
 )
 ORACLE["calibration"] = with_(
     [DOC, "cb AS (SELECT CAST(least(floor(score * 10) + 1, 10) AS INTEGER) AS bin, count(*) AS n_rows, avg(score) AS ms, avg(y) AS ml FROM doc GROUP BY 1)"],
