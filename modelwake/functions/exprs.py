@@ -14,6 +14,21 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of the rows with both values; null when one of them is constant.
+
+    The built-in one divides by zero there, an error in ANSI mode.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
+def slope(y: Column, x: Column) -> Column:
+    """Slope of the least-squares line; null when ``x`` is constant."""
+    return F.try_divide(F.covar_pop(y, x), F.var_pop(F.when(y.isNotNull(), x)))
+
+
 def micros_between(start: str, end: str) -> Column:
     """Microseconds from column ``start`` to column ``end``."""
     return F.expr(f"timestampdiff(MICROSECOND, `{start}`, `{end}`)")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelwake.functions.exprs import bucket_of, chi2_tail, normal_two_sided, ratio
+from modelwake.functions.exprs import bucket_of, chi2_tail, correlation, normal_two_sided, ratio, slope
 from modelwake.functions.metrics import confusion, with_rates
 from modelwake.operators.drift import binned_divergence, jensen_shannon, ks
 
@@ -76,8 +76,8 @@ def drop_pattern(series: DataFrame, value: str) -> DataFrame:
         F.max("_drop").alias("largest_drop"),
         F.max_by("window_id", F.struct("_drop", -F.col("window_id"))).alias("drop_window"),
         (F.max(value) - F.min(value)).alias("value_range"),
-        F.regr_slope(value, F.col("window_id").cast("double")).alias("slope"),
-        F.pow(F.corr(value, F.col("window_id").cast("double")), 2).alias("fit"),
+        slope(F.col(value), F.col("window_id").cast("double")).alias("slope"),
+        F.pow(correlation(F.col(value), F.col("window_id").cast("double")), 2).alias("fit"),
     )
     sudden = F.coalesce(ratio(F.col("largest_drop"), F.col("value_range")) >= SUDDEN_SHARE, F.lit(False))
     gradual = F.coalesce((F.col("slope") < 0) & (F.col("fit") >= GRADUAL_FIT), F.lit(False))
@@ -223,8 +223,9 @@ def confidence_band(score: str, bands: int = 10) -> Column:
 def fairness_rates(df: DataFrame, y: str, p: str, group: str) -> DataFrame:
     """Error and selection rates per group, and each group's predicted share over the largest one."""
     rates = with_rates(confusion(df, y, p, [group]))
-    best = F.max("predicted_positive_rate").over(Window.partitionBy(F.lit(1)))
-    return rates.select(
+    top = rates.agg(F.max("predicted_positive_rate").alias("_best"))
+    best = F.col("_best")
+    return rates.crossJoin(F.broadcast(top)).select(  # one row
         group, "false_negative_rate", "false_positive_rate", "selection_rate", "predicted_positive_rate",
         ratio(F.col("predicted_positive_rate"), best).alias("parity_ratio"),
     )

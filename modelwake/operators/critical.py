@@ -10,6 +10,8 @@ from modelwake.operators.quality import ERROR_GROUPS
 #: A window is poor when its r2, rounded to three places, is below this.
 R2_LIMIT = 0.7
 
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 
 def reported(value: Column, digits: int) -> Column:
     """Half-up rounding of the decimal value. The first step drops the noise of the last bits."""
@@ -107,8 +109,8 @@ def window_reports(
     return joined.select(
         "window_id",
         F.struct(
-            F.coalesce(F.col("window_start").cast("string"), unknown).alias("start"),
-            F.coalesce(F.col("window_end").cast("string"), unknown).alias("end"),
+            F.coalesce(F.date_format("window_start", ISO), unknown).alias("start"),
+            F.coalesce(F.date_format("window_end", ISO), unknown).alias("end"),
         ).alias("time_range"),
         "metrics",
         "error_distribution",

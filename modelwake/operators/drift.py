@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwake.functions.exprs import bucket_of, chi2_tail, ks_tail, normal_two_sided, ratio
+from modelwake.functions.exprs import bucket_of, chi2_tail, correlation, ks_tail, normal_two_sided, ratio
 from modelwake.operators.ordered import SPLIT_ROWS, asof_join, exact_percentiles, running_totals
 from modelwake.session import bounded_broadcast
 
@@ -358,7 +358,7 @@ def concept_shift(reference: DataFrame, current: DataFrame, features: Sequence[s
     """Correlation of each feature with the target per window, less that of the reference."""
 
     def correlations(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-        wide = df.groupBy(*keys).agg(*[F.corr(F.col(f).cast("double"), F.col(target).cast("double")).alias(f) for f in features])
+        wide = df.groupBy(*keys).agg(*[correlation(F.col(f).cast("double"), F.col(target).cast("double")).alias(f) for f in features])
         return wide.unpivot(list(keys), list(features), "feature", name)
 
     ref = correlations(reference, [], "ref_corr")
