@@ -139,22 +139,18 @@ def interval_metrics(spark, folder):
 # ---------------------------------------------------------------- drift
 
 
-def _long_rows(run: MonitoringRun, columns: int) -> int:
-    return run.rows * columns
-
-
 @query
 def ks_by_window(spark, folder):
     run = run_of(spark, folder)
     columns = [*NUMERIC, "target", "prediction"]
-    return rounded(drift.ks(run.reference, run.assigned, columns, _long_rows(run, 4)))
+    return rounded(drift.ks(run.reference, run.assigned, columns, run.rows))
 
 
 @query
 def wasserstein_by_window(spark, folder):
     run = run_of(spark, folder)
     columns = [*NUMERIC, "target", "prediction"]
-    return rounded(drift.wasserstein(run.reference, run.assigned, columns, _long_rows(run, 4)))
+    return rounded(drift.wasserstein(run.reference, run.assigned, columns, run.rows))
 
 
 @query
@@ -182,13 +178,13 @@ def js_by_window(spark, folder):
 @query
 def psi_by_window(spark, folder):
     run = run_of(spark, folder)
-    return rounded(drift.binned_divergence(run.reference, run.assigned, NUMERIC, _long_rows(run, 2)).drop("kl"))
+    return rounded(drift.binned_divergence(run.reference, run.assigned, NUMERIC, run.rows).drop("kl"))
 
 
 @query
 def kl_by_window(spark, folder):
     run = run_of(spark, folder)
-    return rounded(drift.binned_divergence(run.reference, run.assigned, NUMERIC, _long_rows(run, 2)).drop("psi"))
+    return rounded(drift.binned_divergence(run.reference, run.assigned, NUMERIC, run.rows).drop("psi"))
 
 
 @query
@@ -273,7 +269,7 @@ def feature_histogram(spark, folder):
 def outlier_counts(spark, folder):
     run = run_of(spark, folder)
     stacked = profile.stack(run.reference, run.assigned)
-    return profile.outlier_counts(stacked, ["target", "prediction"], _long_rows(run, 2))
+    return profile.outlier_counts(stacked, ["target", "prediction"], run.rows)
 
 
 @query
@@ -295,11 +291,6 @@ def _stored_grain(spark, folder):
     return materialize(_grain(spark, folder))
 
 
-def _rows(spark, folder) -> int:
-    """Bound of purchase and label rows together."""
-    return 2 * tables.row_count(spark, folder, "lineitem") + 100 * tables.row_count(spark, folder, "customer")
-
-
 @query
 def churn_labels(spark, folder):
     return tables.churn_labels(spark, folder)
@@ -335,7 +326,7 @@ def asof_customer(spark, folder):
     labels = tables.churn_labels(spark, folder).select("customer_id", "timestamp")
     stats = rolling.customer_running_stats(_grain(spark, folder))
     values = [c for c in stats.columns if c not in ("customer_id", "t_dat")]
-    return rounded(asof_join(labels, stats, "customer_id", "timestamp", "t_dat", values, _rows(spark, folder)))
+    return rounded(asof_join(labels, stats, "customer_id", "timestamp", "t_dat", values, features.CALENDAR_ROWS))
 
 
 @query
@@ -344,14 +335,14 @@ def asof_article(spark, folder):
     month_after = F.date_trunc("month", F.add_months("t_dat", 1)).cast("timestamp_ntz")
     pairs = txns.select("article_id", month_after.alias("timestamp")).distinct()
     grain = _stored_grain(spark, folder)
-    return rounded(features.items_at(pairs, grain, tables.articles(spark, folder), _rows(spark, folder)))
+    return rounded(features.items_at(pairs, grain, tables.articles(spark, folder), features.CALENDAR_ROWS))
 
 
 @query
 def week_bucket_aggs(spark, folder):
     return rounded(
         features.week_buckets(
-            tables.churn_labels(spark, folder), _stored_grain(spark, folder), tables.articles(spark, folder), _rows(spark, folder)
+            tables.churn_labels(spark, folder), _stored_grain(spark, folder), tables.articles(spark, folder), features.CALENDAR_ROWS
         )
     )
 
@@ -364,7 +355,6 @@ def churn_features(spark, folder):
             tables.transactions(spark, folder),
             tables.articles(spark, folder),
             tables.customers(spark, folder),
-            _rows(spark, folder),
         )
     )
 
@@ -377,7 +367,6 @@ def item_sales_features(spark, folder):
             tables.transactions(spark, folder),
             tables.articles(spark, folder),
             tables.customers(spark, folder),
-            _rows(spark, folder),
         )
     )
 
@@ -575,7 +564,7 @@ def cohort_rank(spark, folder):
 @query
 def cohort_shift(spark, folder):
     run = run_of(spark, folder)
-    return rounded(cohorts.cohort_shift(run.reference, run.current, "event_type", NUMERIC, [], _long_rows(run, 2)))
+    return rounded(cohorts.cohort_shift(run.reference, run.current, "event_type", NUMERIC, [], run.rows))
 
 
 @query

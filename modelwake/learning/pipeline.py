@@ -33,7 +33,7 @@ def numeric_scaling(df: DataFrame, columns: Sequence[str], rows: int) -> dict[st
     """
     medians = {
         r["feature"]: r["q"][0]
-        for r in exact_percentiles(numeric_long(df, columns), ["feature"], "x", [0.5], rows * len(columns)).collect()
+        for r in exact_percentiles(numeric_long(df, columns), ["feature"], "x", [0.5], rows).collect()
     }
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians.get(c, 0.0)))) for c in columns}
     moments = df.agg(

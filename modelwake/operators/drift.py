@@ -51,7 +51,7 @@ def counted(long: DataFrame) -> DataFrame:
 def _positions(reference: DataFrame, current: DataFrame, features: Sequence[str], rows: int, split_above: int) -> tuple[DataFrame, DataFrame]:
     """Every distinct current value with the running counts of its window and of the reference.
 
-    ``rows`` bounds the long rows of both sides together.
+    ``rows`` bounds the rows of both sides together, for one feature.
     """
     ref = counted(numeric_long(reference, features))
     cur = counted(numeric_long(current, features, [WINDOW]))
@@ -145,36 +145,42 @@ def wasserstein(reference: DataFrame, current: DataFrame, features: Sequence[str
     )
 
 
-def _category_shares(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Counts of every category seen in a window, next to its count in the reference."""
+def _category_counts(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Counts of every category seen in a window, next to its count in the reference; and the window counts alone."""
     ref = counted(category_long(reference, features)).withColumnRenamed("n", "rn")
     ref_totals = ref.groupBy("feature").agg(F.sum("rn").alias("n_ref"), F.count("*").alias("k_ref"))
     cur = counted(category_long(current, features, [WINDOW]))
-    cur_totals = cur.groupBy(WINDOW, "feature").agg(F.sum("n").alias("n_cur"))
-    return (
+    both = (
         cur.join(ref, ["feature", "value"], "left")
-        .join(cur_totals, [WINDOW, "feature"])
         .join(bounded_broadcast(ref_totals, len(features)), "feature")
         .withColumn("rn", F.coalesce("rn", F.lit(0)))
     )
+    return both, cur
+
+
+def _category_shares(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The counts with the window totals. The totals are few; AQE broadcasts them on their measured size."""
+    both, cur = _category_counts(reference, current, features)
+    totals = cur.groupBy(WINDOW, "feature").agg(F.sum("n").alias("n_cur"))
+    return both.join(totals, [WINDOW, "feature"])
 
 
 def chi_square(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
     """Goodness of fit to the reference shares; a category new to the reference gives p = 0.
 
-    A reference category missing from the window adds its expected count, and the
-    expected counts add up to the window size, so present categories are enough.
+    Expected counts add up to the window size, so the statistic is
+    sum(n * n / share) / N - N: categories missing from the window add nothing to it.
     """
-    shares = _category_shares(reference, current, features)
-    expected = F.when(F.col("rn") > 0, F.col("n_cur") * F.col("rn") / F.col("n_ref"))
+    shares, _ = _category_counts(reference, current, features)
+    seen = F.when(F.col("rn") > 0, F.col("n"))
     found = shares.groupBy(WINDOW, "feature").agg(
-        F.max("n_cur").alias("n_cur"),
+        F.sum("n").alias("n_cur"),
         F.max("n_ref").alias("n_ref"),
         F.max("k_ref").alias("k_ref"),
         F.count_if(F.col("rn") == 0).alias("new_categories"),
-        F.sum((F.col("n") - expected) * (F.col("n") - expected) / expected - expected).alias("seen"),
+        F.sum(seen * F.col("n") * F.col("n_ref") / F.col("rn")).alias("squares"),
     )
-    statistic = F.coalesce(F.col("seen"), F.lit(0.0)) + F.col("n_cur")
+    statistic = F.col("squares") / F.col("n_cur") - F.col("n_cur")
     df = (F.col("k_ref") - 1).cast("int")
     return found.select(
         WINDOW, "feature", "n_cur", "n_ref", "new_categories",

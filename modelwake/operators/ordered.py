@@ -1,9 +1,10 @@
 """Ordered operators that stay distributed when one group holds most of the rows.
 
 Running totals, exact percentiles and as-of joins all need rows in order inside a
-group. A plain window puts a whole group into one task. Above ``split_above`` rows
-the operators therefore cut the ordered rows of every group into ranges, work
-inside each range, and carry one small row per (group, range) across ranges.
+group. A plain window puts a whole group into one task. Callers state an upper bound
+``rows`` for the rows of any one group. Above ``split_above`` the operators cut the
+ordered rows of every group into ranges, work inside each range, and carry one small
+row per (group, range) across ranges.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from modelwake.operators.joins import same_keys
 from modelwake.session import materialize
 
-#: Row count up to which a plain window per group is used.
+#: Rows of one group up to which a plain window is used.
 SPLIT_ROWS = 5_000_000
 
 _PART = "_part"
@@ -45,7 +46,7 @@ def running_totals(
     """Add ``cum_m`` (inclusive running sum) and ``tot_m`` (group sum) for every measure.
 
     ``prev_c`` holds column c of the row before, for every c in ``previous``.
-    ``df`` must hold each (group, order) once; ``rows`` is an upper bound of its size.
+    ``df`` must hold each (group, order) once.
     """
     group = list(group)
     if rows <= split_above:
@@ -139,7 +140,7 @@ def asof_join(
 
     Backward takes the latest fact before the spine row (``strict``) or up to it;
     forward takes the earliest fact after it or from it on. ``facts`` must hold each
-    (key, time) once; ``rows`` bounds the rows of both sides together.
+    (key, time) once; ``rows`` bounds the facts and spine rows of one key together.
     """
     spine_first = strict == backward
     spine_rank, fact_rank = (0, 1) if spine_first else (1, 0)

@@ -41,7 +41,7 @@ class MonitoringRun:
 
     @property
     def rows(self) -> int:
-        """Bound of assigned plus reference rows; a border row counts twice."""
+        """Bound of assigned plus reference rows, and so of any group; a border row counts twice."""
         return 2 * self.plan.rows + self.reference_rows
 
     @cached_property
@@ -70,7 +70,7 @@ class MonitoringRun:
     def target_drift(self) -> DataFrame:
         """Drift of target and prediction, every window against the whole reference."""
         columns = [self.target, self.prediction]
-        return drift.drift_table(self.reference, self.assigned, columns, [], 2 * self.rows)
+        return drift.drift_table(self.reference, self.assigned, columns, [], self.rows)
 
     @cached_property
     def flags(self) -> DataFrame:
@@ -89,15 +89,13 @@ class MonitoringRun:
 
     def feature_drift(self, only_critical: bool = True) -> DataFrame:
         rows = self.critical_rows if only_critical else self.assigned
-        bound = self.rows * (len(self.numeric) + len(self.categorical))
-        return drift.drift_table(self.reference, rows, self.numeric, self.categorical, bound)
+        return drift.drift_table(self.reference, rows, self.numeric, self.categorical, self.rows)
 
     def _stacked(self, only_critical: bool) -> DataFrame:
         return profile.stack(self.reference, self.critical_rows if only_critical else self.assigned)
 
     def numeric_profile(self, only_critical: bool = True) -> DataFrame:
-        bound = self.rows * len(self.numeric)
-        return profile.numeric_profile(self._stacked(only_critical), self.numeric, bound)
+        return profile.numeric_profile(self._stacked(only_critical), self.numeric, self.rows)
 
     def category_profile(self, only_critical: bool = True) -> DataFrame:
         return profile.category_profile(self._stacked(only_critical), self.categorical)
