@@ -5,10 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def one_row(totals: DataFrame) -> Column:
+    """The single row of an ungrouped aggregate as a struct, read as a scalar subquery (no join)."""
+    return totals.select(F.struct(*totals.columns).alias("row")).scalar()
+
+
 def ratio(a: Column, b: Column) -> Column:
     """Double division; null instead of an error when ``b`` is zero."""
     return F.try_divide(a.cast("double"), b.cast("double"))

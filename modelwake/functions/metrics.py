@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwake.functions.exprs import ratio
+from modelwake.functions.exprs import one_row, ratio
 from modelwake.operators.joins import null_safe_join
 from modelwake.operators.ordered import SPLIT_ROWS, exact_percentiles, running_totals
 
@@ -198,7 +198,8 @@ def metric_report(df: DataFrame, y: str, p: str, task: str, metrics: Sequence[st
     plain = [m for m in wanted if m in simple]
     results = df.agg(*[simple[m]().cast("double").alias(m) for m in plain], F.count("*").alias("_n"))
     if any(m in weighted for m in wanted):
-        results = results.crossJoin(F.broadcast(weighted_prf(df, y, p)))
+        means = one_row(weighted_prf(df, y, p))
+        results = results.withColumns({m: means[m] for m in weighted})
     known = set(simple) | set(weighted)
     entries = [
         F.struct(

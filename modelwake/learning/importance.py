@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelwake.functions.exprs import one_row
 from modelwake.operators.sampling import shuffle_values
 
 
@@ -29,14 +30,14 @@ def permutation_importance(
         error = F.col(prediction) - F.col(target)
         return scored.agg(F.lit(name).alias("feature"), F.avg(error * error).alias("mse"))
 
-    base = mse(model.transform(df), "_base").select(F.col("mse").alias("base_mse"))
+    base = one_row(mse(model.transform(df), "_base").select(F.col("mse")))["mse"]
     parts = None
     for i, f in enumerate(features):
         shuffled = shuffle_values(df, keys, f, rows, share=1.0, seed=seed + i)
         part = mse(model.transform(shuffled), f)
         parts = part if parts is None else parts.unionByName(part)
-    joined = parts.crossJoin(F.broadcast(base))  # one row
-    return joined.select("feature", "mse", "base_mse", (F.col("mse") - F.col("base_mse")).alias("importance"))
+    compared = parts.withColumn("base_mse", base)
+    return compared.select("feature", "mse", "base_mse", (F.col("mse") - F.col("base_mse")).alias("importance"))
 
 
 def partial_dependence(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelwake.functions.exprs import bucket_of, chi2_tail, correlation, normal_two_sided, ratio, slope
+from modelwake.functions.exprs import bucket_of, chi2_tail, correlation, normal_two_sided, one_row, ratio, slope
 from modelwake.functions.metrics import confusion, with_rates
 from modelwake.operators.drift import binned_divergence, jensen_shannon, ks
 
@@ -125,15 +125,17 @@ def rank_cohorts(cohorts: DataFrame, dimensions: Sequence[str], metric: str = "m
     ``cohorts`` holds the overall row (cohort ``all``). A cohort whose contribution
     exceeds ``high`` of the overall error is of high impact.
     """
-    overall = cohorts.where(F.col("cohort") == "all").select(F.col("n_rows").alias("_n"), F.col(metric).alias("_m"))
-    rest = cohorts.where(F.col("cohort") != "all").crossJoin(F.broadcast(overall))  # one row
-    contribution = ratio(F.col("n_rows"), F.col("_n")) * (F.col(metric) - F.col("_m"))
+    overall = one_row(
+        cohorts.where(F.col("cohort") == "all").agg(F.max("n_rows").alias("n"), F.max(metric).alias("m"))
+    )
+    rest = cohorts.where(F.col("cohort") != "all")
+    contribution = ratio(F.col("n_rows"), overall["n"]) * (F.col(metric) - overall["m"])
     scored = rest.withColumn("contribution", contribution)
     order = Window.partitionBy("cohort").orderBy(F.round("contribution", 9).desc())
     return scored.select(
         "cohort", *dimensions, "n_rows", metric, "contribution",
         F.dense_rank().over(order).alias("impact_rank"),
-        (F.col("contribution") > F.col("_m") * high).alias("high_impact"),
+        (F.col("contribution") > overall["m"] * high).alias("high_impact"),
     )
 
 
@@ -158,13 +160,18 @@ def cohort_shift(reference: DataFrame, current: DataFrame, cohort: str, numeric:
 def segment_error_test(df: DataFrame, segment: str, is_error: Column) -> DataFrame:
     """Do error rates differ between segments? Chi-square over all, z of each against the rest."""
     counts = df.groupBy(segment).agg(F.count("*").alias("n_rows"), F.count_if(is_error).alias("n_errors"))
-    totals = counts.agg(
-        F.sum("n_rows").alias("_n"), F.sum("n_errors").alias("_e"), F.count("*").alias("_k"),
-        F.sum(F.col("n_errors") * F.col("n_errors") / F.col("n_rows")).alias("_ssq"),
+    totals = one_row(
+        counts.agg(
+            F.sum("n_rows").alias("n"),
+            F.sum("n_errors").alias("e"),
+            F.count("*").alias("k"),
+            F.sum(F.col("n_errors") * F.col("n_errors") / F.col("n_rows")).alias("squares"),
+        )
     )
-    joined = counts.crossJoin(F.broadcast(totals))  # one row
+    joined = counts.withColumns({f"_{c}": totals[c] for c in ("n", "e", "k", "squares")})
     rate = F.col("_e") / F.col("_n")
-    statistic = F.coalesce(F.try_divide(F.col("_ssq") - F.col("_e") * rate, rate * (1 - rate)), F.lit(0.0))
+    spread_all = F.col("_squares") - F.col("_e") * rate
+    statistic = F.coalesce(F.try_divide(spread_all, rate * (1 - rate)), F.lit(0.0))
     others, other_errors = F.col("_n") - F.col("n_rows"), F.col("_e") - F.col("n_errors")
     gap = ratio(F.col("n_errors"), F.col("n_rows")) - ratio(other_errors, others)
     spread = F.sqrt(rate * (1 - rate) * (1 / F.col("n_rows") + F.try_divide(F.lit(1.0), others)))
@@ -223,9 +230,8 @@ def confidence_band(score: str, bands: int = 10) -> Column:
 def fairness_rates(df: DataFrame, y: str, p: str, group: str) -> DataFrame:
     """Error and selection rates per group, and each group's predicted share over the largest one."""
     rates = with_rates(confusion(df, y, p, [group]))
-    top = rates.agg(F.max("predicted_positive_rate").alias("_best"))
-    best = F.col("_best")
-    return rates.crossJoin(F.broadcast(top)).select(  # one row
+    best = one_row(rates.agg(F.max("predicted_positive_rate").alias("best")))["best"]
+    return rates.select(
         group, "false_negative_rate", "false_positive_rate", "selection_rate", "predicted_positive_rate",
         ratio(F.col("predicted_positive_rate"), best).alias("parity_ratio"),
     )
@@ -285,9 +291,9 @@ def diversity(df: DataFrame, item: str, by: Sequence[str]) -> DataFrame:
 def class_shares(df: DataFrame, label: str, rare: float = 0.05) -> DataFrame:
     """Classes with their share; ``is_rare`` below the limit."""
     counts = df.groupBy(label).agg(F.count("*").alias("n_rows"))
-    total = counts.agg(F.sum("n_rows").alias("_n"))
-    share = ratio(F.col("n_rows"), F.col("_n"))
-    return counts.crossJoin(F.broadcast(total)).select(label, "n_rows", share.alias("share"), (share < rare).alias("is_rare"))
+    total = one_row(counts.agg(F.sum("n_rows").alias("n")))
+    share = ratio(F.col("n_rows"), total["n"])
+    return counts.select(label, "n_rows", share.alias("share"), (share < rare).alias("is_rare"))
 
 
 def worst_rows(
@@ -299,12 +305,16 @@ def worst_rows(
     """
     order = Window.partitionBy(by).orderBy(F.abs(error).desc(), *[F.col(c) for c in keys])
     top = df.withColumn("error_rank", F.row_number().over(order)).where(F.col("error_rank") <= k)
-    moments = reference.agg(
-        *[a for i, f in enumerate(features) for a in (F.avg(f).alias(f"_m{i}"), F.stddev_samp(f).alias(f"_s{i}"))]
+    moments = one_row(
+        reference.agg(
+            *[a for i, f in enumerate(features) for a in (F.avg(f).alias(f"m{i}"), F.stddev_samp(f).alias(f"s{i}"))]
+        )
     )
-    scored = top.crossJoin(F.broadcast(moments))  # one row
-    z = [F.try_divide(F.col(f).cast("double") - F.col(f"_m{i}"), F.col(f"_s{i}")).alias(f"{f}_z") for i, f in enumerate(features)]
-    return scored.select(by, "error_rank", *keys, error, *z)
+    z = [
+        F.try_divide(F.col(f).cast("double") - moments[f"m{i}"], moments[f"s{i}"]).alias(f"{f}_z")
+        for i, f in enumerate(features)
+    ]
+    return top.select(by, "error_rank", *keys, error, *z)
 
 
 def ranking_metrics(df: DataFrame, query: str, score: str, relevant: Column, tie_break: str, k: int = 10) -> DataFrame:

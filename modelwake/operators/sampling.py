@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelwake.functions.exprs import hash_fraction, hash_normal
+from modelwake.functions.exprs import hash_fraction, hash_normal, one_row
 
 #: Target number of rows that swap values with each other in one shuffle cell.
 CELL_ROWS = 10_000
@@ -39,11 +39,9 @@ def hash_split(df: DataFrame, keys: Sequence[str], test_share: float = 0.2, seed
 def add_noise(df: DataFrame, keys: Sequence[str], columns: Sequence[str], scale: float = 0.5, seed: int = 0) -> DataFrame:
     """Add normal noise of ``scale`` sample deviations to each numeric column."""
     spread = df.agg(*[F.stddev_samp(c).alias(f"_sd{i}") for i, c in enumerate(columns)])
-    joined = df.crossJoin(F.broadcast(spread))  # one row
-    noisy = {
-        c: F.col(c) + hash_normal(keys, seed + i) * F.col(f"_sd{i}") * scale for i, c in enumerate(columns)
-    }
-    return joined.withColumns(noisy).select(*df.columns)
+    sd = one_row(spread)
+    noisy = {c: F.col(c) + hash_normal(keys, seed + i) * sd[f"_sd{i}"] * scale for i, c in enumerate(columns)}
+    return df.withColumns(noisy)
 
 
 def shuffle_values(
