@@ -716,7 +716,7 @@ def _customers_plain(spark, folder) -> DataFrame:
 
 @query
 def perturb_noise(spark, folder):
-    return rounded(sampling.add_noise(_customers_plain(spark, folder), ["c_custkey"], ["c_acctbal"], seed=3), 5)
+    return rounded(sampling.add_noise(_customers_plain(spark, folder), ["c_custkey"], ["c_acctbal"], seed=3), 3)
 
 
 @query

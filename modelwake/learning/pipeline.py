@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from modelwake.operators.drift import numeric_long
 from modelwake.operators.ordered import exact_percentiles
 from modelwake.operators.prepare import append_error
+from modelwake.operators.timewindows import reference_current_split
 from modelwake.functions.metrics import metric_report
 from modelwake.roles import ColumnRoles, SemanticType, TaskType
 
@@ -186,6 +187,17 @@ def forest_regression(
     return Pipeline(stages=stages).fit(reference)
 
 
+def score_periods(
+    data: DataFrame, ts: str, reference_end: str, current_end: str, target: str, numeric: Sequence[str],
+    categorical: Sequence[str], start: str | None = None, prediction: str = "prediction", **params,
+) -> tuple[DataFrame, DataFrame]:
+    """Reference and current rows with the prediction of a forest trained on the reference."""
+    reference, current = reference_current_split(data, ts, reference_end, current_end, start)
+    model = forest_regression(reference, numeric, categorical, target, prediction, **params)
+    kept = [*data.columns, prediction]
+    return model.transform(reference).select(*kept), model.transform(current).select(*kept)
+
+
 def boosted_classifier(
     train: DataFrame, valid: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str,
     prediction: str = "prediction", rounds: int = 100, depth: int = 3, rate: float = 0.1, seed: int = 42,

@@ -47,9 +47,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def read_splits(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
+def read_splits(spark: SparkSession, folder: str, need_all: bool = True) -> dict[str, DataFrame] | None:
     """The three splits, or None unless all of them were written."""
-    if not all(_exists(spark, f"{folder}/split={s}") for s in SPLITS):
+    if need_all and not all(_exists(spark, f"{folder}/split={s}") for s in SPLITS):
         return None
     table = spark.read.parquet(folder)
     return {s: table.where(F.col("split") == s).drop("split") for s in SPLITS}

@@ -850,7 +850,7 @@ ORACLE["perturb_noise"] = with_(
     "SELECT c_custkey, "
     + r(
         f"c_acctbal + sqrt(-2.0 * ln(1.0::DOUBLE - {fraction('c_custkey', '3r')})) * cos(2 * pi() * {fraction('c_custkey', '3a')}) * (SELECT stddev_samp(c_acctbal) FROM cp) * 0.5",
-        "c_acctbal", 5,
+        "c_acctbal", 3,
     )
     + ", c_mktsegment, label FROM cp",
 )
