@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwake.llm import minhash
+from modelwake.llm import exact, minhash, packing
+from modelwake.session import scratch_path
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,7 +18,29 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, folder, "documents"), width=3, percent=85)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_pieces(read(spark, folder, "documents"), tokenizer_path())
+
+
+def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    index = exact.DigestIndex(spark, scratch_path(spark, "digest-index"))
+    return exact.exact_duplicates(read(spark, folder, "documents"), index)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_packing": op4_packing,
+    "op9_exact_dedup": op9_exact_dedup,
+}
+ORACLE: dict[str, str] = {
+    "op9_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 }
-ORACLE: dict[str, str] = {}
