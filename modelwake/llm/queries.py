@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwake.llm import exact, minhash, packing
+from modelwake.llm import exact, lines, minhash, packing
 from modelwake.session import scratch_path
 
 
@@ -18,6 +18,10 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, folder, "documents"), width=3, percent=85)
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_dedup(read(spark, folder, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -35,6 +39,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
