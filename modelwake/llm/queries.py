@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwake.llm import exact, lines, minhash, packing
+from modelwake.llm import exact, lines, minhash, packing, quality
 from modelwake.session import scratch_path
 
 
@@ -32,6 +32,10 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_pieces(read(spark, folder, "documents"), tokenizer_path())
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     index = exact.DigestIndex(spark, scratch_path(spark, "digest-index"))
     return exact.exact_duplicates(read(spark, folder, "documents"), index)
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLE: dict[str, str] = {
