@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwake.llm import exact, lines, minhash, packing, quality
+from modelwake.llm import exact, lines, minhash, mixing, packing, quality
 from modelwake.session import scratch_path
 
 
@@ -41,12 +41,17 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(read(spark, folder, "documents"), index)
 
 
+def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_sources(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_source_mixing": op10_source_mixing,
 }
 ORACLE: dict[str, str] = {
     "op9_exact_dedup": """
