@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwake.llm import exact, lines, minhash, mixing, packing, quality
+from modelwake.llm import exact, lines, minhash, mixing, packing, quality, urls
 from modelwake.session import scratch_path
 
 
@@ -18,6 +18,10 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, folder, "documents"), width=3, percent=85)
 
 
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged_urls(read(spark, folder, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_dedup(read(spark, folder, "documents"))
 
@@ -47,6 +51,7 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_url_filters": op2_url_filters,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op7_quality_classifier": op7_quality_classifier,
