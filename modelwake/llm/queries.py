@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwake.llm import exact, lines, minhash, mixing, packing, quality, urls
+from modelwake.llm import exact, lines, minhash, mixing, packing, quality, simhash, urls
 from modelwake.session import scratch_path
 
 
@@ -40,6 +40,10 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op8_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.edited_fingerprints(read(spark, folder, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     index = exact.DigestIndex(spark, scratch_path(spark, "digest-index"))
     return exact.exact_duplicates(read(spark, folder, "documents"), index)
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_document_fingerprints": op8_document_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
