@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwake.llm import exact, lines, minhash, mixing, packing, quality, simhash, urls
+from modelwake.llm import exact, lines, minhash, mixing, packing, pii, quality, simhash, urls
 from modelwake.session import scratch_path
 
 
@@ -36,6 +36,10 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_pieces(read(spark, folder, "documents"), tokenizer_path())
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(read(spark, folder, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op5_pii": op5_pii,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
