@@ -1,21 +1,53 @@
-"""The corpus pipeline: stages from the operators of ``modelwake.llm``, each over what the one before kept."""
+"""The corpus pipeline: five operators of ``modelwake.llm``, each over what the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
+the columns of ``docs``; the last returns pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwake.llm import minhash
+from modelwake.llm import lines, minhash, mixing, packing, quality
 from modelwake.llm.common import Stages
+from modelwake.llm.queries import tokenizer_path
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity the trusted documents of their language do not exceed."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.passing_quality(docs, labels)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that recur across sites."""
+    return lines.without_boilerplate(docs)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies (five-word shingles, similarity 0.8)."""
     return minhash.without_near_duplicates(docs, width=5, percent=80)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of the documents whose tokens meet the target weights."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return packing.packed_pieces(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("source_mixing", source_mixing),
+    ("packing", packed),
+]
 
-#: No SQL states the near-copy stage; ``tests/llm`` holds the stages against brute force.
+#: No SQL states perplexity, near copies or tokens; ``tests/llm`` holds the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -25,5 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for place, (_, stage) in enumerate(STAGES, start=1):
         result = stage(spark, docs, sf_dir)
-        docs = result if place == len(STAGES) else stages.keep(result)
+        if place == len(STAGES):
+            return result
+        before, docs = docs, stages.keep(result)
+        if place > 1:
+            stages.drop(before)
     return docs

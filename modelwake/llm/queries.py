@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwake.llm import exact, lines, minhash, mixing, packing, pii, quality, simhash, urls
+from modelwake.llm import exact, lines, minhash, mixing, packing, pii, quality, simhash, suffixes, urls
 from modelwake.session import scratch_path
 
 
@@ -40,6 +40,10 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(read(spark, folder, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeated_passages(read(spark, folder, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
