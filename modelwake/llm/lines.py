@@ -40,9 +40,11 @@ def line_spread(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     stages = Stages(docs.sparkSession)
     # A line counts once in a document.
     distinct_lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda line: F.trim(line) != ""), _line_key))
-    keyed = docs.where("text IS NOT NULL").select(
-        F.xxhash64("source").alias("site"), _body_key(F.col("text")).alias("body"), F.explode(distinct_lines).alias("line")
+    # Keys are made before the lines are unfolded, and the lines are stored for the exact counts.
+    bodies = docs.where("text IS NOT NULL").select(
+        F.xxhash64("source").alias("site"), _body_key(F.col("text")).alias("body"), distinct_lines.alias("lines")
     )
+    keyed = stages.keep(bodies.select("site", "body", F.explode("lines").alias("line")))
     sketched = keyed.groupBy("line").agg(
         F.count("*").alias("n_docs"),
         F.min("site").alias("one"), F.max("site").alias("other"),
@@ -62,7 +64,7 @@ def line_spread(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     exact_sites = wanted.select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("exact_sites"))
     exact_bodies = wanted.select("line", "body").distinct().groupBy("line").agg(F.count("*").alias("exact_bodies"))
     exact = stages.keep(exact_sites.join(exact_bodies, "line"))
-    stages.drop(near)
+    stages.drop(near, keyed)
     n_sites, n_bodies = F.coalesce("exact_sites", "sites"), F.coalesce("exact_bodies", "bodies")
     return (
         estimated.join(exact, "line", "left")
@@ -73,25 +75,24 @@ def line_spread(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def _cleaned(docs: DataFrame, min_sites: int) -> DataFrame:
-    """``docs`` with _dropped, the places (from 0) of the boilerplate lines of its text, or null."""
+    """row (a row of ``docs``), its digest and dropped, the places (from 0) of its boilerplate lines, or null."""
     stages = Stages(docs.sparkSession)
     boilerplate = stages.keep(line_spread(docs, min_sites).where("boilerplate").select("line"))
     # Equal texts lose the same lines, so texts are known by their digest: rows that repeat
     # a doc_id or have none need no key of their own.
-    digest = F.xxhash64("text", F.lit(0)), F.xxhash64(F.lit(1), "text")
-    lines = docs.where("text IS NOT NULL").select(
-        *[d.alias(f"_d{i}") for i, d in enumerate(digest)], F.posexplode(F.transform(F.split("text", "\n"), _line_key)).alias("_place", "line")
-    )
+    digest = [F.xxhash64("text", F.lit(0)).alias("d0"), F.xxhash64(F.lit(1), "text").alias("d1")]
+    hashed = docs.where("text IS NOT NULL").select(*digest, F.transform(F.split("text", "\n"), _line_key).alias("lines"))
+    lines = hashed.select("d0", "d1", F.posexplode("lines").alias("place", "line"))
     found = lines.join(small(boilerplate, boilerplate.count()), "line", "left_semi")
-    places = stages.keep(found.groupBy("_d0", "_d1").agg(F.sort_array(F.collect_set("_place")).alias("_dropped")))
-    keyed = docs.withColumns({f"_d{i}": d for i, d in enumerate(digest)})
-    return keyed.join(small(places, places.count()), ["_d0", "_d1"], "left").drop("_d0", "_d1")
+    places = stages.keep(found.groupBy("d0", "d1").agg(F.sort_array(F.collect_set("place")).alias("dropped")))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *digest)
+    return keyed.join(small(places, places.count()), ["d0", "d1"], "left")
 
 
 def _kept_text() -> Column:
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_dropped"), i))
-    return F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.col("row.text")
+    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(F.col("dropped"), i))
+    return F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -108,12 +109,12 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     boilerplate only becomes empty; its row stays. Repeated rows are judged alike. An empty
     table gives no rows. Other columns are ignored.
     """
-    split = F.size(F.split("text", "\n"))
+    text = F.col("row.text")
     return _cleaned(docs.select("doc_id", "source", "text"), min_sites).select(
-        "doc_id",
+        F.col("row.doc_id").alias("doc_id"),
         _kept_text().alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(split).cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.col("_dropped")), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.col("dropped")), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
@@ -122,9 +123,8 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFram
 
     n_chars, if present, is counted anew for changed texts.
     """
-    cleaned = _cleaned(docs, min_sites)
-    changed = F.col("_dropped").isNotNull()
-    out = {"text": _kept_text()}
+    new = {"text": _kept_text()}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(changed, F.char_length(_kept_text()).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cleaned.withColumns(out).select(*docs.columns)
+        counted = F.char_length(_kept_text()).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("dropped").isNotNull(), counted).otherwise(F.col("row.n_chars"))
+    return _cleaned(docs, min_sites).select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
