@@ -84,7 +84,7 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], b
             )
             factor = sums.join(goal, sums["_m"].eqNullSafe(goal["_key"])).select(
                 "_m",
-                (F.col("_want") / (F.col("_held") + F.col("_free"))).alias("_down"),
+                F.try_divide("_want", F.col("_held") + F.col("_free")).alias("_down"),
                 F.try_divide(F.col("_want") - F.col("_held"), F.col("_free")).alias("_free_by"),
             )
             joined = step.join(factor, step[margin].eqNullSafe(factor["_m"]), "left")
@@ -171,8 +171,8 @@ def mixed_documents(docs: DataFrame, targets: Mapping[str, Mapping[str, float] |
     measured = stages.keep(_measured(docs))
     chances, rows = _calibrated(measured, targets, budget, stages)
     stages.drop(measured)
-    chances = chances.withColumnsRenamed({f"_{m}": f"_cell_{m}" for m in MARGINS})
-    keyed = docs.withColumn("_cell_t", hashed_topic(F.coalesce("text", F.lit(""))))
-    same = "source <=> _cell_source AND lang <=> _cell_lang AND _cell_t <=> _cell_topic"
-    drawn = keyed.join(small(chances.withColumnRenamed("probability", "_p"), rows), F.expr(same))
-    return drawn.where(_chance(F.col("doc_id")) < F.col("_p")).select(*docs.columns)
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"), "source", "lang", hashed_topic(F.coalesce("text", F.lit(""))).alias("topic")
+    )
+    drawn = _cell(keyed, chances, rows).where(_chance(F.col("row.doc_id")) < F.col("probability"))
+    return drawn.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -53,8 +53,8 @@ def host_rules(hosts: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
 def host_edges(pages: DataFrame) -> DataFrame:
     """Links from host to another host (src, dst, links), from absolute and protocol-relative references."""
     host, _ = host_and_path(F.col("url"))
-    links = pages.select(host.alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("dst"))
-    links = links.select("src", ascii_lower(F.col("dst")).alias("dst")).where("src <> '' AND src <> dst")
+    found = pages.select(host.alias("src"), F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)).alias("found"))
+    links = found.select("src", F.explode("found").alias("dst")).select("src", ascii_lower(F.col("dst")).alias("dst")).where("src <> '' AND src <> dst")
     return links.groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
