@@ -48,8 +48,8 @@ def confusion(df: DataFrame, y: str, p: str, by: Sequence[str] = (), negative=0,
 
 
 def error_rate(y: Column, p: Column, diff: Column | None = None) -> Column:
-    """Summed absolute difference, cut to an integer, per row; 0 for no rows."""
-    gap = F.abs(p - y) if diff is None else diff.cast("int")
+    """Summed absolute difference, the sum cut to an integer, per row; 0 for no rows."""
+    gap = F.abs(p - y) if diff is None else diff.cast("double")
     return F.coalesce(ratio(F.sum(gap).cast("long"), F.count("*")), F.lit(0.0))
 
 

@@ -22,7 +22,7 @@ def tree_importance(model: PipelineModel, features: Sequence[str], spark) -> Dat
 
 def permutation_importance(
     model: PipelineModel, df: DataFrame, keys: Sequence[str], features: Sequence[str],
-    target: str, prediction: str, rows: int, seed: int = 0,
+    target: str, prediction: str, seed: int = 0,
 ) -> DataFrame:
     """Growth of the mean squared error when one feature is shuffled over all rows."""
 
@@ -33,7 +33,7 @@ def permutation_importance(
     base = one_row(mse(model.transform(df), "_base").select(F.col("mse")))["mse"]
     parts = None
     for i, f in enumerate(features):
-        shuffled = shuffle_values(df, keys, f, rows, share=1.0, seed=seed + i)
+        shuffled = shuffle_values(df, keys, f, share=1.0, seed=seed + i)
         part = mse(model.transform(shuffled), f)
         parts = part if parts is None else parts.unionByName(part)
     compared = parts.withColumn("base_mse", base)

@@ -169,6 +169,14 @@ class TabularModel:
         return cls(roles, TaskType(saved["task"]), PipelineModel.load(f"{path}/stages"))
 
 
+def category_bins(df: DataFrame, categorical: Sequence[str]) -> int:
+    """Bins that tree models need for the widest categorical column: its values, missing and unseen; 32 at least."""
+    if not categorical:
+        return 32
+    row = df.agg(*[F.count_distinct(F.col(c).cast("string")).alias(f"d{i}") for i, c in enumerate(categorical)]).first()
+    return max(32, *(n + 2 for n in row))
+
+
 def forest_regression(
     reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
     prediction: str = "prediction", trees: int = 50, seed: int = 0, **params,
@@ -181,7 +189,8 @@ def forest_regression(
     stages.append(VectorAssembler(inputCols=inputs, outputCol=VECTOR))
     stages.append(
         RandomForestRegressor(
-            featuresCol=VECTOR, labelCol=target, predictionCol=prediction, numTrees=trees, seed=seed, **params
+            featuresCol=VECTOR, labelCol=target, predictionCol=prediction, numTrees=trees, seed=seed,
+            **({"maxBins": category_bins(reference, categorical)} | params),
         )
     )
     return Pipeline(stages=stages).fit(reference)
@@ -212,6 +221,7 @@ def boosted_classifier(
         GBTClassifier(
             featuresCol=VECTOR, labelCol=label, predictionCol=prediction, maxIter=rounds, maxDepth=depth,
             stepSize=rate, seed=seed, validationIndicatorCol="_valid", validationTol=0.01,
+            maxBins=category_bins(typed, categorical),
         ),
     ]
     return Pipeline(stages=stages).fit(typed)

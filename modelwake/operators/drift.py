@@ -23,7 +23,7 @@ WINDOW = "window_id"
 P_LEVEL = 0.05
 DISTANCE_LEVEL = 0.1
 P_VALUE_METHODS = ("ks", "chi2", "z")
-SMALL_REFERENCE = 1000
+REGIMES = ("distance", "test")
 FEW_VALUES = 5
 PSI_FLOOR = 1e-4
 SCALE_FLOOR = 0.001
@@ -44,6 +44,23 @@ def category_long(df: DataFrame, features: Sequence[str], keys: Sequence[str] =
     return long.where(F.col("feature").isNotNull() & F.col("value").isNotNull())
 
 
+def finite_long(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Rows (keys, feature, x) without NaN and infinite values: one of them would void every sum it enters."""
+    return numeric_long(df, features, keys).where(~F.isnan("x") & (F.abs("x") < float("inf")))
+
+
+def comparable(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the features as double where they are numbers of different types, so that 1 and 1.0 agree."""
+    kinds = [dict(df.dtypes) for df in (reference, current)]
+    plain = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    changed = [
+        f for f in features
+        if kinds[0][f] != kinds[1][f] and all(k[f] in plain or k[f].startswith("decimal") for k in kinds)
+    ]
+    casts = {f: F.col(f).cast("double") for f in changed}
+    return (reference.withColumns(casts), current.withColumns(casts)) if casts else (reference, current)
+
+
 def counted(long: DataFrame) -> DataFrame:
     return long.groupBy(*long.columns).agg(F.count("*").alias("n"))
 
@@ -53,8 +70,8 @@ def _positions(reference: DataFrame, current: DataFrame, features: Sequence[str]
 
     ``rows`` bounds the rows of both sides together, for one feature.
     """
-    ref = counted(numeric_long(reference, features))
-    cur = counted(numeric_long(current, features, [WINDOW]))
+    ref = counted(finite_long(reference, features))
+    cur = counted(finite_long(current, features, [WINDOW]))
     pool = (
         ref.withColumnRenamed("n", "rn")
         # Written as a function of n, the zero keeps the count in use: both readers of ``cur`` share one shuffle.
@@ -68,12 +85,13 @@ def _positions(reference: DataFrame, current: DataFrame, features: Sequence[str]
         "x",
         "rn",
         F.col("tot_rn").alias("n_ref"),
-        (F.col("tot_rs") / F.col("tot_rn")).alias("ref_mean"),
+        F.try_divide("tot_rs", "tot_rn").alias("ref_mean"),
         F.col("cum_rn").alias("ref_rank"),
-        (F.col("cum_rn") / F.col("tot_rn")).alias("ref_cdf"),
-        ((F.col("cum_rn") - F.col("rn")) / F.col("tot_rn")).alias("ref_cdf_before"),
-        ((F.col("x") * F.col("cum_rn") - F.col("cum_rs")) / F.col("tot_rn")).alias("ref_area"),
-        ((F.col("tot_rs") - F.col("cum_rs")) / F.col("tot_rn") - F.col("x") * (1 - F.col("cum_rn") / F.col("tot_rn"))).alias("ref_tail"),
+        # A feature without reference values has nulls here, and a null statistic.
+        F.try_divide("cum_rn", "tot_rn").alias("ref_cdf"),
+        F.try_divide(F.col("cum_rn") - F.col("rn"), F.col("tot_rn")).alias("ref_cdf_before"),
+        F.try_divide(F.col("x") * F.col("cum_rn") - F.col("cum_rs"), F.col("tot_rn")).alias("ref_area"),
+        (F.try_divide(F.col("tot_rs") - F.col("cum_rs"), F.col("tot_rn")) - F.col("x") * (1 - F.try_divide("cum_rn", "tot_rn"))).alias("ref_tail"),
     )
     placed = cur.join(ranked, ["feature", "x"])
     positions = running_totals(placed, [WINDOW, "feature"], "x", ["n"], rows, split_above, previous=["x", "ref_cdf", "ref_area"])
@@ -96,7 +114,8 @@ def ks(reference: DataFrame, current: DataFrame, features: Sequence[str], rows:
     found = positions.groupBy(WINDOW, "feature").agg(
         F.max(gap).alias("statistic"), F.max("tot_n").alias("n_cur"), F.max("n_ref").alias("n_ref")
     )
-    return found.withColumn("p_value", ks_tail(F.col("statistic"), F.col("n_ref"), F.col("n_cur")))
+    tail = ks_tail(F.col("statistic"), F.col("n_ref"), F.col("n_cur"))
+    return found.withColumn("p_value", F.when(F.col("n_ref") > 0, tail))
 
 
 def wasserstein(reference: DataFrame, current: DataFrame, features: Sequence[str], rows: int, split_above: int = SPLIT_ROWS) -> DataFrame:
@@ -136,17 +155,18 @@ def wasserstein(reference: DataFrame, current: DataFrame, features: Sequence[str
         F.sum(area + tail).alias("distance"), F.max("tot_n").alias("n_cur"), F.max("n_ref").alias("n_ref")
     )
     spread = ranked.groupBy("feature").agg(
-        F.sqrt(F.sum(F.col("rn") * F.pow(F.col("x") - F.col("ref_mean"), 2)) / F.max("n_ref")).alias("ref_std")
+        F.sqrt(F.try_divide(F.sum(F.col("rn") * F.pow(F.col("x") - F.col("ref_mean"), 2)), F.max("n_ref"))).alias("ref_std")
     )
     joined = found.join(bounded_broadcast(spread, len(features)), "feature")
     return joined.select(
         WINDOW, "feature", "n_cur", "n_ref",
-        (F.col("distance") / F.greatest("ref_std", F.lit(SCALE_FLOOR))).alias("statistic"),
+        F.when(F.col("n_ref") > 0, F.col("distance") / F.greatest("ref_std", F.lit(SCALE_FLOOR))).alias("statistic"),
     )
 
 
 def _category_counts(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Counts of every category seen in a window, next to its count in the reference; and the window counts alone."""
+    reference, current = comparable(reference, current, features)
     ref = counted(category_long(reference, features)).withColumnRenamed("n", "rn")
     ref_totals = ref.groupBy("feature").agg(F.sum("rn").alias("n_ref"), F.count("*").alias("k_ref"))
     cur = counted(category_long(current, features, [WINDOW]))
@@ -235,7 +255,7 @@ def proportion_z(reference: DataFrame, current: DataFrame, features: Sequence[st
 def reference_bins(reference: DataFrame, features: Sequence[str], rows: int, bins: int = 10) -> DataFrame:
     """Inner bin borders of every feature: the reference quantiles 1/bins, 2/bins, ..."""
     points = [i / bins for i in range(1, bins)]
-    return exact_percentiles(numeric_long(reference, features), ["feature"], "x", points, rows, "edges")
+    return exact_percentiles(finite_long(reference, features), ["feature"], "x", points, rows, "edges")
 
 
 def _binned(long: DataFrame, edges: DataFrame, n_features: int, keys: Sequence[str], bins: int, prefix: str) -> DataFrame:
@@ -252,8 +272,8 @@ def _binned(long: DataFrame, edges: DataFrame, n_features: int, keys: Sequence[s
 def binned_divergence(reference: DataFrame, current: DataFrame, features: Sequence[str], rows: int, bins: int = 10) -> DataFrame:
     """Population stability index and KL divergence over reference-quantile bins."""
     edges = reference_bins(reference, features, rows, bins)
-    ref = _binned(numeric_long(reference, features), edges, len(features), [], bins, "r")
-    cur = _binned(numeric_long(current, features, [WINDOW]), edges, len(features), [WINDOW], bins, "c")
+    ref = _binned(finite_long(reference, features), edges, len(features), [], bins, "r")
+    cur = _binned(finite_long(current, features, [WINDOW]), edges, len(features), [WINDOW], bins, "c")
     both = cur.join(bounded_broadcast(ref, len(features)), "feature")
     psi: Column = F.lit(0.0)
     kl: Column = F.lit(0.0)
@@ -268,23 +288,31 @@ def binned_divergence(reference: DataFrame, current: DataFrame, features: Sequen
 
 
 def choose_methods(
-    reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str], override: Mapping[str, str] | None = None
+    reference: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    override: Mapping[str, str] | None = None,
+    regime: str = "distance",
 ) -> dict[str, str]:
-    """Drift method per column from the reference size and the number of distinct values.
+    """Drift method per column from the regime and the exact number of distinct reference values.
 
-    One aggregate with a single small row reaches the driver.
+    The number of rows plays no part, so a method means the same at every size. One row
+    per column reaches the driver.
     """
+    if regime not in REGIMES:
+        raise ValueError(f"unknown regime {regime}; known are {', '.join(REGIMES)}")
     columns = [*numeric, *categorical]
-    row = reference.agg(
-        F.count("*").alias("n"), *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)]
-    ).first()
+    values = counted(category_long(reference, columns))
+    found = {r["feature"]: r["d"] for r in values.groupBy("feature").agg(F.count("*").alias("d")).collect()}
     chosen = {}
-    for i, c in enumerate(columns):
-        few = row[f"d{i}"] <= FEW_VALUES
+    for c in columns:
+        distinct = found.get(c, 0)
+        # A column without reference values keeps the method of its kind.
+        few = 0 < distinct <= FEW_VALUES
         number = c in numeric
-        if row["n"] > SMALL_REFERENCE:
+        if regime == "distance":
             chosen[c] = "wasserstein" if number and not few else "jensen_shannon"
-        elif row[f"d{i}"] <= 2:
+        elif 0 < distinct <= 2:
             chosen[c] = "z"
         else:
             chosen[c] = "ks" if number and not few else "chi2"
@@ -300,13 +328,15 @@ def drift_table(
     rows: int,
     methods: Mapping[str, str] | None = None,
     split_above: int = SPLIT_ROWS,
+    regime: str = "distance",
 ) -> DataFrame:
     """Long table (window, feature, type, method, statistic, p_value, score, detected).
 
-    ``methods`` overrides the choice of single columns. ``score`` is the p-value of a
+    ``regime`` chooses distances or tests, ``methods`` overrides single columns. A column
+    without reference values has a null statistic and counts as detected. ``score`` is the p-value of a
     test and the distance of a distance; ``intensity`` always grows with drift.
     """
-    chosen = choose_methods(reference, numeric, categorical, methods)
+    chosen = choose_methods(reference, numeric, categorical, methods, regime)
     makers = {
         "ks": lambda f: ks(reference, current, f, rows, split_above),
         "wasserstein": lambda f: wasserstein(reference, current, f, rows, split_above),
@@ -338,6 +368,7 @@ def judged(table: DataFrame) -> DataFrame:
     return (
         table.withColumn("score", F.when(is_test, F.col("p_value")).otherwise(F.col("statistic")))
         .withColumn("detected", F.when(is_test, F.col("score") < P_LEVEL).otherwise(F.col("score") >= DISTANCE_LEVEL))
+        .withColumn("detected", F.coalesce("detected", F.lit(True)))
         .withColumn("intensity", F.when(is_test, 1 - F.col("score")).otherwise(F.col("score")))
     )
 
@@ -373,8 +404,20 @@ def concept_shift(reference: DataFrame, current: DataFrame, features: Sequence[s
 
 
 def prior_shift(reference: DataFrame, current: DataFrame, label: str) -> DataFrame:
-    """Class shares per window beside the reference shares, and their difference."""
-    shares = _category_shares(reference, current, [label])
+    """Class shares per window beside the reference shares, and their difference.
+
+    Every class of the reference has a row in every window, vanished ones with share 0.
+    """
+    reference, current = comparable(reference, current, [label])
+    ref = counted(category_long(reference, [label]))
+    cur = counted(category_long(current, [label], [WINDOW]))
+    totals = cur.groupBy(WINDOW, "feature").agg(F.sum("n").alias("n_cur"))
+    zero = F.lit(0).cast("long")
+    known = totals.join(ref, "feature").select(WINDOW, "feature", "value", F.col("n").alias("rn"), zero.alias("n"))
+    seen = cur.select(WINDOW, "feature", "value", zero.alias("rn"), "n")
+    both = known.unionByName(seen).groupBy(WINDOW, "feature", "value").agg(F.sum("rn").alias("rn"), F.sum("n").alias("n"))
+    whole = bounded_broadcast(ref.groupBy("feature").agg(F.sum("n").alias("n_ref")), 1)
+    shares = both.join(totals, [WINDOW, "feature"]).join(whole, "feature", "left")
     return shares.select(
         WINDOW,
         F.col("value").alias("label"),

@@ -34,6 +34,21 @@ def range_split(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Da
     return materialize(ranged.withColumn(_PART, F.spark_partition_id()))
 
 
+def global_rank(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add ``name``, the place (from 1) of every row in the order of columns that identify it.
+
+    Rows are numbered inside stored ranges; one count per range carries the numbers across.
+    """
+    split = range_split(df, [], order)
+    counts = split.groupBy(_PART).agg(F.count("*").alias("_n"))
+    # One row per range: bounded by the number of partitions.
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(_PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(_PART).orderBy(*order))
+    placed = split.withColumn("_inside", inside).join(F.broadcast(offsets), _PART)
+    return placed.select(*df.columns, (F.col("_inside") + F.col("_before")).alias(name))
+
+
 def running_totals(
     df: DataFrame,
     group: Sequence[str],
@@ -110,6 +125,8 @@ def exact_percentiles(
 
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
     ranked = running_totals(counts, group, value, ["n"], rows, split_above)
+    # Groups without a value keep their row, as in the other plan.
+    groups = df.select(*group).distinct()
     picks = []
     for i, p in enumerate(probabilities):
         position = F.lit(float(p)) * (F.col("tot_n") - 1)
@@ -120,8 +137,12 @@ def exact_percentiles(
     for i, p in enumerate(probabilities):
         position = F.lit(float(p)) * (F.col("tot_n") - 1)
         weight = position - F.floor(position)
-        interpolated.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * weight)
-    return found.select(*group, F.array(*interpolated).alias(name))
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        # Between equal values, infinite ones too, there is nothing to interpolate.
+        interpolated.append(F.when(lo == hi, lo).otherwise((1 - weight) * lo + weight * hi))
+    joined = groups.join(found, same_keys(groups, found, group), "left")
+    points = F.when(F.col("tot_n").isNotNull(), F.array(*interpolated))
+    return joined.select(*[groups[c] for c in group], points.alias(name))
 
 
 def asof_join(

@@ -7,13 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwake.functions.exprs import hash_fraction, hash_normal, one_row
-
-#: Target number of rows that swap values with each other in one shuffle cell.
-CELL_ROWS = 10_000
+from modelwake.operators.ordered import global_rank
 
 
 def _digest(keys: Sequence[str], seed: int | str) -> Column:
@@ -45,25 +43,18 @@ def add_noise(df: DataFrame, keys: Sequence[str], columns: Sequence[str], scale:
 
 
 def shuffle_values(
-    df: DataFrame, keys: Sequence[str], column: str, rows: int, share: float = 0.3, seed: int = 0
+    df: DataFrame, keys: Sequence[str], column: str, share: float = 0.3, seed: int = 0
 ) -> DataFrame:
     """Permute ``column`` among a random share of the rows.
 
-    Chosen rows are dealt into cells of about ``CELL_ROWS`` by hash. In a cell the
-    rows in one hash order receive the values in another, so no task sees more than
-    a cell and every value is kept. ``keys`` must identify a row.
+    The chosen rows in key order receive the values in hash order, over the whole table
+    and whatever its size. ``keys`` must identify a row.
     """
-    cells = max(1, round(rows * share / CELL_ROWS))
-    cell = F.floor(hash_fraction(keys, f"{seed}c") * cells).cast("int")
-    chosen = df.where(hash_fraction(keys, f"{seed}m") < share).select(*keys, column, cell.alias("_cell"))
-    by_key = Window.partitionBy("_cell").orderBy(*keys)
-    by_hash = Window.partitionBy("_cell").orderBy(_digest(keys, f"{seed}p"), *keys)
-    ranked = chosen.select(
-        *keys, column, "_cell", F.row_number().over(by_key).alias("_to"), F.row_number().over(by_hash).alias("_from")
-    )
-    takers = ranked.select(*keys, "_cell", F.col("_to").alias("_rank"))
-    givers = ranked.select("_cell", F.col("_from").alias("_rank"), F.struct(F.col(column).alias("v")).alias("_new"))
-    moved = takers.join(givers, ["_cell", "_rank"]).select(*keys, "_new")
+    chosen = df.where(hash_fraction(keys, f"{seed}m") < share).select(*keys, F.struct(F.col(column).alias("v")).alias("_new"))
+    takers = global_rank(chosen.select(*keys), keys, "_rank")
+    hashed = chosen.withColumn("_digest", _digest(keys, f"{seed}p"))
+    givers = global_rank(hashed, ["_digest", *keys], "_rank").select("_rank", "_new")
+    moved = takers.join(givers, "_rank").select(*keys, "_new")
     joined = df.join(moved, list(keys), "left")
     value = F.when(F.col("_new").isNotNull(), F.col("_new.v")).otherwise(F.col(column))
     return joined.withColumn(column, value).select(*df.columns)
@@ -75,10 +66,10 @@ def flip_labels(df: DataFrame, keys: Sequence[str], label: str, share: float = 0
 
 
 def corrupt(
-    df: DataFrame, keys: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], label: str, rows: int, seed: int = 0
+    df: DataFrame, keys: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], label: str, seed: int = 0
 ) -> DataFrame:
     """Noise on numbers, shuffled categories and flipped labels together."""
     noisy = add_noise(df, keys, numeric, seed=seed)
     for i, c in enumerate(categorical):
-        noisy = shuffle_values(noisy, keys, c, rows, seed=seed + 100 + i)
+        noisy = shuffle_values(noisy, keys, c, seed=seed + 100 + i)
     return flip_labels(noisy, keys, label, seed=seed)

@@ -35,13 +35,14 @@ def calendar_split(df: DataFrame, ts: str, config: TimeConfig = TimeConfig()) ->
 
 
 def reference_current_split(
-    df: DataFrame, ts: str, reference_end: str, current_end: str, start: str | None = None
+    df: DataFrame, ts: str, reference_end: str, current_end: str | None = None, start: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Two inclusive slices; a row exactly at ``reference_end`` is in both."""
+    """Two inclusive slices; a row exactly at ``reference_end`` is in both. Without ``current_end`` the second is open."""
     reference = df.where(F.col(ts) <= ntz(reference_end))
     if start is not None:
         reference = reference.where(F.col(ts) >= ntz(start))
-    return reference, df.where(F.col(ts).between(ntz(reference_end), ntz(current_end)))
+    current = df.where(F.col(ts) >= ntz(reference_end))
+    return reference, current if current_end is None else current.where(F.col(ts) <= ntz(current_end))
 
 
 @dataclass(frozen=True)

@@ -30,10 +30,12 @@ def build_session(app: str = "modelwake", master: str | None = None, **conf: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode, where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="modelwake-"))
     return context.getCheckpointDir()
 

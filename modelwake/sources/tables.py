@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from modelwake.operators.timewindows import ntz, reference_current_split
 
-#: The monitored period and the cut between reference and current.
+#: The first day and the cut between reference and current, which has no end.
 SERIES_START = "2024-01-01"
 REFERENCE_END = "2024-01-10 00:00:00"
-CURRENT_END = "2024-12-31 00:00:00"
 
 #: Label times: every 28 days, always a Monday.
 LABEL_START, LABEL_END, LABEL_DAYS = "1996-01-01", "2001-01-01", 28
@@ -119,12 +118,11 @@ def scored_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reference_and_current(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return reference_current_split(scored_events(spark, folder), "ts", REFERENCE_END, CURRENT_END)
+    return reference_current_split(scored_events(spark, folder), "ts", REFERENCE_END)
 
 
 #: Documents longer than this are predicted to be of good quality.
 LENGTH_CUT = 1000
-LENGTH_SCALE = 5000.0
 
 
 def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,5 +135,5 @@ def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.col("toxic"),
         (F.col("n_chars") >= LENGTH_CUT).cast("int").alias("p"),
         (F.col("n_chars") >= 2 * LENGTH_CUT).cast("int").alias("p_other"),
-        F.least(F.col("n_chars") / LENGTH_SCALE, F.lit(1.0)).alias("score"),
+        (F.col("n_chars") / (F.col("n_chars") + LENGTH_CUT)).alias("score"),
     )

@@ -2,7 +2,7 @@
 
 Definitions that Spark reaches by running sums and equi joins are stated here in
 their direct form: range joins, pooled samples, correlated subqueries, ASOF joins.
-Methods of the drift table are those for more than 1000 reference rows.
+Methods of the drift table are distances.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ EV = """ev AS (
          CAST(hour(ts) AS DOUBLE) AS hour
   FROM (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS d FROM events))"""
 REF = "ref AS (SELECT * FROM ev WHERE ts <= TIMESTAMP '2024-01-10 00:00:00')"
-CUR = "cur AS (SELECT * FROM ev WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-12-31 00:00:00')"
+CUR = "cur AS (SELECT * FROM ev WHERE ts >= TIMESTAMP '2024-01-10 00:00:00')"
 
 
 def windows(source: str, ts: str) -> list[str]:
@@ -333,7 +333,7 @@ ORACLE["concept_shift"] = with_(
 ORACLE["prior_shift"] = with_(
     [*BASE, *shares("event_type")],
     f"""SELECT window_id, value AS label, {r('cn / n_cur', 'share')}, {r('rn / n_ref', 'ref_share')},
-        {r('cn / n_cur - rn / n_ref', 'shift')} FROM sh WHERE cn > 0""",
+        {r('cn / n_cur - rn / n_ref', 'shift')} FROM sh WHERE cn > 0 OR rn > 0""",
 )
 
 # ---------------------------------------------------------------- data quality
@@ -573,7 +573,7 @@ ORACLE["calendar_split_orders"] = """SELECT * FROM (SELECT o_orderkey, o_orderda
 # ---------------------------------------------------------------- metrics
 
 DOC = """doc AS (SELECT doc_id, lang, source, quality AS y, toxic, CAST(n_chars >= 1000 AS INTEGER) AS p, CAST(n_chars >= 2000 AS INTEGER) AS p_other,
-     least(n_chars / 5000.0::DOUBLE, 1.0) AS score FROM labels JOIN documents USING (doc_id))"""
+     n_chars / (n_chars + 1000.0::DOUBLE) AS score FROM labels JOIN documents USING (doc_id))"""
 
 
 def cells(source: str, by: str = "", y: str = "y", p: str = "p") -> str:
@@ -610,7 +610,7 @@ ORACLE["confusion"] = with_(
     [DOC], f"SELECT tn, fp, fn, tp, {rates(['false_negative_rate', 'false_positive_rate', 'selection_rate', 'predicted_positive_rate'])} FROM ({cells('doc')})"
 )
 ORACLE["classification_metrics"] = with_([DOC], f"SELECT lang, {rates(NINE)} FROM ({cells('doc', 'lang')})")
-LEVELS = "lev AS (SELECT event_type, CAST(least(greatest(floor(target/50), 0), 4) AS INTEGER) AS y, CAST(least(greatest(floor(prediction/50), 0), 4) AS INTEGER) AS p FROM ev)"
+LEVELS = "lev AS (SELECT event_type, CAST(floor(target/50) AS INTEGER) AS y, CAST(floor(prediction/50) AS INTEGER) AS p FROM ev)"
 
 
 def per_class(by: str) -> str:
@@ -856,11 +856,10 @@ ORACLE["perturb_noise"] = with_(
 )
 ORACLE["perturb_shuffle"] = with_(
     [
-        _CP, "nc AS (SELECT greatest(1, round_even(count(*) * 0.3 / 10000, 0)) AS cells FROM cp)",
-        f"ch AS (SELECT c_custkey, c_mktsegment, floor({fraction('c_custkey', '3c')} * cells) AS cell FROM cp, nc WHERE {fraction('c_custkey', '3m')} < 0.3)",
-        """rk AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY c_custkey) AS t,
-             row_number() OVER (PARTITION BY cell ORDER BY md5('3p|' || c_custkey), c_custkey) AS f FROM ch)""",
-        "mv AS (SELECT a.c_custkey, b.c_mktsegment FROM rk a JOIN rk b ON a.cell = b.cell AND a.t = b.f)",
+        _CP, f"ch AS (SELECT c_custkey, c_mktsegment FROM cp WHERE {fraction('c_custkey', '3m')} < 0.3)",
+        """rk AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS t,
+             row_number() OVER (ORDER BY md5('3p|' || c_custkey), c_custkey) AS f FROM ch)""",
+        "mv AS (SELECT a.c_custkey, b.c_mktsegment FROM rk a JOIN rk b ON a.t = b.f)",
     ],
     "SELECT c_custkey, c_acctbal, coalesce(mv.c_mktsegment, cp.c_mktsegment) AS c_mktsegment, label FROM cp LEFT JOIN mv USING (c_custkey)",
 )

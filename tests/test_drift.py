@@ -98,18 +98,40 @@ def test_binned_divergence_is_zero_without_drift(frame):
     assert row.psi == pytest.approx(0) and row.kl == pytest.approx(0)
 
 
-def test_method_choice(frame, monkeypatch):
+def test_method_choice(frame):
     rows = [(float(i), "abcdefg"[i % 7], i % 2) for i in range(100)]
     df = frame(rows, REF)
-    assert drift.choose_methods(df, ["x"], ["c", "b"]) == {"x": "ks", "c": "chi2", "b": "z"}
-    assert drift.choose_methods(df, ["x"], ["c"], {"c": "jensen_shannon"})["c"] == "jensen_shannon"
-    monkeypatch.setattr(drift, "SMALL_REFERENCE", 50)
+    assert drift.choose_methods(df, ["x"], ["c", "b"], regime="test") == {"x": "ks", "c": "chi2", "b": "z"}
+    assert drift.choose_methods(df, ["x"], ["c"], {"c": "psi"})["c"] == "psi"
     assert drift.choose_methods(df, ["x"], ["c"]) == {"x": "wasserstein", "c": "jensen_shannon"}
+    assert drift.choose_methods(df.unionAll(df), ["x"], ["c"]) == {"x": "wasserstein", "c": "jensen_shannon"}
+    with pytest.raises(ValueError, match="regime"):
+        drift.choose_methods(df, ["x"], [], regime="other")
+
+
+def test_nulls_infinities_and_changed_types(frame):
+    """A feature without reference values is new; infinite values leave other windows alone; 1 and 1.0 are one category."""
+    ref = frame([(None, float(i), i % 3) for i in range(30)], "new double, x double, c int")
+    rows = [(1.0, float(i), float(i % 3), 1) for i in range(30)]
+    rows += [(2.0, float("inf") if i == 3 else float("nan") if i == 4 else float(i), float(i % 3), 2) for i in range(30)]
+    cur = frame(rows, "new double, x double, c double, window_id int")
+    for regime in ("distance", "test"):
+        table = {(r.window_id, r.feature): r for r in drift.drift_table(ref, cur, ["new", "x"], ["c"], 1000, regime=regime).collect()}
+        assert table[1, "new"].statistic is None and table[1, "new"].detected
+        assert not table[1, "x"].detected and not table[2, "x"].detected
+        assert not table[1, "c"].detected and table[1, "c"].method in ("jensen_shannon", "chi2")
+
+
+def test_vanished_class_has_a_row(frame):
+    ref = frame([("a",), ("a",), ("b",), ("b",)], "y string")
+    cur = frame([("a", 1), ("c", 1), ("b", 2)], "y string, window_id int")
+    got = {(r.window_id, r.label): (r.share, r.ref_share) for r in drift.prior_shift(ref, cur, "y").collect()}
+    assert got == {(1, "a"): (0.5, 0.5), (1, "b"): (0.0, 0.5), (1, "c"): (0.5, 0.0), (2, "a"): (0.0, 0.5), (2, "b"): (1.0, 0.5)}
 
 
 def test_drift_table_directions(data):
     _, _, rdf, cdf_ = data
-    table = drift.drift_table(rdf, cdf_, ["x"], ["c", "b"], 1000).collect()
+    table = drift.drift_table(rdf, cdf_, ["x"], ["c", "b"], 1000, regime="test").collect()
     assert {r.method for r in table} == {"ks", "chi2", "z"}
     for r in table:
         assert r.detected == (r.p_value < 0.05) and r.intensity == pytest.approx(1 - r.p_value)

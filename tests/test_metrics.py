@@ -158,3 +158,8 @@ def test_ks_tail(spark):
     frame = spark.createDataFrame([(0.0, 10, 10), (0.5, 20, 20), (1.0, 100, 100)], "d double, n int, m int")
     p = [r.p for r in frame.select(ks_tail(F.col("d"), F.col("n"), F.col("m")).alias("p")).collect()]
     assert p[0] == 1.0 and 0.005 < p[1] < 0.02 and p[2] < 1e-10
+
+
+def test_given_differences_are_cut_after_the_sum(frame):
+    df = frame([(0.5,), (0.5,), (0.5,), (0.5,)], "d double")
+    assert df.agg(M.error_rate(F.col("d"), F.col("d"), F.col("d")).alias("e")).first().e == 0.5

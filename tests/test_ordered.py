@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from modelwake.operators import ordered
 from modelwake.operators.ordered import asof_join, exact_percentiles, running_totals
 
 PATHS = [10**9, 0]
@@ -83,3 +84,19 @@ def test_spine_rows_without_key_do_not_share_a_task(frame):
     joined = asof_join(spine, facts, "k", "t", "ft", ["v"], 2001)
     parts = joined.groupBy(F.spark_partition_id()).count().count()
     assert joined.count() == 2000 and parts > 1
+
+
+def test_percentiles_of_infinite_and_missing_values_agree_on_both_paths(frame):
+    inf = float("inf")
+    rows = [("a", 1.0), ("a", inf), ("a", inf), ("a", inf), ("b", None), ("c", -inf), ("c", 2.0), ("c", 3.0), ("d", 4.0)]
+    df = frame(rows, "g string, x double")
+    points = [0.0, 0.25, 0.5, 0.75, 1.0]
+    plain = {r.g: r.q for r in ordered.exact_percentiles(df, ["g"], "x", points, 100).collect()}
+    split = {r.g: r.q for r in ordered.exact_percentiles(df, ["g"], "x", points, 100, split_above=0).collect()}
+    assert plain == split and plain["b"] is None and plain["a"][1:] == [inf] * 4
+
+
+def test_global_rank_numbers_all_rows(spark):
+    df = spark.range(1000).selectExpr("id", "md5(string(id)) AS d")
+    got = ordered.global_rank(df, ["d", "id"], "rank").collect()
+    assert [r.rank for r in sorted(got, key=lambda r: (r.d, r.id))] == list(range(1, 1001))
