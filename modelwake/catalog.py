@@ -415,6 +415,43 @@ def auc_exact(spark, folder):
     return rounded(M.auc(tables.scored_documents(spark, folder), "y", "score", rows, ["source"]))
 
 
+# The plans for hot groups, with every group split; their SQL is that of the plain queries.
+
+
+@query
+def ks_by_window_split(spark, folder):
+    run = run_of(spark, folder)
+    return rounded(drift.ks(run.reference, run.assigned, [*NUMERIC, "target", "prediction"], run.rows, split_above=0))
+
+
+@query
+def wasserstein_by_window_split(spark, folder):
+    run = run_of(spark, folder)
+    return rounded(drift.wasserstein(run.reference, run.assigned, [*NUMERIC, "target", "prediction"], run.rows, split_above=0))
+
+
+@query
+def auc_exact_split(spark, folder):
+    rows = tables.row_count(spark, folder, "labels")
+    return rounded(M.auc(tables.scored_documents(spark, folder), "y", "score", rows, ["source"], split_above=0))
+
+
+@query
+def asof_customer_split(spark, folder):
+    labels = tables.churn_labels(spark, folder).select("customer_id", "timestamp")
+    stats = rolling.customer_running_stats(_grain(spark, folder))
+    values = [c for c in stats.columns if c not in ("customer_id", "t_dat")]
+    return rounded(asof_join(labels, stats, "customer_id", "timestamp", "t_dat", values, features.CALENDAR_ROWS, split_above=0))
+
+
+@query
+def drift_tests(spark, folder):
+    """The drift table in the regime of tests: p-values instead of distances."""
+    run = run_of(spark, folder)
+    table = drift.drift_table(run.reference, run.assigned, ["k", "hour"], CATEGORICAL, run.rows, regime="test")
+    return rounded(table.select("window_id", "feature", "method", "statistic", "p_value", "detected"))
+
+
 @query
 def log_loss(spark, folder):
     docs = tables.scored_documents(spark, folder)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwake.functions.exprs import hash_fraction, hash_normal, one_row
@@ -19,9 +19,20 @@ def _digest(keys: Sequence[str], seed: int | str) -> Column:
 
 
 def hash_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows (or all, if fewer) in random but repeatable order of the key hash."""
-    ordered = df.orderBy(_digest(keys, seed), *[F.col(k) for k in keys])
-    return ordered.limit(n)
+    """Exactly ``n`` rows (or all, if fewer), those with the smallest key hashes.
+
+    Counts per hash prefix (at most 65,536) tell which prefix holds the n-th row. All rows
+    below it are taken where they are; only rows of that one prefix are ordered.
+    """
+    digest = _digest(keys, seed)
+    prefix = F.substring(digest, 1, 4)
+    counts = df.groupBy(prefix.alias("_prefix")).agg(F.count("*").alias("_n"))
+    upto = counts.selectExpr("_prefix", "sum(_n) OVER (ORDER BY _prefix) - _n AS _before").where(F.col("_before") < n)
+    edge = one_row(upto.agg(F.max("_prefix").alias("_prefix"), F.max("_before").alias("_before")))
+    inside = df.where(prefix < edge["_prefix"])
+    place = F.row_number().over(Window.partitionBy("_prefix").orderBy("_digest", *keys))
+    last = df.withColumns({"_prefix": prefix, "_digest": digest}).where(F.col("_prefix") == edge["_prefix"]).withColumn("_place", place)
+    return inside.unionByName(last.where(F.col("_place") <= n - edge["_before"]).select(*df.columns))
 
 
 def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:

@@ -903,3 +903,13 @@ ORACLE["stream_window_metrics"] = stream("CAST(date_trunc('day', ts) AS TIMESTAM
 ORACLE["stream_sliding_metrics"] = stream(
     "unnest(generate_series(CAST(date_trunc('day', ts) AS TIMESTAMP) - INTERVAL 6 DAY, CAST(date_trunc('day', ts) AS TIMESTAMP), INTERVAL 1 DAY))", 7
 )
+
+#: Splitting hot groups changes the plan, not the answer.
+for _name in ("ks_by_window", "wasserstein_by_window", "auc_exact", "asof_customer"):
+    ORACLE[f"{_name}_split"] = ORACLE[_name]
+
+ORACLE["drift_tests"] = f"""
+SELECT window_id, feature, 'ks' AS method, statistic, p_value, p_value < 0.05 AS detected
+FROM ({ORACLE["ks_by_window"]}) WHERE feature IN ('k', 'hour')
+UNION ALL
+SELECT window_id, feature, 'chi2' AS method, statistic, p_value, p_value < 0.05 AS detected FROM ({ORACLE["chi2_by_window"]})"""
