@@ -8,13 +8,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelwake.session import scratch_path
 
-#: Characters of text that one Python step turns into word arrays at a time.
-SLICE_CHARS = 4_000_000
+#: Bytes of text that one Python step turns into word arrays at a time.
+SLICE_BYTES = 1_000_000
 #: Rows of a table that may carry a broadcast hint; every use counts the rows first.
 BROADCAST_ROWS = 100_000
 
@@ -33,26 +34,21 @@ class Stages:
         known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
         if root not in known:
             spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
-        self.paths: dict[int, str] = {}
+        #: Path by identity of the table; the table itself is held, so that no other gets its identity.
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = scratch_path(self.spark, "stage")
         df.write.option("compression", "zstd").parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(stored)] = path
-        # The caller's reference keeps the id unique while the path is registered.
-        stored._stage_path = path
+        self.paths[id(stored)] = stored, path
         return stored
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            delete_path(self.spark, self.paths.pop(id(table), None))
-
-
-def delete_path(spark: SparkSession, path: str | None) -> None:
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _, path = self.paths.pop(id(table))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -65,11 +61,13 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut an Arrow batch into runs of rows of about SLICE_CHARS characters; rows stay whole."""
-    sizes = np.asarray([0 if t is None else len(t) for t in batch.column(column).to_pylist()], dtype=np.int64)
+    """Cut an Arrow batch into runs of rows of about SLICE_BYTES bytes of text; rows stay whole."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
     start = 0
     while start < len(sizes):
-        end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), SLICE_CHARS, side="right")))
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
         yield batch.slice(start, end - start)
         start = end
 

@@ -72,7 +72,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, stages: Stages) -> DataFrame:
     moves = stages.keep(both.join(degree, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("out")).alias("part")))
     number = seeds.groupBy("kind").agg(F.count("*").alias("n"))
     start = stages.keep(seeds.join(F.broadcast(number), "kind").select("kind", "host", (1 / F.col("n")).alias("seed")))
-    rank = start.select("kind", "host", F.col("seed").alias("rank"))
+    rank = stages.keep(start.select("kind", "host", F.col("seed").alias("rank")))
     for _ in range(ROUNDS):
         flow = rank.join(moves, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((DAMPING * F.sum(F.col("rank") * F.col("part"))).alias("rank"))
         moved = flow.groupBy("kind").agg(F.sum("rank").alias("moved"))
@@ -82,8 +82,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, stages: Stages) -> DataFrame:
         after = stages.keep(flow.unionByName(home).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
         old = rank.withColumnRenamed("rank", "old")
         change = after.join(old, ["kind", "host"], "full").agg(F.max(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        if rank is not start:
-            stages.drop(rank)
+        stages.drop(rank)
         rank = after
         if change is None or change < TOLERANCE:
             break
