@@ -11,8 +11,10 @@ from modelwake.llm.common import Stages, small
 
 #: Hash topics: the number of topics that long words vote for.
 TOPICS = 8
-#: Rounds of raking at most, and the largest relative distance to a target at which it ends.
+#: Rounds of raking at most, and the share of the mix that still moves at which it ends.
 ROUNDS, TOLERANCE = 40, 1e-3
+#: Rounds between two stored states.
+STORED = 2
 #: Tokens of the mix as a share of all tokens.
 BUDGET = 0.5
 
@@ -24,24 +26,38 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+")).cast("long")
 
 
-def hashed_topic(text: Column, topics: int = TOPICS) -> Column:
-    """The topic most long words vote for, each word for the topic of its hash; ties go to the lowest.
+def with_topic(df: DataFrame, text: Column, keep: list[str], topics: int = TOPICS) -> DataFrame:
+    """``keep`` and topic: the topic most long words vote for, each for that of its hash; ties go to the lowest.
 
     A stand-in where documents carry no topic of their own: it is a fixed function of the
-    text, so copies share it and it needs no training.
+    text, so copies share it and it needs no training. Votes are one string of digits per
+    text, made once and counted by the length without a digit.
     """
+    digits = "0123456789"[:topics]
     long_words = F.filter(F.split(text, r"\s"), lambda w: F.char_length(w) >= 7)
-    votes = F.transform(long_words, lambda w: F.pmod(F.xxhash64(F.lower(w)), F.lit(topics)).cast("int"))
-
-    def count(topic: int) -> Column:
-        return F.size(F.filter(votes, lambda v: v == topic))
-
-    counts = [count(i) for i in range(topics)]
-    best = F.greatest(*counts)
-    chosen = F.lit(0)
-    for i in reversed(range(topics)):
-        chosen = F.when(counts[i] == best, F.lit(i)).otherwise(chosen)
-    return F.concat(F.lit("t"), chosen.cast("string"))
+    votes = F.array_join(F.transform(long_words, lambda w: F.pmod(F.xxhash64(F.lower(w)), F.lit(topics)).cast("string")), "")
+    voted = df.select(*keep, votes.alias("_votes"))
+    fewer = {f"_without{d}": F.length(F.translate("_votes", d, "")) for d in digits}
+    counted = voted.select(*keep, *[c.alias(n) for n, c in fewer.items()])
+    least = F.least(*fewer)
+    topic = F.coalesce(*[F.when(F.col(f"_without{d}") == least, F.lit(f"t{d}")) for d in digits])
+    return counted.select(*keep, topic.alias("topic"))
+
+
+def _scaled(step: DataFrame, margin: str) -> DataFrame:
+    """One step of raking: weights of every category of ``margin`` moved to its target."""
+    weight, want = F.col("weight"), F.col(f"_want_{margin}")
+    # The part of a category that is held at its limit cannot grow; the rest is scaled.
+    held = weight >= F.col("tokens")
+    sums = step.groupBy(F.col(margin).alias("_m")).agg(
+        F.sum(F.when(held, weight).otherwise(0.0)).alias("_held"), F.sum(F.when(held, 0.0).otherwise(weight)).alias("_free")
+    )
+    joined = step.join(sums.hint("merge"), step[margin].eqNullSafe(sums["_m"]))
+    down = F.try_divide(want, F.col("_held") + F.col("_free"))
+    up = F.coalesce(F.try_divide(want - F.col("_held"), F.col("_free")), F.lit(1.0))
+    scaled = F.when(down < 1, weight * down).when(held, weight).otherwise(weight * up)
+    limited = F.least(F.col("tokens").cast("double"), F.coalesce(scaled, F.lit(0.0)))
+    return joined.withColumn("weight", limited).drop("_m", "_held", "_free")
 
 
 def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], budget: float, stages: Stages) -> DataFrame:
@@ -72,40 +88,25 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], b
         shares = joined.withColumn("share", F.coalesce("share", F.lit(left / open_n if open_n else 0.0)))
         whole = shares.agg(F.sum("share")).first()[0]
         wanted[margin] = stages.keep(shares.select(F.col(margin).alias("_key"), (F.col("share") / whole * size).alias("_want")))
-    now = stages.keep(cells.withColumn("weight", F.col("tokens") * F.lit(float(budget))))
-    for _ in range(ROUNDS):
-        step = now
-        for margin in MARGINS:
-            goal = wanted[margin]
-            # The part of a category that is held at its limit cannot move; the rest is scaled.
-            held = F.col("weight") >= F.col("tokens")
-            sums = step.groupBy(F.col(margin).alias("_m")).agg(
-                F.sum(F.when(held, F.col("weight")).otherwise(0.0)).alias("_held"), F.sum(F.when(held, 0.0).otherwise(F.col("weight"))).alias("_free")
-            )
-            factor = sums.join(goal, sums["_m"].eqNullSafe(goal["_key"])).select(
-                "_m",
-                F.try_divide("_want", F.col("_held") + F.col("_free")).alias("_down"),
-                F.try_divide(F.col("_want") - F.col("_held"), F.col("_free")).alias("_free_by"),
-            )
-            joined = step.join(factor, step[margin].eqNullSafe(factor["_m"]), "left")
-            scaled = (
-                F.when(F.col("_down") < 1, F.col("weight") * F.col("_down"))
-                .when(held, F.col("weight"))
-                .otherwise(F.col("weight") * F.coalesce(F.col("_free_by"), F.lit(1.0)))
-            )
-            step = joined.withColumn("weight", F.least(F.col("tokens").cast("double"), F.coalesce(scaled, F.lit(0.0)))).drop("_m", "_down", "_free_by")
-        after = stages.keep(step.withColumn("_before", F.col("weight")).select(*cells.columns, "weight"))
-        moved = (
-            after.select(*[F.col(m) for m in MARGINS], F.col("weight").alias("_new"))
-            .join(now.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "weight"), F.expr(" AND ".join(f"{m} <=> _{m}" for m in MARGINS)))
-            .agg(F.max(F.abs(F.col("_new") - F.col("weight")) / F.greatest(F.col("weight"), F.lit(1.0))))
-            .first()[0]
-        )
+    # Joins on margins sort and merge: a broadcast per margin and round would pile up on the driver.
+    start = cells.withColumn("weight", F.col("tokens") * F.lit(float(budget)))
+    for margin in MARGINS:
+        goal = wanted[margin].withColumnRenamed("_want", f"_want_{margin}").hint("merge")
+        start = start.join(goal, start[margin].eqNullSafe(goal["_key"]), "left").drop("_key")
+    now = stages.keep(start.withColumn("_moved", F.lit(0.0)))
+    for _ in range(ROUNDS // STORED):
+        step = now.drop("_moved")
+        for _ in range(STORED):
+            step = step.withColumn("_was", F.col("weight"))
+            for margin in MARGINS:
+                step = _scaled(step, margin)
+        after = stages.keep(step.withColumn("_moved", F.abs(F.col("weight") - F.col("_was"))).select(*now.columns))
+        moved = after.agg(F.sum("_moved")).first()[0] / size
         stages.drop(now)
         now = after
-        if moved is None or moved < TOLERANCE:
+        if moved < TOLERANCE:
             break
-    return now
+    return now.select(*cells.columns, "weight")
 
 
 #: Shares of languages and sources of the mix as it is produced here: sources and topics alike.
@@ -118,7 +119,8 @@ TARGETS: dict[str, dict[str, float] | None] = {
 
 def _measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", "source", "lang", hashed_topic(text).alias("topic"), token_count(text).alias("tokens"))
+    counted = docs.select("doc_id", "source", "lang", text.alias("text"), token_count(text).alias("tokens"))
+    return with_topic(counted, F.col("text"), ["doc_id", "source", "lang", "tokens"])
 
 
 def _chance(doc_id: Column) -> Column:
@@ -171,8 +173,7 @@ def mixed_documents(docs: DataFrame, targets: Mapping[str, Mapping[str, float] |
     measured = stages.keep(_measured(docs))
     chances, rows = _calibrated(measured, targets, budget, stages)
     stages.drop(measured)
-    keyed = docs.select(
-        F.struct(*docs.columns).alias("row"), "source", "lang", hashed_topic(F.coalesce("text", F.lit(""))).alias("topic")
-    )
+    rows_only = docs.select(F.struct(*docs.columns).alias("row"), "source", "lang")
+    keyed = with_topic(rows_only, F.coalesce("row.text", F.lit("")), ["row", "source", "lang"])
     drawn = _cell(keyed, chances, rows).where(_chance(F.col("row.doc_id")) < F.col("probability"))
     return drawn.select(*[F.col("row")[c].alias(c) for c in docs.columns])
