@@ -48,9 +48,9 @@ def confusion(df: DataFrame, y: str, p: str, by: Sequence[str] = (), negative=0,
 
 
 def error_rate(y: Column, p: Column, diff: Column | None = None) -> Column:
-    """Summed absolute difference, the sum cut to an integer, per row; 0 for no rows."""
+    """Summed absolute difference, the sum cut to an integer, per row with both values; 0 for no rows."""
     gap = F.abs(p - y) if diff is None else diff.cast("double")
-    return F.coalesce(ratio(F.sum(gap).cast("long"), F.count("*")), F.lit(0.0))
+    return F.coalesce(ratio(F.sum(gap).cast("long"), F.count(gap)), F.lit(0.0))
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
@@ -121,8 +121,12 @@ def regression_metrics(
 
 
 def class_report(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """Precision, recall, F1 and support per true class, from one count per (y, p) cell."""
-    cells = df.groupBy(*by, F.col(y).alias("_y"), F.col(p).alias("_p")).agg(F.count("*").alias("n"))
+    """Precision, recall, F1 and support per true class, from one count per (y, p) cell.
+
+    Like all metrics here it scores the rows with both values; null is no class.
+    """
+    scored = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    cells = scored.groupBy(*by, F.col(y).alias("_y"), F.col(p).alias("_p")).agg(F.count("*").alias("n"))
     hit = F.when(F.col("_y") == F.col("_p"), F.col("n")).otherwise(0)
     roles = F.explode(
         F.array(

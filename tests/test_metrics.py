@@ -163,3 +163,11 @@ def test_ks_tail(spark):
 def test_given_differences_are_cut_after_the_sum(frame):
     df = frame([(0.5,), (0.5,), (0.5,), (0.5,)], "d double")
     assert df.agg(M.error_rate(F.col("d"), F.col("d"), F.col("d")).alias("e")).first().e == 0.5
+
+
+def test_rows_without_both_values_are_not_scored(frame):
+    rows = [(1, 1), (1, 0), (0, 1), (0, 0), (1, None), (None, 1), (None, None)]
+    df, plain = frame(rows, "y int, p int"), frame(rows[:4], "y int, p int")
+    for make in (M.classification_metrics, M.class_report, M.weighted_prf):
+        assert sorted(make(df, "y", "p").collect()) == sorted(make(plain, "y", "p").collect())
+    assert M.metric_report(df, "y", "p", "binary_classification").collect() == M.metric_report(plain, "y", "p", "binary_classification").collect()
