@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from modelwake.llm.common import Stages, small
 
-#: A line is boilerplate from this many distinct sites on, ...
+#: A line is boilerplate from this many distinct sites on, and as many different documents.
 MIN_SITES = 5
-#: ... if at least this share of the documents with it are different documents.
-MIN_DIFFERENT = 0.5
 #: Size of a sketch, 2 ** LG_K registers: a standard error of 1.6 %.
 LG_K = 12
 #: Around a threshold, estimates closer than this share (five standard errors) are counted exactly.
@@ -21,56 +19,45 @@ def _line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def _body_key(text: Column) -> Column:
-    """The smallest hash of a text's long words: copies and near copies mostly agree on it.
-
-    Short words are left out because unrelated texts share them.
-    """
-    long_words = F.filter(F.split(text, r"\s"), lambda w: F.char_length(w) >= 9)
-    return F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64(text))
-
-
 def line_spread(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Lines on ``min_sites`` or more distinct sites: line (hash), n_docs, n_sites, n_bodies, boilerplate.
+    """Lines on ``min_sites`` or more distinct sites: line (hash), n_docs, n_sites, n_carriers, boilerplate.
 
-    One HyperLogLog sketch of the sites and one of the bodies per line hash are built on the
-    map side and merged by aggregation, so a line of all documents is no hot key. Lines
-    whose estimates lie near a threshold get exact distinct counts.
+    A carrier is a document up to copies: all documents of the same set of lines are one.
+    One HyperLogLog sketch of the sites and one of the carriers per line hash are built on
+    the map side and merged by aggregation, so a line of all documents is no hot key. Lines
+    whose estimates lie near the threshold get exact distinct counts.
     """
     stages = Stages(docs.sparkSession)
     # A line counts once in a document.
     distinct_lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda line: F.trim(line) != ""), _line_key))
     # Keys are made before the lines are unfolded, and the lines are stored for the exact counts.
-    bodies = docs.where("text IS NOT NULL").select(
-        F.xxhash64("source").alias("site"), _body_key(F.col("text")).alias("body"), distinct_lines.alias("lines")
-    )
-    keyed = stages.keep(bodies.select("site", "body", F.explode("lines").alias("line")))
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("source").alias("site"), F.sort_array(distinct_lines).alias("lines"))
+    keyed = stages.keep(texts.select("site", F.xxhash64("lines").alias("carrier"), F.explode("lines").alias("line")))
     sketched = keyed.groupBy("line").agg(
         F.count("*").alias("n_docs"),
         F.min("site").alias("one"), F.max("site").alias("other"),
         F.hll_sketch_agg("site", F.lit(LG_K)).alias("sites"),
-        F.hll_sketch_agg("body", F.lit(LG_K)).alias("bodies"),
+        F.hll_sketch_agg("carrier", F.lit(LG_K)).alias("carriers"),
     )
+    estimates = [F.hll_sketch_estimate(c).alias(c) for c in ("sites", "carriers")]
     estimated = stages.keep(
         sketched.where((F.col("n_docs") >= min_sites) & (F.col("one") != F.col("other")))
-        .select("line", "n_docs", F.hll_sketch_estimate("sites").alias("sites"), F.hll_sketch_estimate("bodies").alias("bodies"))
+        .select("line", "n_docs", *estimates)
         .where(F.col("sites") >= min_sites * (1 - BAND))
     )
-    sites_far = F.col("sites") > min_sites * (1 + BAND)
-    half = F.col("n_docs") * MIN_DIFFERENT
-    bodies_far = (F.col("bodies") > half * (1 + BAND)) | (F.col("bodies") < half * (1 - BAND))
-    near = stages.keep(estimated.where(~(sites_far & bodies_far)).select("line"))
+    close = [F.col(c).between(min_sites * (1 - BAND), min_sites * (1 + BAND)) for c in ("sites", "carriers")]
+    near = stages.keep(estimated.where(close[0] | close[1]).select("line"))
     wanted = keyed.join(small(near, near.count()), "line", "left_semi")
     exact_sites = wanted.select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("exact_sites"))
-    exact_bodies = wanted.select("line", "body").distinct().groupBy("line").agg(F.count("*").alias("exact_bodies"))
-    exact = stages.keep(exact_sites.join(exact_bodies, "line"))
+    exact_carriers = wanted.select("line", "carrier").distinct().groupBy("line").agg(F.count("*").alias("exact_carriers"))
+    exact = stages.keep(exact_sites.join(exact_carriers, "line"))
     stages.drop(near, keyed)
-    n_sites, n_bodies = F.coalesce("exact_sites", "sites"), F.coalesce("exact_bodies", "bodies")
+    n_sites, n_carriers = F.coalesce("exact_sites", "sites"), F.coalesce("exact_carriers", "carriers")
     return (
         estimated.join(exact, "line", "left")
-        .select("line", "n_docs", n_sites.alias("n_sites"), n_bodies.alias("n_bodies"))
+        .select("line", "n_docs", n_sites.alias("n_sites"), n_carriers.alias("n_carriers"))
         .where(F.col("n_sites") >= min_sites)
-        .withColumn("boilerplate", F.col("n_bodies") >= half)
+        .withColumn("boilerplate", F.col("n_carriers") >= min_sites)
     )
 
 
@@ -100,10 +87,11 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
     One row per row of ``docs``: doc_id, text (what stays), n_lines and n_removed. A line is
     compared without blanks at its ends; blank lines always stay and are never counted. A
-    line is boilerplate if documents of ``min_sites`` or more sources carry it and if these
-    documents differ: at least half as many smallest long-word hashes as documents. Without
-    the second rule all lines of a text that was copied to five sites would go, from every
-    copy; copies are left to the deduplication of documents.
+    line is boilerplate if documents of ``min_sites`` or more sources carry it and if as many
+    of these documents differ in their sets of lines. Without the second rule all lines of
+    a text that was copied to five sites would go, from every copy; copies are left to the
+    deduplication of documents. Copies with edits differ: a line that ``min_sites`` edited
+    versions on as many sites have in common is boilerplate.
 
     A null source is one more site. A null text stays null with no lines; a text of
     boilerplate only becomes empty; its row stays. Repeated rows are judged alike. An empty

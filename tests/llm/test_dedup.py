@@ -118,6 +118,17 @@ def test_near_threshold_lines_are_counted_exactly(docs_of):
     assert sorted((r.n_docs, r.n_sites, r.boilerplate) for r in spread) == [(12, 5, True), (12, 6, True)]
 
 
+def test_boilerplate_with_a_common_long_word_is_removed(docs_of):
+    # Every hash of the long words may be the smallest: all texts share the same few of them.
+    shared = "Considerably longwordnotice everywhere"
+    texts = [f"{shared}\nown {i} {' '.join(words(i, 9, 10**6))}" for i in range(40)]
+    texts += ["copied wholesale paragraph\nwith another line"] * 30
+    got = lines.line_dedup(docs_of(texts, sources=[f"s{i % 10}" for i in range(70)])).collect()
+    assert sorted((r.n_removed, "copied" in r.text) for r in got) == [(0, True)] * 30 + [(1, False)] * 40
+    spread = lines.line_spread(docs_of(texts, sources=[f"s{i % 10}" for i in range(70)])).collect()
+    assert sorted((r.n_docs, r.n_sites, r.n_carriers, r.boilerplate) for r in spread) == [(30, 10, 1, False), (30, 10, 1, False), (40, 10, 40, True)]
+
+
 def test_repeated_passages(docs_of, hard, empty):
     passage = " ".join(words(77, 60, 10**6))
     exactly = " ".join(words(78, 50, 10**6))
