@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwake.llm.common import Stages, small, text_slices
 
-#: Order of the model, and its symbols: the most frequent characters, one for all others and the border.
-ORDER = 3
+#: A trigram is three code points of 21 bits in one long; EDGE, past the last one, is the border of a text.
+BITS = 21
+EDGE = 0x110000
+#: The lowest order is uniform over the trusted characters, at least so many symbols.
 SYMBOLS = 120
+#: Places of the border and of characters without a place in the dense view of a small model.
 BORDER, OTHER = 0, 1
-#: Languages with a model of their own, by trusted characters; the others use the pooled one.
-LANGUAGES = 64
+#: Rows of the table of trigram prices up to which it meets the documents by broadcast; beyond, both sides shuffle.
+PRICE_ROWS = 1_000_000
 #: A document is rejected above this quantile of the trusted documents of its language.
 QUANTILE = 0.9995
 #: Standard errors of its own cross-entropy by which a document must exceed the quantile.
@@ -26,65 +30,63 @@ CAUTION = 2.0
 POOLED = "*"
 
 
-def model_name() -> F.Column:
+def model_name() -> Column:
     """Name of the model of a language; the pooled one cannot clash with it."""
     return F.concat(F.lit("lang:"), F.col("lang"))
 
 
-def _symbols(alphabet: list[int]) -> np.ndarray:
-    table = np.full(0x110000, OTHER, dtype=np.int32)
-    table[alphabet] = np.arange(2, len(alphabet) + 2)
-    return table
+def _last(gram: Column, n: int) -> Column:
+    return gram.bitwiseAND(F.lit((1 << BITS * n) - 1))
 
 
-def _grams(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all trigrams of the texts one after the other, and the end of every text in them.
 
     A text of n characters has n + 1 trigrams: two borders stand before it and one behind.
     """
     sizes = np.asarray([len(t) if t else 0 for t in texts], dtype=np.int64)
     joined = "".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass")
-    letters = table[np.frombuffer(joined, dtype=np.uint32)].astype(np.int64)
     ends = np.cumsum(sizes + 1)
-    last = np.zeros(len(letters) + len(texts), dtype=np.int64)  # BORDER at every end
+    last = np.full(int(sizes.sum()) + len(texts), EDGE, dtype=np.int64)
     inside = np.ones(len(last), dtype=bool)
     inside[ends - 1] = False
-    last[inside] = letters
+    last[inside] = np.frombuffer(joined, dtype=np.uint32)
     place = np.arange(len(last)) - np.repeat(ends - sizes - 1, sizes + 1)
-    one = np.where(place >= 1, np.concatenate([[0], last[:-1]]) if len(last) else last, BORDER)
-    two = np.where(place >= 2, np.concatenate([[0, 0], last[:-2]])[: len(last)], BORDER)
-    return (two * SYMBOLS + one) * SYMBOLS + last, ends
+    before = np.concatenate([[EDGE, EDGE], last])
+    one = np.where(place >= 1, before[1:-1], EDGE)
+    two = np.where(place >= 2, before[:-2], EDGE)
+    return (two << 2 * BITS) | (one << BITS) | last, ends
 
 
-def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0x110000, dtype=np.int64)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in text_slices(batch):
-            joined = "".join(t or "" for t in rows.column("text").to_pylist()).encode("utf-32-le", "surrogatepass")
-            counted = np.bincount(np.frombuffer(joined, dtype=np.uint32))
-            total[: len(counted)] += counted
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["c", "n"])
-
-
-def _counted(alphabet: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _symbols(alphabet)
-        for batch in batches:
-            for rows in text_slices(batch):
-                models = np.asarray(rows.column("model").to_pylist(), dtype=object)
-                grams, ends = _grams(rows.column("text").to_pylist(), table)
-                owner = np.repeat(np.arange(len(models)), np.diff(np.concatenate([[0], ends])))
-                for name in pd.unique(models):
-                    found, n = np.unique(grams[(models == name)[owner]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(n)], names=["model", "gram", "n"]
-                    )
-
-    return run
-
-
-def _discounted(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+            models = np.asarray(rows.column("model").to_pylist(), dtype=object)
+            grams, ends = _grams(rows.column("text").to_pylist())
+            owner = np.repeat(np.arange(len(models)), np.diff(np.concatenate([[0], ends])))
+            for name in pd.unique(models):
+                found, n = np.unique(grams[(models == name)[owner]], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(n)], names=["model", "gram", "n"]
+                )
+
+
+_DISTINCT = ("h0", "h1", "m", "gram", "n")
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different trigrams of every text with their counts."""
+    for batch in batches:
+        for rows in text_slices(batch):
+            grams, ends = _grams(rows.column("text").to_pylist())
+            parts = [np.unique(g, return_counts=True) for g in np.split(grams, ends[:-1])]
+            repeats = [len(found) for found, _ in parts]
+            keys = [np.repeat(rows.column(k).to_numpy(zero_copy_only=False), repeats) for k in _DISTINCT[:3]]
+            columns = [*keys, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(_DISTINCT))
+
+
+def _discounted(counts: DataFrame, order: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """Per n-gram its discounted share of its context, and per context the weight left for the lower order.
 
     ``counts``: model, gram, n. Counts of counts give the three discounts of each model;
@@ -94,15 +96,15 @@ def _discounted(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
     of = counts.groupBy("model").agg(*parts)
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
-    def discount(k: int) -> F.Column:
+    def discount(k: int) -> Column:
         # Where a count of counts is missing, absolute discounting by k / 2 takes its place.
         full = F.lit(k) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
         return F.least(F.greatest(F.coalesce(full, F.lit(k / 2)), F.lit(0.05)), F.lit(float(k) - 0.05)).alias(f"d{k}")
 
-    of = of.select("model", *[discount(k) for k in (1, 2, 3)])
-    context = F.expr(f"gram div {SYMBOLS}") if order > 1 else F.lit(0).cast("long")
+    of = stages.keep(of.select("model", *[discount(k) for k in (1, 2, 3)]))
+    context = F.shiftright("gram", BITS) if order > 1 else F.lit(0).cast("long")
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rich = counts.join(small(of, LANGUAGES + 1), "model").select("model", "gram", context.alias("context"), "n", d.alias("d"))
+    rich = counts.join(small(of, of.count()), "model").select("model", "gram", context.alias("context"), "n", d.alias("d"))
     sums = rich.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
     share = rich.join(sums, ["model", "context"]).select("model", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
     weight = sums.select("model", F.col("context").alias("gram"), (F.col("left") / F.col("total")).alias("value"))
@@ -110,144 +112,144 @@ def _discounted(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
 
 
 class LanguageModel:
-    """Interpolated modified Kneser-Ney trigram models over characters, one per language and a pooled one."""
+    """Interpolated modified Kneser-Ney trigram models over characters, one per language and a pooled one.
 
-    def __init__(self, alphabet: list[int], tables: pd.DataFrame):
-        self.alphabet = alphabet
-        self.tables = {name: t for name, t in tables.groupby("model")}
+    ``tables`` is a stored table (model, kind, gram, value) of discounted shares and back-off
+    weights of every order; it grows with the trusted text and is met by equi-joins.
+    """
+
+    def __init__(self, tables: DataFrame):
+        self.tables = tables
+        self.models = tables.where("kind = 'weight1'").select("model")
+        self.rows = tables.count()
+        seen = tables.where((F.col("kind") == "share1") & (F.col("model") == POOLED) & (F.col("gram") != EDGE))
+        self.size = max(SYMBOLS, seen.count() + 2)
+
+    def _kind(self, kind: str, key: str) -> DataFrame:
+        part = self.tables.where(F.col("kind") == kind).select("model", F.col("gram").alias(key), F.col("value").alias(kind))
+        return small(part, self.rows)
+
+    def prices(self, grams: DataFrame) -> DataFrame:
+        """-log P(c | a, b) of every row of ``grams`` (model, gram), seen or not."""
+        gram = F.col("gram")
+        keys = {
+            "share3": gram, "weight3": F.shiftright(gram, BITS), "share2": _last(gram, 2),
+            "weight2": F.shiftright(_last(gram, 2), BITS), "share1": _last(gram, 1),
+        }
+        priced = grams.select("model", "gram", *[k.alias(f"_{kind}") for kind, k in keys.items()])
+        for kind in keys:
+            priced = priced.join(self._kind(kind, f"_{kind}"), ["model", f"_{kind}"], "left")
+        lowest = self.tables.where("kind = 'weight1'").select("model", F.col("value").alias("weight1"))
+        priced = priced.join(small(lowest, lowest.count()), "model")
+        p = F.coalesce("share1", F.lit(0.0)) + F.col("weight1") / self.size
+        for order in (2, 3):
+            p = F.coalesce(f"share{order}", F.lit(0.0)) + F.coalesce(f"weight{order}", F.lit(1.0)) * p
+        return priced.select("model", "gram", (-F.log(p)).alias("price"))
+
+    @property
+    def alphabet(self) -> list[int]:
+        """The characters of a small model, for its dense view: at most SYMBOLS - 2, the smallest ones."""
+        seen = self.tables.where((F.col("kind") == "share1") & (F.col("model") == POOLED) & (F.col("gram") != EDGE))
+        return [r["gram"] for r in seen.orderBy("gram").limit(SYMBOLS - 2).collect()]
 
     def log_probabilities(self, name: str) -> np.ndarray:
-        """log P(c | a, b) for every trigram, seen or not, as one array."""
+        """log P(c | a, b) for every trigram of a model of few characters as one array, to look at it."""
         a = SYMBOLS
-        kinds = {kind: (t["gram"].to_numpy(), t["value"].to_numpy()) for kind, t in self.tables[name].groupby("kind")}
-
-        def filled(kind: str, size: int, empty: float) -> np.ndarray:
-            out = np.full(size, empty)
-            if kind in kinds:
-                out[kinds[kind][0]] = kinds[kind][1]
-            return out
-
-        p = filled("share1", a, 0.0) + filled("weight1", 1, 1.0) / a
-        p = filled("share2", a * a, 0.0).reshape(a, a) + filled("weight2", a, 1.0)[:, None] * p[None, :]
-        p = filled("share3", a**3, 0.0).reshape(a, a, a) + filled("weight3", a * a, 1.0).reshape(a, a, 1) * p[None, :, :]
+        place = {EDGE: BORDER} | {c: i + 2 for i, c in enumerate(self.alphabet)}
+        if self.size > a:
+            raise ValueError(f"the dense view holds {a} symbols, the model has {self.size}")
+        flat = {kind: np.full(a**n, empty) for kind, n, empty in [
+            ("share1", 1, 0.0), ("weight1", 0, 1.0), ("share2", 2, 0.0), ("weight2", 1, 1.0), ("share3", 3, 0.0), ("weight3", 2, 1.0)
+        ]}
+        for r in self.tables.where(F.col("model") == name).collect():
+            at = 0
+            for i in reversed(range(int(math.log(len(flat[r["kind"]]), a) + 0.5))):
+                at = at * a + place[(r["gram"] >> BITS * i) & ((1 << BITS) - 1)]
+            flat[r["kind"]][at] = r["value"]
+        p = flat["share1"] + flat["weight1"] / a
+        p = flat["share2"].reshape(a, a) + flat["weight2"][:, None] * p[None, :]
+        p = flat["share3"].reshape(a, a, a) + flat["weight3"].reshape(a, a, 1) * p[None, :, :]
         return np.log(p).ravel().astype(np.float32)
 
 
 def train(trusted: DataFrame, stages: Stages) -> LanguageModel:
-    """Fit the models on all of ``trusted`` (lang, text).
+    """Fit the models on all of ``trusted`` (lang, text): every character and every language counts."""
+    named = trusted.where("text <> ''").select(F.coalesce(model_name(), F.lit(POOLED)).alias("model"), "text")
+    counted = stages.keep(named.mapInArrow(_counted, "model string, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n")))
+    pooled = counted.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("model"), "gram", "n")
+    counts = stages.keep(counted.where(F.col("model") != POOLED).unionByName(pooled))
 
-    What reaches the driver is bounded by the alphabet and LANGUAGES: at most SYMBOLS ** 3
-    rows per model, some tens of thousands in practice, whatever the size of the text.
-    """
-    texts = trusted.select("lang", "text").where("text <> ''")
-    characters = texts.mapInArrow(_characters, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    alphabet = [r["c"] for r in characters.orderBy(F.desc("n"), "c").limit(SYMBOLS - 2).collect()]
-    named = texts.select(F.coalesce(model_name(), F.lit(POOLED)).alias("model"), "text")
-    counted = stages.keep(
-        named.mapInArrow(_counted(alphabet), "model string, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
-    )
-    largest = counted.where(F.col("model") != POOLED).groupBy("model").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "model")
-    own = counted.join(F.broadcast(largest.limit(LANGUAGES).select("model")), "model", "left_semi")
-    counts = own.unionByName(counted.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("model"), "gram", "n"))
-    counts = stages.keep(counts)
-
-    def lower(df: DataFrame, size: int) -> DataFrame:
+    def lower(df: DataFrame, order: int) -> DataFrame:
         """Continuation counts: in how many different characters' company the shorter n-gram ends a longer one."""
-        return df.groupBy("model", (F.col("gram") % size).alias("gram")).agg(F.count("*").alias("n"))
+        return df.groupBy("model", _last(F.col("gram"), order).alias("gram")).agg(F.count("*").alias("n"))
 
-    two = lower(counts, SYMBOLS**2)
+    two = lower(counts, 2)
     tables = None
-    for order, table in ((3, counts), (2, two), (1, lower(two, SYMBOLS))):
-        for kind, part in zip(("share", "weight"), _discounted(table, order), strict=True):
-            part = part.withColumn("kind", F.lit(f"{kind}{order}"))
+    for order, table in ((3, counts), (2, two), (1, lower(two, 1))):
+        for kind, part in zip(("share", "weight"), _discounted(table, order, stages), strict=True):
+            part = part.select("model", F.lit(f"{kind}{order}").alias("kind"), "gram", "value")
             tables = part if tables is None else tables.unionByName(part)
-    model = LanguageModel(alphabet, tables.toPandas())
+    model = LanguageModel(stages.keep(tables))
     stages.drop(counted, counts)
     return model
 
 
-_SCORE = "model string, n_chars long, entropy double, error double"
-
-
-def _scores(rows: pa.RecordBatch, model: LanguageModel, table: np.ndarray, dense: dict[str, np.ndarray]) -> list[np.ndarray]:
-    langs = rows.column("lang").to_pylist()
-    names = [f"lang:{x}" if f"lang:{x}" in model.tables and x is not None else POOLED for x in langs]
-    grams, ends = _grams(rows.column("text").to_pylist(), table)
-    starts = np.concatenate([[0], ends[:-1]])
-    n = ends - starts - 1
-    loss = np.zeros(len(grams), dtype=np.float32)
-    owner = np.repeat(np.arange(len(names)), ends - starts)
-    for name in set(names):
-        if name not in dense:
-            dense[name] = model.log_probabilities(name)
-        mine = (np.asarray(names, dtype=object) == name)[owner]
-        loss[mine] = -dense[name][grams[mine]]
-    mean = np.add.reduceat(loss, starts, dtype=np.float64) / (n + 1)
-    square = np.add.reduceat(np.square(loss), starts, dtype=np.float64) / (n + 1)
-    error = np.sqrt(np.maximum(square - mean * mean, 0) / (n + 1))
-    return [np.asarray(names, dtype=object), n, np.where(n > 0, mean, np.nan), error]
-
-
-def _scored(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, dense = model.value, {}
-        table = _symbols(fitted.alphabet)
-        for batch in batches:
-            for rows in text_slices(batch):
-                names, n, mean, error = _scores(rows, fitted, table, dense)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id"), rows.column("lang"), pa.array(names, pa.string()), pa.array(n, pa.int64()),
-                        pa.array(mean, mask=np.isnan(mean)), pa.array(error),
-                    ],
-                    names=["doc_id", "lang", "model", "n_chars", "entropy", "error"],
-                )
-
-    return run
-
-
-def _passing(model, limits: dict[str, float]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, dense = model.value, {}
-        table = _symbols(fitted.alphabet)
-        for batch in batches:
-            for rows in text_slices(batch):
-                names, n, mean, error = _scores(rows, fitted, table, dense)
-                limit = np.asarray([limits[x] for x in names])
-                yield rows.filter(pa.array(np.where(n > 0, mean - CAUTION * error <= limit, False)))
-
-    return run
-
-
 class QualityClassifier:
-    """A fitted model with one entropy limit per model name."""
+    """A fitted model, the scores of all texts and one entropy limit per model name."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE):
         """Fit on the rows of ``docs`` that ``labels`` (doc_id, quality) calls good."""
         self.stages = Stages(docs.sparkSession)
         good = labels.where("quality = 1").select("doc_id").distinct()
         trusted = docs.select("doc_id", "lang", "text").join(small(good, good.count()), "doc_id", "left_semi")
-        fitted = train(trusted, self.stages)
-        if not fitted.tables:
+        self.model = train(trusted, self.stages)
+        if not self.model.rows:
             raise ValueError("no trusted text to fit the quality model on")
-        self.model = docs.sparkSession.sparkContext.broadcast(fitted)
-        self.scored = self.stages.keep(self._score(docs))
+        names = self.stages.keep(self.model.models.select(F.col("model").alias("_own")))
+        self.names = small(names, names.count())
+        texts = self._keyed(docs).where("text <> ''").select("h0", "h1", "model", "m", "text")
+        self.scored = self.stages.keep(self._scores(texts))
         # What a trusted document must exceed to be rejected, over all trusted documents.
         lowest = (F.col("entropy") - CAUTION * F.col("error")).alias("lowest")
-        judged = self.scored.join(small(good, good.count()), "doc_id", "left_semi").where("entropy IS NOT NULL").select("model", lowest)
+        judged = self._with_scores(self._keyed(trusted).where("text <> ''")).select("model", lowest)
         everywhere = judged.select(F.lit(POOLED).alias("model"), "lowest")
         each = judged.where(F.col("model") != POOLED).unionByName(everywhere)
-        limits = each.groupBy("model").agg(F.percentile_approx("lowest", F.lit(quantile), F.lit(10_000)).alias("limit"))
-        self.limits = {r["model"]: r["limit"] for r in limits.collect()}
-
-    def _score(self, docs: DataFrame) -> DataFrame:
-        texts = docs.select("doc_id", "lang", "text")
-        return texts.mapInArrow(_scored(self.model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {_SCORE}")
-
-    def judged(self) -> DataFrame:
-        rows = self.stages.spark.createDataFrame(list(self.limits.items()), "model string, limit double")
+        self.limits = self.stages.keep(
+            each.groupBy("model").agg(F.percentile_approx("lowest", F.lit(quantile), F.lit(10_000)).alias("limit"))
+        )
+
+    def _keyed(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with a digest of the text (h0, h1), the name of its model and a number of that (m)."""
+        named = docs.join(self.names, model_name() == F.col("_own"), "left").withColumn("model", F.coalesce("_own", F.lit(POOLED)))
+        return named.drop("_own").withColumns({
+            "h0": F.xxhash64("text", F.lit(0)), "h1": F.xxhash64(F.lit(1), "text"), "m": F.xxhash64("model"),
+        })
+
+    def _scores(self, texts: DataFrame) -> DataFrame:
+        """h0, h1, m, entropy and spread (the variance of the price of a character) of every different text."""
+        distinct = texts.select("h0", "h1", "m", "text").mapInArrow(_distinct, ", ".join(f"{c} long" for c in _DISTINCT))
+        names = self.names.select(F.col("_own").alias("model"), F.xxhash64("_own").alias("m"))
+        used = distinct.select("m", "gram").distinct().join(names, "m").select("model", "gram")
+        prices = self.stages.keep(self.model.prices(used).select(F.xxhash64("model").alias("m"), "gram", "price"))
+        rows = prices.count()
+        priced = distinct.join(F.broadcast(prices) if rows <= PRICE_ROWS else prices, ["m", "gram"])
+        # Copies of a text add equal parts to all three sums.
+        n, price = F.col("n"), F.col("price")
+        sums = priced.groupBy("h0", "h1", "m").agg(
+            F.sum("n").alias("n"), F.sum(n * price).alias("one"), F.sum(n * price * price).alias("two")
+        )
+        mean = F.col("one") / n
+        return sums.select("h0", "h1", "m", mean.alias("entropy"), F.greatest(F.col("two") / n - mean * mean, F.lit(0.0)).alias("spread"))
+
+    def _with_scores(self, keyed: DataFrame) -> DataFrame:
+        """``keyed`` without text but with n_chars, entropy and its standard error."""
+        rows = keyed.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).drop("text")
+        return rows.join(self.scored, ["h0", "h1", "m"], "left").withColumn("error", F.sqrt(F.col("spread") / (F.col("n_chars") + 1)))
+
+    def judged(self, docs: DataFrame) -> DataFrame:
+        rows = self._with_scores(self._keyed(docs.select("doc_id", "lang", "text")))
         lowest = F.col("entropy") - CAUTION * F.col("error")
-        return self.scored.join(F.broadcast(rows), "model").select(
+        return rows.join(small(self.limits, self.limits.count()), "model", "left").select(
             "doc_id", "lang", "model", "n_chars",
             F.exp("entropy").alias("perplexity"),
             F.exp("limit").alias("limit"),
@@ -255,7 +257,18 @@ class QualityClassifier:
         )
 
     def passing(self, docs: DataFrame) -> DataFrame:
-        return docs.mapInArrow(_passing(self.model, self.limits), docs.schema)
+        """The rows of ``docs`` that are kept; texts meet the rejected digests only."""
+        own = F.struct(*docs.columns).alias("row")
+        keyed = self._keyed(docs.select("lang", "text", own)).where("text <> ''")
+        rejected = self.stages.keep(self._rejected(docs))
+        kept = keyed.select("row", "h0", "h1", "m").join(small(rejected, rejected.count()), ["h0", "h1", "m"], "left_anti")
+        return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+    def _rejected(self, docs: DataFrame) -> DataFrame:
+        rows = self._with_scores(self._keyed(docs.select("lang", "text")).where("text <> ''"))
+        limited = rows.join(small(self.limits, self.limits.count()), "model", "left")
+        good = F.coalesce(F.col("entropy") - CAUTION * F.col("error") <= F.col("limit"), F.lit(False))
+        return limited.where(~good).select("h0", "h1", "m").distinct()
 
 
 def judged_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -274,9 +287,9 @@ def judged_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     if docs.isEmpty():
         return docs.selectExpr("doc_id", "lang", "'' AS model", "0L AS n_chars", "0D AS perplexity", "0D AS limit", "true AS kept")
-    return QualityClassifier(docs, labels).judged()
+    return QualityClassifier(docs, labels).judged(docs)
 
 
 def passing_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judged_quality`` keeps, with all their columns, without a shuffle of texts."""
+    """The rows of ``docs`` that ``judged_quality`` keeps, with all their columns."""
     return docs if docs.isEmpty() else QualityClassifier(docs, labels).passing(docs)

@@ -98,6 +98,20 @@ def test_quality_rejects_junk_and_keeps_clean(spark, hard, empty):
         quality.judged_quality(docs, labels.where("quality = 7"))
 
 
+def test_every_character_and_language_has_a_place_in_the_model(spark):
+    script = [chr(0x4E00 + i) for i in range(300)]
+    rows = [("zh", "".join(script[i : i + 60])) for i in range(0, 240, 5)] + [(f"l{i}", "abc abd") for i in range(70)]
+    model = quality.train(spark.createDataFrame(rows, "lang string, text string"), Stages(spark))
+    assert model.models.count() == 72 and model.size >= 290
+
+    def price(text):
+        grams, _ = quality._grams([text])
+        df = spark.createDataFrame([("lang:zh", int(g)) for g in grams], "model string, gram long")
+        return sum(r.price for r in model.prices(df).collect())
+
+    assert price("".join(script[200:203])) < price("".join(script[202:199:-1])) - 3
+
+
 def test_mixing_meets_targets(spark, hard, empty):
     pick = random.Random(4)
     rows = []
