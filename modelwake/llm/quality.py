@@ -207,20 +207,23 @@ class QualityClassifier:
             raise ValueError("no trusted text to fit the quality model on")
         names = self.stages.keep(self.model.models.select(F.col("model").alias("_own")))
         self.names = small(names, names.count())
-        texts = self._keyed(docs).where("text <> ''").select("h0", "h1", "model", "m", "text")
-        self.scored = self.stages.keep(self._scores(texts))
+        # The pooled model has its limit from all trusted documents as it scores them itself.
+        own = self._keyed(trusted.where("text <> ''"))
+        examples = own.where(F.col("model") != POOLED).unionByName(self._keyed(trusted.where("text <> ''"), pooled=True))
+        keys = ["h0", "h1", "m", "text"]
+        texts = self._keyed(docs.where("text <> ''").select("lang", "text")).select(*keys)
+        self.scored = self.stages.keep(self._scores(texts.unionByName(examples.where(F.col("model") == POOLED).select(*keys))))
         # What a trusted document must exceed to be rejected, over all trusted documents.
         lowest = (F.col("entropy") - CAUTION * F.col("error")).alias("lowest")
-        judged = self._with_scores(self._keyed(trusted).where("text <> ''")).select("model", lowest)
-        everywhere = judged.select(F.lit(POOLED).alias("model"), "lowest")
-        each = judged.where(F.col("model") != POOLED).unionByName(everywhere)
+        judged = self._with_scores(examples).select("model", lowest)
         self.limits = self.stages.keep(
-            each.groupBy("model").agg(F.percentile_approx("lowest", F.lit(quantile), F.lit(10_000)).alias("limit"))
+            judged.groupBy("model").agg(F.percentile_approx("lowest", F.lit(quantile), F.lit(10_000)).alias("limit"))
         )
 
-    def _keyed(self, docs: DataFrame) -> DataFrame:
+    def _keyed(self, docs: DataFrame, pooled: bool = False) -> DataFrame:
         """``docs`` with a digest of the text (h0, h1), the name of its model and a number of that (m)."""
-        named = docs.join(self.names, model_name() == F.col("_own"), "left").withColumn("model", F.coalesce("_own", F.lit(POOLED)))
+        named = docs.join(self.names, model_name() == F.col("_own"), "left")
+        named = named.withColumn("model", F.lit(POOLED) if pooled else F.coalesce("_own", F.lit(POOLED)))
         return named.drop("_own").withColumns({
             "h0": F.xxhash64("text", F.lit(0)), "h1": F.xxhash64(F.lit(1), "text"), "m": F.xxhash64("model"),
         })
@@ -246,29 +249,32 @@ class QualityClassifier:
         rows = keyed.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).drop("text")
         return rows.join(self.scored, ["h0", "h1", "m"], "left").withColumn("error", F.sqrt(F.col("spread") / (F.col("n_chars") + 1)))
 
+    def _limited(self, docs: DataFrame) -> DataFrame:
+        """The scores of ``docs`` with the limit of the model and kept."""
+        rows = self._with_scores(self._keyed(docs)).join(small(self.limits, self.limits.count()), "model", "left")
+        # Nothing is known of a language without trusted text: it has no limit.
+        unknown = F.col("lang").isNotNull() & (F.col("model") == POOLED)
+        rows = rows.withColumn("limit", F.when(~unknown, F.col("limit")))
+        below = F.col("entropy") - CAUTION * F.col("error") <= F.col("limit")
+        return rows.withColumn("kept", (F.col("n_chars") > 0) & (unknown | F.coalesce(below, F.lit(False))))
+
     def judged(self, docs: DataFrame) -> DataFrame:
-        rows = self._with_scores(self._keyed(docs.select("doc_id", "lang", "text")))
-        lowest = F.col("entropy") - CAUTION * F.col("error")
-        return rows.join(small(self.limits, self.limits.count()), "model", "left").select(
-            "doc_id", "lang", "model", "n_chars",
-            F.exp("entropy").alias("perplexity"),
-            F.exp("limit").alias("limit"),
-            F.coalesce(lowest <= F.col("limit"), F.lit(False)).alias("kept"),
-        )
+        rows = self._limited(docs.select("doc_id", "lang", "text"))
+        return rows.select("doc_id", "lang", "model", "n_chars", F.exp("entropy").alias("perplexity"), F.exp("limit").alias("limit"), "kept")
 
     def passing(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs`` that are kept; texts meet the rejected digests only."""
         own = F.struct(*docs.columns).alias("row")
         keyed = self._keyed(docs.select("lang", "text", own)).where("text <> ''")
         rejected = self.stages.keep(self._rejected(docs))
-        kept = keyed.select("row", "h0", "h1", "m").join(small(rejected, rejected.count()), ["h0", "h1", "m"], "left_anti")
+        known = F.col("row.lang").isNull() | (F.col("model") != POOLED)
+        marked = keyed.select("row", "h0", "h1", F.when(known, F.col("m")).alias("m"))
+        kept = marked.join(small(rejected, rejected.count()), ["h0", "h1", "m"], "left_anti")
         return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
     def _rejected(self, docs: DataFrame) -> DataFrame:
-        rows = self._with_scores(self._keyed(docs.select("lang", "text")).where("text <> ''"))
-        limited = rows.join(small(self.limits, self.limits.count()), "model", "left")
-        good = F.coalesce(F.col("entropy") - CAUTION * F.col("error") <= F.col("limit"), F.lit(False))
-        return limited.where(~good).select("h0", "h1", "m").distinct()
+        rows = self._limited(docs.where("text <> ''").select("lang", "text"))
+        return rows.where("NOT kept").select("h0", "h1", "m").distinct()
 
 
 def judged_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -279,8 +285,9 @@ def judged_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if its perplexity is above the 0.9995 quantile of the trusted ones of its language, even
     when its own sampling error is allowed for, so that short clean texts stay.
 
-    A null language, or one without trusted text, is judged by the pooled model. A null or
-    empty text has no perplexity and is rejected. Repeated rows are judged alike; rows
+    A null language is judged by the pooled model, by the limit of all trusted documents
+    under it. A language without trusted text gets its perplexity from it too, but has a null
+    limit and its documents stay. A null or empty text has no perplexity and is rejected. Repeated rows are judged alike; rows
     without doc_id are judged but never train. Labels of other documents, repeated labels
     and null labels are ignored. An empty ``docs`` gives no rows. Without any trusted text
     the classifier raises ValueError. Other columns are ignored.

@@ -112,6 +112,21 @@ def test_every_character_and_language_has_a_place_in_the_model(spark):
     assert price("".join(script[200:203])) < price("".join(script[202:199:-1])) - 3
 
 
+def test_null_and_unknown_languages_keep_clean_documents(spark):
+    pick = random.Random(5)
+
+    def clean(letters):
+        return " ".join("".join(pick.choice(letters) for _ in range(pick.randrange(2, 7))) for _ in range(pick.randrange(40, 120)))
+
+    rows = [(i, ("en", "de", None, "xx")[i % 4], clean(("abcdef", "ghijkl", "abcdef", "mnopqr")[i % 4])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200) if i % 4 < 2], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judged_quality(docs, labels).collect()}
+    assert all(got[i].kept for i in range(200) if i % 4 > 1), [got[i] for i in range(200) if i % 4 > 1 and not got[i].kept]
+    assert {got[i].model for i in range(200) if i % 4 > 1} == {"*"} and got[3].limit is None and got[3].perplexity > got[2].limit
+    assert {r.doc_id for r in quality.passing_quality(docs, labels).collect()} == {i for i in got if got[i].kept}
+
+
 def test_mixing_meets_targets(spark, hard, empty):
     pick = random.Random(4)
     rows = []
