@@ -22,10 +22,12 @@ SYMBOLS = 120
 BORDER, OTHER = 0, 1
 #: Rows of the table of trigram prices up to which it meets the documents by broadcast; beyond, both sides shuffle.
 PRICE_ROWS = 1_000_000
-#: A document is rejected above this quantile of the trusted documents of its language.
-QUANTILE = 0.9995
-#: Standard errors of its own cross-entropy by which a document must exceed the quantile.
+#: A document is rejected so many robust standard deviations from the median of the trusted documents.
+DEVIATIONS = 5.0
+#: Standard errors of its own cross-entropy by which a document must exceed the limit.
 CAUTION = 2.0
+#: Trusted documents of a model and length class from which its limit of repetition is estimated.
+LEAST = 20
 
 POOLED = "*"
 
@@ -195,9 +197,9 @@ def train(trusted: DataFrame, stages: Stages) -> LanguageModel:
 
 
 class QualityClassifier:
-    """A fitted model, the scores of all texts and one entropy limit per model name."""
+    """A fitted model, the scores of all texts and the limits of every model name."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE):
+    def __init__(self, docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS):
         """Fit on the rows of ``docs`` that ``labels`` (doc_id, quality) calls good."""
         self.stages = Stages(docs.sparkSession)
         good = labels.where("quality = 1").select("doc_id").distinct()
@@ -213,12 +215,23 @@ class QualityClassifier:
         keys = ["h0", "h1", "m", "text"]
         texts = self._keyed(docs.where("text <> ''").select("lang", "text")).select(*keys)
         self.scored = self.stages.keep(self._scores(texts.unionByName(examples.where(F.col("model") == POOLED).select(*keys))))
-        # What a trusted document must exceed to be rejected, over all trusted documents.
-        lowest = (F.col("entropy") - CAUTION * F.col("error")).alias("lowest")
-        judged = self._with_scores(examples).select("model", lowest)
-        self.limits = self.stages.keep(
-            judged.groupBy("model").agg(F.percentile_approx("lowest", F.lit(quantile), F.lit(10_000)).alias("limit"))
-        )
+        judged = self.stages.keep(self._with_scores(examples).select("model", "length", "entropy", "repetition"))
+        self.limits = self.stages.keep(self._limits(judged, "entropy", ["model"], deviations).select("model", F.col("most").alias("limit")))
+        repeats = self._limits(judged, "repetition", ["model", "length"], deviations).where(F.col("n") >= LEAST)
+        self.repeats = self.stages.keep(repeats.select("model", "length", F.col("most").alias("most_repetition")))
+
+    def _limits(self, judged: DataFrame, value: str, by: list[str], deviations: float) -> DataFrame:
+        """``by``, n and most: the median of ``value`` and so many deviations above it, by the median absolute deviation.
+
+        Half of the trusted documents would have to be odd to move it far.
+        """
+
+        def median(x: Column) -> Column:
+            return F.percentile_approx(x, F.lit(0.5), F.lit(10_000))
+
+        middle = self.stages.keep(judged.groupBy(*by).agg(median(F.col(value)).alias("middle"), F.count("*").alias("n")))
+        away = judged.join(small(middle, middle.count()), by).groupBy(*by, "middle", "n").agg(median(F.abs(F.col(value) - F.col("middle"))).alias("away"))
+        return away.withColumn("most", F.col("middle") + deviations * 1.4826 * F.col("away"))
 
     def _keyed(self, docs: DataFrame, pooled: bool = False) -> DataFrame:
         """``docs`` with a digest of the text (h0, h1), the name of its model and a number of that (m)."""
@@ -229,7 +242,11 @@ class QualityClassifier:
         })
 
     def _scores(self, texts: DataFrame) -> DataFrame:
-        """h0, h1, m, entropy and spread (the variance of the price of a character) of every different text."""
+        """h0, h1, m, entropy, spread (the variance of a price) and repetition of every different text.
+
+        Repetition is the mean logarithm of the count of a trigram in its own text: log of the
+        number of trigrams less the text's entropy under itself, high if few words recur.
+        """
         distinct = texts.select("h0", "h1", "m", "text").mapInArrow(_distinct, ", ".join(f"{c} long" for c in _DISTINCT))
         names = self.names.select(F.col("_own").alias("model"), F.xxhash64("_own").alias("m"))
         used = distinct.select("m", "gram").distinct().join(names, "m").select("model", "gram")
@@ -239,23 +256,29 @@ class QualityClassifier:
         # Copies of a text add equal parts to all three sums.
         n, price = F.col("n"), F.col("price")
         sums = priced.groupBy("h0", "h1", "m").agg(
-            F.sum("n").alias("n"), F.sum(n * price).alias("one"), F.sum(n * price * price).alias("two")
+            F.sum("n").alias("n"), F.sum(n * price).alias("one"), F.sum(n * price * price).alias("two"), F.sum(n * F.log(n)).alias("own")
         )
         mean = F.col("one") / n
-        return sums.select("h0", "h1", "m", mean.alias("entropy"), F.greatest(F.col("two") / n - mean * mean, F.lit(0.0)).alias("spread"))
+        return sums.select(
+            "h0", "h1", "m", mean.alias("entropy"), F.greatest(F.col("two") / n - mean * mean, F.lit(0.0)).alias("spread"),
+            (F.col("own") / n).alias("repetition"),
+        )
 
     def _with_scores(self, keyed: DataFrame) -> DataFrame:
-        """``keyed`` without text but with n_chars, entropy and its standard error."""
+        """``keyed`` without text but with n_chars, length (its class), entropy and its standard error, repetition."""
         rows = keyed.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).drop("text")
+        rows = rows.withColumn("length", F.floor(F.log2(F.col("n_chars") + 1)))
         return rows.join(self.scored, ["h0", "h1", "m"], "left").withColumn("error", F.sqrt(F.col("spread") / (F.col("n_chars") + 1)))
 
     def _limited(self, docs: DataFrame) -> DataFrame:
         """The scores of ``docs`` with the limit of the model and kept."""
         rows = self._with_scores(self._keyed(docs)).join(small(self.limits, self.limits.count()), "model", "left")
+        rows = rows.join(small(self.repeats, self.repeats.count()), ["model", "length"], "left")
         # Nothing is known of a language without trusted text: it has no limit.
         unknown = F.col("lang").isNotNull() & (F.col("model") == POOLED)
         rows = rows.withColumn("limit", F.when(~unknown, F.col("limit")))
-        below = F.col("entropy") - CAUTION * F.col("error") <= F.col("limit")
+        plain = F.col("repetition") <= F.coalesce("most_repetition", F.lit(float("inf")))
+        below = (F.col("entropy") - CAUTION * F.col("error") <= F.col("limit")) & plain
         return rows.withColumn("kept", (F.col("n_chars") > 0) & (unknown | F.coalesce(below, F.lit(False))))
 
     def judged(self, docs: DataFrame) -> DataFrame:
@@ -282,8 +305,10 @@ def judged_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     One row per row of ``docs``: doc_id, lang, model, n_chars, perplexity (per character),
     limit and kept. The model is trained on all documents with quality 1; a document goes
-    if its perplexity is above the 0.9995 quantile of the trusted ones of its language, even
-    when its own sampling error is allowed for, so that short clean texts stay.
+    if its log perplexity is more than five robust deviations above the median of the
+    trusted ones of its language, even when its own sampling error is allowed for, so that
+    short clean texts stay. It also goes at the other side, if it repeats itself by as much
+    more than trusted documents of its language and length class do (powers of two).
 
     A null language is judged by the pooled model, by the limit of all trusted documents
     under it. A language without trusted text gets its perplexity from it too, but has a null

@@ -112,6 +112,20 @@ def test_every_character_and_language_has_a_place_in_the_model(spark):
     assert price("".join(script[200:203])) < price("".join(script[202:199:-1])) - 3
 
 
+def test_one_odd_trusted_row_and_repeated_words_do_not_pass(spark):
+    pick = random.Random(6)
+
+    def clean():
+        return " ".join("".join(pick.choice("abcdefgh") for _ in range(pick.randrange(2, 7))) for _ in range(100))
+
+    junk = ["".join(pick.choice("stuvwxyz") for _ in range(450)) for _ in range(3)]
+    texts = [clean() for _ in range(80)] + junk + [" ".join([w] * 90) for w in clean().split() if len(w) > 3][:5]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(81)], "doc_id long, quality int")  # 80 is junk
+    kept = {r.doc_id for r in quality.passing_quality(docs, labels).collect()}
+    assert len(kept & set(range(80))) >= 78 and not kept & set(range(81, 88))
+
+
 def test_null_and_unknown_languages_keep_clean_documents(spark):
     pick = random.Random(5)
 
