@@ -15,6 +15,8 @@ TOPICS = 8
 ROUNDS, TOLERANCE = 40, 1e-3
 #: Rounds between two stored states.
 STORED = 2
+#: Shares named to sum to 1 leave less than this.
+ROUNDING = 1e-9
 #: Tokens of the mix as a share of all tokens.
 BUDGET = 0.5
 
@@ -65,8 +67,9 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], b
 
     ``cells``: the margins and tokens. Returns them with weight, the tokens to take, at most
     tokens. A margin's target is a mapping of category to share, or None for equal shares;
-    categories that are not named share what is left over equally. A category without any
-    token drops out and the others of its margin are scaled up.
+    categories that are not named share what is left over equally. If nothing is left over,
+    each of them gets its own share of the tokens and the named ones are scaled to the rest.
+    A category without any token drops out and the others of its margin are scaled up.
 
     Each round adapts every margin in turn by one aggregation and one equi-join; the cells
     are stored between rounds, so the plan does not grow. Cells that would need more than
@@ -84,8 +87,15 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], b
         rows = spark.createDataFrame([(k, float(v)) for k, v in named.items()], f"{margin} string, share double")
         joined = present.join(F.broadcast(rows), present[margin].eqNullSafe(rows[margin]), "left").select(present[margin], "have", "share")
         left = max(0.0, 1.0 - sum(named.values()))
-        open_n = joined.where("share IS NULL").count()
-        shares = joined.withColumn("share", F.coalesce("share", F.lit(left / open_n if open_n else 0.0)))
+        open_n, open_have = joined.where("share IS NULL").agg(F.count("*"), F.sum("have")).first()
+        if open_n and left < ROUNDING:
+            # Categories that no target foresees keep the part they have.
+            part = open_have / total
+            named_sum = joined.agg(F.sum("share")).first()[0] or 1.0
+            scaled = F.col("share") / named_sum * (1.0 - part)
+            shares = joined.withColumn("share", F.coalesce(scaled, F.col("have") / total))
+        else:
+            shares = joined.withColumn("share", F.coalesce("share", F.lit(left / open_n if open_n else 0.0)))
         whole = shares.agg(F.sum("share")).first()[0]
         wanted[margin] = stages.keep(shares.select(F.col(margin).alias("_key"), (F.col("share") / whole * size).alias("_want")))
     # Joins on margins sort and merge: a broadcast per margin and round would pile up on the driver.

@@ -170,6 +170,19 @@ def test_mixing_meets_targets(spark, hard, empty):
     assert mixing.mixed_sources(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_languages_without_a_target_stay_in_the_mix(spark):
+    langs = ["en", "en", "de", "fr", "es", None, "it"]
+    rows = [(i, " ".join(f"longword{(i * 31 + k) % 997}" for k in range(20)), langs[i % 7], f"s{i % 3}") for i in range(2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mixed_sources(docs).collect()
+    total = sum(r.tokens * r.probability for r in got)
+    share = {k: sum(r.tokens * r.probability for r in got if r.lang == k) / total for k in set(langs)}
+    assert share[None] == pytest.approx(1 / 7, abs=0.01) and share["it"] == pytest.approx(1 / 7, abs=0.01)
+    assert all(r.probability > 0 and (r.lang not in (None, "it") or r.probability < 1) for r in got)
+    drawn = Counter(r.lang for r in mixing.mixed_documents(docs).collect())
+    assert drawn[None] > 50 and drawn["it"] > 50
+
+
 def test_packing(spark, hard, empty):
     odd = ["", " a", "a  b", "x \n y", "<|endoftext|> b", "\tq w\x1c z", "don't I'll", "a\u00a0b c", "日本 語", "b" * 3000, "1 2 3.4 $$ %% ", "x.\nY z!"]
     encode = Tokenizer.from_file(TOKENIZER).encode
