@@ -60,14 +60,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut an Arrow batch into runs of rows of about SLICE_BYTES bytes of text; rows stay whole."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut an Arrow batch into runs of rows of about ``size`` bytes of text; rows stay whole."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     start = 0
     while start < len(sizes):
         before = int(ends[start - 1]) if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield batch.slice(start, end - start)
         start = end
 

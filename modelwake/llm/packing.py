@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,104 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelwake.llm.common import Stages, small, text_slices
+from modelwake.llm.tokens import TOKEN_SLICE, Encoder, encoder  # noqa: F401
 
 SEQUENCE = 2048
 END_OF_TEXT = 1
-#: Words whose ids one task remembers, and the longest word that is remembered.
-CACHED_WORDS, CACHED_CHARS = 600_000, 64
-
-_NOT_CUTTABLE = re.compile(r" (?:\s|$)")
-_WORD = re.compile(r" ?[^\W\d_]+")
-_caches: dict[str, tuple] = {}
-
-
-def byte_characters() -> dict[str, int]:
-    """The character by which a byte-level vocabulary writes each byte: itself if printable, else the next free one from 256 on."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
-def word_encoder(path: str):
-    """A fast encoder of single words from the same vocabulary, or None where merges do not follow the ids."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
-    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-    vocabulary, of = model["vocab"], byte_characters()
-    order = [vocabulary["".join(m)] for m in merges]
-    if order != sorted(order) or any(c not in vocabulary or vocabulary[c] >= order[0] for c in of):
-        return None
-    tokens = [*of, *["".join(m) for m in merges]]
-    ranks = {bytes(of[c] for c in token): vocabulary[token] for token in tokens}
-    return tiktoken.Encoding("words", pat_str=r" ?\p{L}+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-
-class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit numbers.
-
-    A byte-level BPE never joins a space to what stands before it unless white space
-    follows, so a text is cut before every single space and each distinct piece is encoded
-    once per task: its leading word by a fast encoder of the same merges, the rest by the
-    tokenizer. Texts with other spacing are encoded as a whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.word = word_encoder(path)
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces not known yet; a run of letters never shares a token with what follows it."""
-        known, learnt, cut, rest = self.known, {}, {}, []
-        for piece in pieces:
-            match = _WORD.match(piece)
-            end = match.end() if match else 0
-            word = piece[:end]
-            if not end or self.word is None or not word.lstrip(" ").isalpha():
-                rest.append(piece)
-                continue
-            if word not in known and word not in learnt:
-                learnt[word] = array("I", self.word(word)).tobytes()
-            if end < len(piece):
-                cut[piece] = (word, piece[end:])
-        rest.extend({tail for _, tail in cut.values() if tail not in known})
-        learnt.update(zip(rest, self._bytes(rest), strict=True))
-        for piece, (word, tail) in cut.items():
-            learnt[piece] = (known.get(word) or learnt[word]) + (known[tail] if tail in known else learnt[tail])
-        return learnt
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces: list[list[str]] = []
-        for text in texts:
-            if _NOT_CUTTABLE.search(text):
-                pieces.append([text])
-            else:
-                first, *others = text.split(" ")
-                pieces.append([first, *[" " + word for word in others]])
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = self._learn([p for p in {p for own in pieces for p in own} if p not in known])
-        long = {piece: ids for piece, ids in new.items() if len(piece) > CACHED_CHARS}
-        known.update((piece, ids) for piece, ids in new.items() if len(piece) <= CACHED_CHARS)
-        if long:
-            return [b"".join([known[p] if p in known else long[p] for p in own]) for own in pieces]
-        return [b"".join([known[p] for p in own]) for own in pieces]
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _caches:
-        _caches[path] = Encoder(path)
-    return _caches[path]
 
 
 def _encoded(path: str):
@@ -122,8 +24,8 @@ def _encoded(path: str):
         tokens, part = encoder(path), TaskContext.get().partitionId()
         before = 0
         for batch in batches:
-            for rows in text_slices(batch):
-                ids = [b + end for b in tokens.encode([t or "" for t in rows.column("text").to_pylist()])]
+            for rows in text_slices(batch, size=TOKEN_SLICE):
+                ids = [b + end for b in tokens.encode_column(rows.column("text"))]
                 counts = np.asarray([len(b) // 4 for b in ids], dtype=np.int64)
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
@@ -134,8 +36,6 @@ def _encoded(path: str):
                     ],
                     names=["doc_id", "part", "before", "doc_tokens", "ids"],
                 )
-        # Workers are used again by other operators; give the words' memory back.
-        tokens.known.clear()
 
     return run
 
