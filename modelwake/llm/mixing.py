@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwake.llm.common import Stages, small
+from modelwake.operators.ordered import running_totals
 
 #: Hash topics: the number of topics that long words vote for.
 TOPICS = 8
-#: Rounds of raking at most, and the share of the mix that still moves at which it ends.
+#: Rounds of raking at most, and the share by which a category may miss its goal.
 ROUNDS, TOLERANCE = 40, 1e-3
-#: Rounds between two stored states.
-STORED = 2
+#: Rounds after which the largest gap must be under this share of what it was.
+STALLED, SLOWEST = 4, 0.9
+#: Times its tokens that a cell may want, which keeps numbers finite; it gets them once at most.
+FULL = 1e6
 #: Shares named to sum to 1 leave less than this.
 ROUNDING = 1e-9
 #: Tokens of the mix as a share of all tokens.
@@ -46,77 +50,121 @@ def with_topic(df: DataFrame, text: Column, keep: list[str], topics: int = TOPIC
     return counted.select(*keep, topic.alias("topic"))
 
 
-def _scaled(step: DataFrame, margin: str) -> DataFrame:
-    """One step of raking: weights of every category of ``margin`` moved to its target."""
-    weight, want = F.col("weight"), F.col(f"_want_{margin}")
-    # The part of a category that is held at its limit cannot grow; the rest is scaled.
-    held = weight >= F.col("tokens")
-    sums = step.groupBy(F.col(margin).alias("_m")).agg(
-        F.sum(F.when(held, weight).otherwise(0.0)).alias("_held"), F.sum(F.when(held, 0.0).otherwise(weight)).alias("_free")
-    )
-    joined = step.join(sums.hint("merge"), step[margin].eqNullSafe(sums["_m"]))
-    down = F.try_divide(want, F.col("_held") + F.col("_free"))
-    up = F.coalesce(F.try_divide(want - F.col("_held"), F.col("_free")), F.lit(1.0))
-    scaled = F.when(down < 1, weight * down).when(held, weight).otherwise(weight * up)
-    limited = F.least(F.col("tokens").cast("double"), F.coalesce(scaled, F.lit(0.0)))
-    return joined.withColumn("weight", limited).drop("_m", "_held", "_free")
+def _keyed(cells: DataFrame, margin: str, table: DataFrame) -> DataFrame:
+    """``cells`` joined with a table of ``_key`` on their ``margin``; sorted and merged, so no broadcast piles up on the driver."""
+    return cells.join(table.hint("merge"), cells[margin].eqNullSafe(table["_key"]), "left").drop("_key")
+
+
+def margin_goals(cells: DataFrame, margin: str, named: Mapping[str, float] | None, size: float, stages: Stages) -> DataFrame:
+    """_key and _want: the tokens that every category of ``margin`` gives to a mix of ``size`` tokens.
+
+    Categories without a named share divide what is left over equally; if nothing is left
+    over, each keeps its own share of the tokens and the named ones are scaled to the rest.
+    No category is asked for more than it holds: what it lacks is shared out among the others
+    in proportion to their shares. The common factor is found by Newton steps, one small sum
+    each; a step that does not end the search fills up at least one more category.
+    """
+    spark = cells.sparkSession
+    rows = spark.createDataFrame([(k, float(v)) for k, v in (named or {}).items()], "_name string, share double")
+    held = cells.groupBy(F.col(margin).alias("_key")).agg(F.sum("tokens").cast("double").alias("have")).where("have > 0")
+    # As many rows as shares were named.
+    joined = stages.keep(held.join(F.broadcast(rows), held["_key"].eqNullSafe(rows["_name"]), "left").drop("_name"))
+    total, named_sum, open_n, open_have = joined.agg(
+        F.sum("have"), F.coalesce(F.sum("share"), F.lit(0.0)), F.count_if(F.col("share").isNull()), F.coalesce(F.sum(F.when(F.col("share").isNull(), F.col("have"))), F.lit(0.0))
+    ).first()
+    left = max(0.0, 1.0 - sum((named or {}).values()))
+    if open_n and left < ROUNDING:
+        part = open_have / total
+        share = F.coalesce(F.col("share") / (named_sum or 1.0) * (1.0 - part), F.col("have") / total)
+    else:
+        share = F.coalesce(F.col("share"), F.lit(left / open_n if open_n else 0.0))
+    shares = stages.keep(joined.select("_key", "have", share.alias("share")))
+    whole = shares.agg(F.sum("share")).first()[0]
+    factor = size / whole if whole else 0.0
+    while True:
+        want = F.least("have", F.col("share") * factor)
+        got, free = shares.agg(F.sum(want), F.sum(F.when(F.col("share") * factor < F.col("have"), F.col("share")).otherwise(0.0))).first()
+        if not free or size - got <= ROUNDING * size:
+            break
+        factor += (size - got) / free
+    goals = stages.keep(shares.select("_key", F.least("have", F.col("share") * factor).alias("_want")))
+    stages.drop(joined, shares)
+    return goals
 
 
-def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], budget: float, stages: Stages) -> DataFrame:
+def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], budget: float, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """Iterative proportional fitting of cell weights under the limit of what a cell holds.
 
     ``cells``: the margins and tokens. Returns them with weight, the tokens to take, at most
-    tokens. A margin's target is a mapping of category to share, or None for equal shares;
-    categories that are not named share what is left over equally. If nothing is left over,
-    each of them gets its own share of the tokens and the named ones are scaled to the rest.
-    A category without any token drops out and the others of its margin are scaled up.
-
-    Each round adapts every margin in turn by one aggregation and one equi-join; the cells
-    are stored between rounds, so the plan does not grow. Cells that would need more than
-    they hold are held at all they have, and the next round moves the rest to others.
+    tokens; and margin, category, want and got, which tell how far every category is off. A
+    margin's target is a mapping of category to share, or None for equal shares
+    (``margin_goals``).
+
+    A step adapts one margin: the weights before the limit are scaled by one factor per
+    category, the one with which the limited weights meet the goal. It is found exactly: in
+    the order in which cells fill up, running sums tell what the category gives when a cell
+    is just full, and the factor lies before the first cell that reaches the goal. Cells that
+    are held at all they have leave the rest to others. A step is one pass over stored cells,
+    one window per category (cut into ranges for a hot one) and one equi-join, so plans
+    stay alike from the first round to the last.
+
+    Rounds end when no category was off by more than TOLERANCE. Margins may contradict each
+    other: rounds also end when STALLED of them left more than SLOWEST of the largest gap, or
+    after ROUNDS in all, and the second table says which categories are off.
     """
-    spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     size = budget * total
     if not total:
-        return cells.withColumn("weight", F.lit(0.0))
-    wanted = {}
-    for margin in MARGINS:
-        present = stages.keep(cells.groupBy(margin).agg(F.sum("tokens").alias("have")).where("have > 0"))
-        named = targets.get(margin) or {}
-        rows = spark.createDataFrame([(k, float(v)) for k, v in named.items()], f"{margin} string, share double")
-        joined = present.join(F.broadcast(rows), present[margin].eqNullSafe(rows[margin]), "left").select(present[margin], "have", "share")
-        left = max(0.0, 1.0 - sum(named.values()))
-        open_n, open_have = joined.where("share IS NULL").agg(F.count("*"), F.sum("have")).first()
-        if open_n and left < ROUNDING:
-            # Categories that no target foresees keep the part they have.
-            part = open_have / total
-            named_sum = joined.agg(F.sum("share")).first()[0] or 1.0
-            scaled = F.col("share") / named_sum * (1.0 - part)
-            shares = joined.withColumn("share", F.coalesce(scaled, F.col("have") / total))
-        else:
-            shares = joined.withColumn("share", F.coalesce("share", F.lit(left / open_n if open_n else 0.0)))
-        whole = shares.agg(F.sum("share")).first()[0]
-        wanted[margin] = stages.keep(shares.select(F.col(margin).alias("_key"), (F.col("share") / whole * size).alias("_want")))
-    # Joins on margins sort and merge: a broadcast per margin and round would pile up on the driver.
-    start = cells.withColumn("weight", F.col("tokens") * F.lit(float(budget)))
-    for margin in MARGINS:
-        goal = wanted[margin].withColumnRenamed("_want", f"_want_{margin}").hint("merge")
-        start = start.join(goal, start[margin].eqNullSafe(goal["_key"]), "left").drop("_key")
-    now = stages.keep(start.withColumn("_moved", F.lit(0.0)))
-    for _ in range(ROUNDS // STORED):
-        step = now.drop("_moved")
-        for _ in range(STORED):
-            step = step.withColumn("_was", F.col("weight"))
-            for margin in MARGINS:
-                step = _scaled(step, margin)
-        after = stages.keep(step.withColumn("_moved", F.abs(F.col("weight") - F.col("_was"))).select(*now.columns))
-        moved = after.agg(F.sum("_moved")).first()[0] / size
-        stages.drop(now)
-        now = after
-        if moved < TOLERANCE:
+        none = cells.sparkSession.createDataFrame([], "margin string, category string, want double, got double")
+        return cells.withColumn("weight", F.lit(0.0)), none
+    goals = {m: margin_goals(cells, m, targets.get(m), size, stages) for m in MARGINS}
+    # _x: the weight before the limit.
+    now = stages.keep(cells.withColumn("_x", F.col("tokens") * F.lit(float(budget))))
+    tokens = F.col("tokens").cast("double")
+    limited = F.least(tokens, F.col("_x"))
+
+    cell_rows = now.count()
+
+    def sums(margin: str) -> DataFrame:
+        return _keyed(now.groupBy(F.col(margin).alias("_m")).agg(F.sum(limited).alias("_got")), "_m", goals[margin])
+
+    def factors(margin: str) -> DataFrame:
+        """_key, _factor and _off, by which the category missed its goal before."""
+        open_cells = now.where("_x > 0").select(F.col(margin).alias("_m"), (tokens / F.col("_x")).alias("_fill"), tokens.alias("t"), F.col("_x").alias("x"))
+        steps = open_cells.groupBy("_m", "_fill").agg(F.sum("t").alias("t"), F.sum("x").alias("x"))
+        run = _keyed(running_totals(steps, ["_m"], "_fill", ["t", "x"], cell_rows), "_m", goals[margin])
+        full, free = F.col("cum_t"), F.col("tot_x") - F.col("cum_x")
+        reached = full + F.col("_fill") * free >= F.col("_want")
+        before = (F.col("_want") - (full - F.col("t"))) / (free + F.col("x"))
+        found = run.groupBy("_m").agg(
+            F.coalesce(F.min_by(before, F.when(reached, F.col("_fill"))), F.max("_fill")).alias("_factor"), F.first("_want").alias("_want")
+        )
+        got = now.groupBy(F.col(margin).alias("_key")).agg(F.sum(limited).alias("_got"))
+        both = _keyed(found, "_m", got)
+        off = F.coalesce(F.try_divide(F.abs(F.col("_got") - F.col("_want")), F.col("_want")), F.lit(0.0))
+        return both.select(F.col("_m").alias("_key"), F.coalesce("_factor", F.lit(0.0)).alias("_factor"), off.alias("_off"))
+
+    worst: list[float] = []
+    while len(worst) < ROUNDS:
+        scales = []
+        for margin in MARGINS:
+            scale = stages.keep(factors(margin))
+            scales.append(scale)
+            moved = _keyed(now, margin, scale.drop("_off")).withColumn("_x", F.col("_x") * F.col("_factor"))
+            # Categories without tokens have no goal and no factor.
+            after = stages.keep(moved.select(*cells.columns, F.least(F.coalesce("_x", F.lit(0.0)), tokens * FULL).alias("_x")))
+            stages.drop(now)
+            now = after
+        off = reduce(DataFrame.unionByName, [scale.select("_off") for scale in scales])
+        worst.append(off.agg(F.max("_off")).first()[0] or 0.0)
+        stages.drop(*scales)
+        if worst[-1] < TOLERANCE or len(worst) > STALLED and worst[-1] > SLOWEST * worst[-1 - STALLED]:
             break
-    return now.select(*cells.columns, "weight")
+    gaps = None
+    for margin in MARGINS:
+        part = sums(margin).select(F.lit(margin).alias("margin"), F.col("_m").cast("string").alias("category"), F.coalesce("_want", F.lit(0.0)).alias("want"), F.col("_got").alias("got"))
+        gaps = part if gaps is None else gaps.unionByName(part)
+    return now.select(*cells.columns, limited.alias("weight")), stages.keep(gaps)
 
 
 #: Shares of languages and sources of the mix as it is produced here: sources and topics alike.
@@ -140,7 +188,7 @@ def _chance(doc_id: Column) -> Column:
 
 def _calibrated(measured: DataFrame, targets, budget: float, stages: Stages) -> tuple[DataFrame, int]:
     cells = stages.keep(measured.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    weights = raked(cells, targets, budget, stages)
+    weights, _ = raked(cells, targets, budget, stages)
     chances = stages.keep(
         weights.select(
             *[F.col(m).alias(f"_{m}") for m in MARGINS],
@@ -177,6 +225,13 @@ def mixed_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | N
     )
 
 
+def mix_gaps(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | None] = TARGETS, budget: float = BUDGET) -> DataFrame:
+    """margin, category, want and got in tokens: how far the mix is off, one row per category."""
+    stages = Stages(docs.sparkSession)
+    cells = stages.keep(_measured(docs).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
+    return raked(cells, targets, budget, stages)[1]
+
+
 def mixed_documents(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | None] = TARGETS, budget: float = BUDGET) -> DataFrame:
     """The drawn rows of ``docs`` with all their columns; cells decide, so texts are not shuffled for it."""
     stages = Stages(docs.sparkSession)

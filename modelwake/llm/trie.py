@@ -16,6 +16,8 @@ from modelwake.operators.ordered import SPLIT_ROWS, running_totals
 BLOCK = 4
 #: Conversation ids that one row of a member list spans.
 SPAN = 4096
+#: Shards of the continuations of one prefix.
+SHARDS = 32
 
 # Fixed values of the rebuilt conversations: how many share a start, and its turns.
 FAMILY, HEADS = 20, 4
@@ -111,8 +113,10 @@ def trie_nodes(blocks: DataFrame, stages: Stages) -> DataFrame:
     variants = stages.keep(
         blocks.groupBy(*keys, "digest").agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"), F.first("turns").alias("turns"))
     )
-    siblings = variants.groupBy(*keys).agg(F.count("*").alias("siblings"))
-    met = variants.join(siblings, keys)
+    # A common start has a hot share of all continuations: its few rows of counts go to all shards.
+    siblings = variants.groupBy(*keys).agg(F.count("*").alias("siblings")).where("siblings > 1")
+    sharded = siblings.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
+    met = variants.withColumn("shard", F.pmod(F.hash("digest"), F.lit(SHARDS))).join(sharded, [*keys, "shard"], "left")
 
     def name(size: Column) -> Column:
         """The node after the first ``size`` turns of the block."""
@@ -127,7 +131,7 @@ def trie_nodes(blocks: DataFrame, stages: Stages) -> DataFrame:
             "n_convs", "conv_id", last["words"].alias("words"), "siblings",
         )
     )
-    alone = named.where("siblings = 1").drop("siblings")
+    alone = named.where("siblings IS NULL").drop("siblings")
     merged = named.where("siblings > 1").groupBy("node").agg(
         F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.sum("n_convs").alias("n_convs"),
         F.min("conv_id").alias("conv_id"), F.first("words").alias("words"),

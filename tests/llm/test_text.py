@@ -170,6 +170,50 @@ def test_mixing_meets_targets(spark, hard, empty):
     assert mixing.mixed_sources(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def whole_raking(cells, goals, rounds=400):
+    """Weights by scaling every category exactly, by bisection, until nothing moves."""
+    x = {c: 0.5 * n for c, n in cells.items()}
+    for _ in range(rounds):
+        for place, goal in enumerate(goals):
+            for key, want in goal.items():
+                own = [c for c in cells if c[place] == key]
+                low, high = 0.0, 1e9
+                for _ in range(100):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if sum(min(cells[c], x[c] * mid) for c in own) < want else (low, mid)
+                for c in own:
+                    x[c] = min(x[c] * high, 1e9)
+    return {c: min(n, x[c]) for c, n in cells.items()}
+
+
+def test_raking_equals_exact_scaling(spark):
+    pick = random.Random(12)
+    cells = {(s, g, t): pick.randrange(200, 3000) for s in "abc" for g in ("en", None) for t in ("t0", "t1")}
+    cells["d", "en", "t0"], cells["d", None, "t1"], cells["e", "en", "t0"] = 90, 60, 0
+    total = sum(cells.values())
+    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
+    weights, gaps = mixing.raked(df, {"source": None, "lang": {"en": 0.7}, "topic": None}, 0.4, Stages(spark))
+    got = {(r.source, r.lang, r.topic): r.weight for r in weights.collect()}
+    size = 0.4 * total
+    # Source d holds 150 tokens of its fourth of the mix; a, b and c share the rest.
+    goals = [{"d": 150, **{s: (size - 150) / 3 for s in "abc"}}, {"en": 0.7 * size, None: 0.3 * size}, {"t0": size / 2, "t1": size / 2}]
+    want = whole_raking({c: n for c, n in cells.items() if n}, goals)
+    assert got["e", "en", "t0"] == 0 and all(got[c] == pytest.approx(w, rel=0.03, abs=5) for c, w in want.items())
+    table = {(r.margin, r.category): r for r in gaps.collect()}
+    assert all(r.got == pytest.approx(r.want, rel=0.002) for r in table.values()) and table["source", "d"].want == 150
+    assert table["source", "e"].got == 0 and len(table) == 9
+
+
+def test_contradicting_margins_report_their_gaps(spark):
+    cells = [("a", "en", "t0", 1000), ("b", "de", "t0", 1000), ("b", "en", "t1", 10)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}, "topic": {"t0": 1.0}}
+    weights, gaps = mixing.raked(df, targets, 0.5, Stages(spark))
+    assert all(0 <= r.weight <= r.tokens for r in weights.collect())
+    off = {(r.margin, r.category): abs(r.got - r.want) for r in gaps.collect()}
+    assert max(off.values()) > 100
+
+
 def test_languages_without_a_target_stay_in_the_mix(spark):
     langs = ["en", "en", "de", "fr", "es", None, "it"]
     rows = [(i, " ".join(f"longword{(i * 31 + k) % 997}" for k in range(20)), langs[i % 7], f"s{i % 3}") for i in range(2100)]
@@ -178,7 +222,14 @@ def test_languages_without_a_target_stay_in_the_mix(spark):
     total = sum(r.tokens * r.probability for r in got)
     share = {k: sum(r.tokens * r.probability for r in got if r.lang == k) / total for k in set(langs)}
     assert share[None] == pytest.approx(1 / 7, abs=0.01) and share["it"] == pytest.approx(1 / 7, abs=0.01)
-    assert all(r.probability > 0 and (r.lang not in (None, "it") or r.probability < 1) for r in got)
+    assert all(r.probability > 0 for r in got) and total == pytest.approx(0.5 * sum(r.tokens for r in got), rel=0.002)
+    # A topic that holds less than its share is taken whole, and the others make up for it.
+    topics, holds = Counter(), Counter()
+    for r in got:
+        topics[r.topic] += r.tokens * r.probability
+        holds[r.topic] += r.tokens
+    scarce = {t for t, n in holds.items() if n < total / 8}
+    assert scarce and all(topics[t] == pytest.approx(holds[t], rel=0.002) for t in scarce)
     drawn = Counter(r.lang for r in mixing.mixed_documents(docs).collect())
     assert drawn[None] > 50 and drawn["it"] > 50
 
