@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelwake.learning.pipeline import score_periods
+from modelwake.operators.drift import REGIMES
 from modelwake.plans.monitoring import MonitoringRun
 from modelwake.session import build_session
 from modelwake.sources import files
@@ -31,6 +32,8 @@ def parse(argv: Sequence[str] | None) -> argparse.Namespace:
     parser.add_argument("--start")
     parser.add_argument("--reference-end", required=True)
     parser.add_argument("--current-end", required=True)
+    parser.add_argument("--regime", choices=REGIMES, default="distance", help="distances or tests for the drift of all columns")
+    parser.add_argument("--method", nargs="*", default=[], metavar="COLUMN=METHOD", help="drift method of single columns")
     return parser.parse_args(argv)
 
 
@@ -53,7 +56,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     files.write_scored(reference, current, f"{args.output}/scored")
     reference, current = (spark.read.parquet(f"{args.output}/scored/{p}") for p in ("reference", "current"))
     run = MonitoringRun(
-        reference, current, args.time_column, args.target, "prediction", args.numeric, args.categorical
+        reference, current, args.time_column, args.target, "prediction", args.numeric, args.categorical,
+        args.regime, dict(m.split("=", 1) for m in args.method),
     )
     files.write_json_report(run.reports(), f"{args.output}/windows")
     summary = run.summary.withColumn("analysis_timestamp", F.lit(datetime.now(timezone.utc).isoformat()))

@@ -115,8 +115,16 @@ def critical_status(spark, folder):
 
 
 @query
-def window_reports(spark, folder):
-    reports = run_of(spark, folder).reports()
+def critical_windows_tests(spark, folder):
+    """The windows under tests instead of distances."""
+    reference, current = tables.reference_and_current(spark, folder)
+    run = MonitoringRun(
+        reference, current, "ts", "target", "prediction", NUMERIC, CATEGORICAL, "test", {"target": "ks", "prediction": "ks"}
+    )
+    return rounded(run.flags.withColumn("drifted", F.array_join("drifted", ",")))
+
+
+def _flat_reports(reports: DataFrame, *more) -> DataFrame:
     groups = [
         F.col(f"error_distribution.{g}.{m}").alias(f"{g}_{m}") for g in quality.ERROR_GROUPS for m in ("mean", "std")
     ]
@@ -125,11 +133,16 @@ def window_reports(spark, folder):
     ]
     scores = [F.round(F.col("drift_analysis.feature_scores")[c]["score"] + TIE_SHIFT, 6).alias(f"{c}_score") for c in ("target", "prediction")]
     return reports.select(
-        "window_id", "metrics.*", *groups, *performance, *scores,
+        "window_id", *more, "metrics.*", *groups, *performance, *scores,
         F.array_join("drift_analysis.drifted_features", ",").alias("drifted"), "is_critical",
     )
 
 
+@query
+def window_reports(spark, folder):
+    return _flat_reports(run_of(spark, folder).reports())
+
+
 @query
 def interval_metrics(spark, folder):
     events = interval_metric_buckets(tables.scored_events(spark, folder), "ts", "day")
@@ -854,28 +867,84 @@ def tabular_regression(spark, folder):
     return model.evaluate(current.drop("prediction"))
 
 
+# ---------------------------------------------------------------- sources and sinks
+
+
+def _order_sums(source: str, orders: DataFrame) -> DataFrame:
+    return orders.agg(
+        F.lit(source).alias("source"), F.count("*").alias("n_rows"), F.coalesce(F.sum("o_totalprice"), F.lit(0.0)).alias("total"),
+        F.coalesce(F.sum(F.col("o_orderkey").cast("long")), F.lit(0)).alias("keys"),
+    )
+
+
+@query
+def source_round_trips(spark, folder):
+    """Orders written and read back by every source and sink, an empty split and an open reader among them."""
+    from functools import reduce
+
+    from modelwake.sources import files
+
+    orders = tables.table(spark, folder, "orders")
+    root = scratch_path(spark, "sources")
+    plain = orders.select("o_orderdate", "o_orderkey", "o_totalprice")
+    plain.withColumnsRenamed({c: c.upper() for c in plain.columns}).write.csv(f"{root}/upper", header=True)
+    plain.write.csv(f"{root}/plain", header=True)
+    lower = prepare.coerce(files.read_lower_csv(spark, f"{root}/upper"), ["o_orderkey", "o_totalprice"], [])
+    files.ingest({"orders": orders}, f"{root}/ingest")
+    files.write_by_month(orders, "o_orderdate", f"{root}/months")
+    split = F.when(F.col("o_orderdate") < F.lit("2000-07-01").cast("timestamp_ntz"), "train").when(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz"), "val")
+    files.write_splits(orders.withColumn("split", split).where("split IS NOT NULL"), f"{root}/splits")
+    name = "orders_" + root.rsplit("-", 1)[1]
+    reader = files.create_or_replace(orders.where("o_orderkey % 2 = 0"), name)
+    found = {
+        "csv_time": files.read_time_csv(spark, f"{root}/plain", plain.schema), "csv_lower": lower,
+        "ingest": spark.read.parquet(f"{root}/ingest/orders"), "months": spark.read.parquet(f"{root}/months"),
+        "replaced": files.create_or_replace(orders, name), "reader": reader,
+        **{f"split_{s}": df for s, df in files.read_splits(spark, f"{root}/splits").items()},
+    }
+    return rounded(reduce(DataFrame.unionByName, [_order_sums(s, df) for s, df in found.items()]), 2)
+
+
+@query
+def report_round_trip(spark, folder):
+    """Window reports written as JSON and read back typed, with their time ranges."""
+    from modelwake.sources import files
+
+    path = scratch_path(spark, "reports")
+    files.write_json_report(run_of(spark, folder).reports(), path)
+    return _flat_reports(
+        files.read_window_reports(spark, path), F.col("time_range.start").alias("window_start"), F.col("time_range.end").alias("window_end")
+    )
+
+
 # ---------------------------------------------------------------- streaming
 
 
-def _run_stream(spark, folder, window: str, slide: str | None) -> DataFrame:
-    from modelwake.streaming import monitor
+def _run_stream(spark, folder, days: int) -> DataFrame:
+    """Day panes from the stream, and the view over windows of ``days`` days."""
+    from modelwake.streaming import panes
 
     reference, _ = tables.reference_and_current(spark, folder)
-    stats = monitor.ReferenceStats.of(reference, "target", "prediction")
+    base = panes.Reference.of(reference, "target", "prediction", tables.row_count(spark, folder, "events"))
     source = tables.table(spark, folder, "events").schema
     stream = spark.readStream.schema(source).parquet(f"{folder}/events*.parquet")
-    scored = tables.score_events(stream)
-    metrics = monitor.windowed_metrics(scored, "ts", "target", "prediction", stats, window, slide)
-    output = scratch_path(spark, "stream-out")
-    monitor.run_to_table(metrics, output, scratch_path(spark, "stream-state"))
-    return rounded(spark.read.parquet(output))
+    cells = panes.paned(tables.score_events(stream), "ts", "target", "prediction", base)
+    stored = panes.run_panes(cells, scratch_path(spark, "panes"), scratch_path(spark, "stream-state"))
+    view = panes.window_view(stored, base, days)
+    return rounded(view.withColumn("drifted", F.concat_ws(",", "drifted")))
 
 
 @query
 def stream_window_metrics(spark, folder):
-    return _run_stream(spark, folder, "1 day", None)
+    return _run_stream(spark, folder, 1)
 
 
 @query
 def stream_sliding_metrics(spark, folder):
-    return _run_stream(spark, folder, "7 days", "1 day")
+    return _run_stream(spark, folder, 7)
+
+
+@query
+def stream_quarter_view(spark, folder):
+    """Windows of 90 days, one for every day."""
+    return _run_stream(spark, folder, 90)

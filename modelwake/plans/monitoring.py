@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -17,7 +17,12 @@ from modelwake.sources.files import as_json
 
 @dataclass
 class MonitoringRun:
-    """Lazy tables of one run. Only the window plan and the drift-method choice touch the driver."""
+    """Lazy tables of one run. Only the window plan and the drift-method choice touch the driver.
+
+    ``regime`` chooses distances or tests for the drift of all columns, and ``methods`` names
+    the method of single columns. A distance has one limit whatever the number of rows, so
+    chance alone passes it in small windows; tests take the number of rows into account.
+    """
 
     reference: DataFrame
     current: DataFrame
@@ -26,6 +31,11 @@ class MonitoringRun:
     prediction: str
     numeric: Sequence[str]
     categorical: Sequence[str]
+    regime: str = "distance"
+    methods: Mapping[str, str] | None = None
+
+    def _methods(self, columns: Sequence[str]) -> dict[str, str]:
+        return {c: m for c, m in (self.methods or {}).items() if c in columns}
 
     @property
     def spark(self) -> SparkSession:
@@ -70,7 +80,9 @@ class MonitoringRun:
     def target_drift(self) -> DataFrame:
         """Drift of target and prediction, every window against the whole reference."""
         columns = [self.target, self.prediction]
-        return drift.drift_table(self.reference, self.assigned, columns, [], self.rows)
+        return drift.drift_table(
+            self.reference, self.assigned, columns, [], self.rows, self._methods(columns), regime=self.regime
+        )
 
     @cached_property
     def flags(self) -> DataFrame:
@@ -89,7 +101,10 @@ class MonitoringRun:
 
     def feature_drift(self, only_critical: bool = True) -> DataFrame:
         rows = self.critical_rows if only_critical else self.assigned
-        return drift.drift_table(self.reference, rows, self.numeric, self.categorical, self.rows)
+        columns = [*self.numeric, *self.categorical]
+        return drift.drift_table(
+            self.reference, rows, self.numeric, self.categorical, self.rows, self._methods(columns), regime=self.regime
+        )
 
     def _stacked(self, only_critical: bool) -> DataFrame:
         return profile.stack(self.reference, self.critical_rows if only_critical else self.assigned)

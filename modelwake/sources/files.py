@@ -6,11 +6,12 @@ import hashlib
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelwake.operators.prepare import rename_lower
+from modelwake.sources import versions
 
 SPLITS = ("train", "val", "test")
 
@@ -37,21 +38,33 @@ def split_folder(root: str, dataset: str, task: str, settings: Mapping[str, obje
     return f"{root}/{dataset}/{task}/{digest}"
 
 
-def write_splits(df: DataFrame, folder: str) -> None:
-    """One directory per split in a single write; the split filter later prunes directories."""
-    df.write.mode("overwrite").partitionBy("split").parquet(folder)
+MANIFEST = "_splits.json"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+def write_splits(df: DataFrame, folder: str) -> None:
+    """One directory per split in a single write, then the manifest that makes them valid.
+
+    The manifest has the rows of every split, so an empty split is known as such, and the
+    schema. Overwriting deletes the old one first: a write that dies leaves no valid splits.
+    """
+    spark = df.sparkSession
+    df.write.mode("overwrite").partitionBy("split").parquet(folder)
+    schema = df.drop("split").schema
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("split", T.StringType())])).parquet(folder)
+    rows = {r["split"]: r["n"] for r in stored.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    versions.write_text(spark, f"{folder}/{MANIFEST}", json.dumps({"rows": {s: rows.get(s, 0) for s in SPLITS}, "schema": schema.json()}))
 
 
-def read_splits(spark: SparkSession, folder: str, need_all: bool = True) -> dict[str, DataFrame] | None:
-    """The three splits, or None unless all of them were written."""
-    if need_all and not all(_exists(spark, f"{folder}/split={s}") for s in SPLITS):
+def read_splits(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
+    """The three splits, empty ones too, or None unless a write of them was completed."""
+    text = versions.read_text(spark, f"{folder}/{MANIFEST}")
+    if text is None:
         return None
-    table = spark.read.parquet(folder)
+    saved = json.loads(text)
+    schema = T.StructType.fromJson(json.loads(saved["schema"]))
+    if not any(saved["rows"].values()):
+        return {s: spark.createDataFrame([], schema) for s in SPLITS}
+    table = spark.read.schema(T.StructType([*schema.fields, T.StructField("split", T.StringType())])).parquet(folder)
     return {s: table.where(F.col("split") == s).drop("split") for s in SPLITS}
 
 
@@ -67,9 +80,18 @@ def ingest(tables: Mapping[str, DataFrame], folder: str) -> None:
 
 
 def create_or_replace(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Create-or-replace-table-as-select through the session catalog; returns the stored table."""
-    df.write.mode("overwrite").format("parquet").partitionBy(*partition_by).saveAsTable(table)
-    return df.sparkSession.table(table)
+    """Create or replace a table at one stroke; returns the stored table.
+
+    Rows go to a folder of their own in the warehouse, then the name in the session catalog
+    moves to it, as a view of that folder. Readers see the old rows or the new ones, and a
+    query that has begun keeps the version it began with. ``df`` may read the table it replaces.
+    """
+    spark = df.sparkSession
+    version = versions.publish(df, f"{spark.conf.get('spark.sql.warehouse.dir')}/{table}.versions", partition_by=partition_by)
+    if spark.catalog.tableExists(table) and spark.catalog.getTable(table).tableType != "VIEW":
+        spark.sql(f"DROP TABLE {table}")
+    spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM parquet.`{version.folder}`")
+    return spark.table(table)
 
 
 def write_by_month(df: DataFrame, ts: str, folder: str) -> None:
@@ -96,6 +118,42 @@ def read_json_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
 
 
+#: The nested report of a window.
+REPORT_SCHEMA = """window_id int, time_range struct<start: timestamp_ntz, end: timestamp_ntz>,
+    metrics struct<r2_score: double, rmse: double, mean_error: double, error_std: double>,
+    error_distribution struct<majority: struct<mean: double, std: double>, underestimation: struct<mean: double, std: double>, overestimation: struct<mean: double, std: double>>,
+    feature_performance map<string, struct<range: double, majority_value: double, under_value: double, over_value: double>>,
+    drift_analysis struct<drifted_features: array<string>, feature_scores: map<string, struct<score: double, detected: boolean>>>,
+    is_critical boolean"""
+
+
+def read_window_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Window reports as they were written: typed, with time ranges.
+
+    JSON leaves out what is null, so every rule for a missing field is here: numbers of a
+    missing struct are 0, missing lists and maps are empty, an unknown time is null and a
+    window without a flag is not critical.
+    """
+    read = read_json_report(spark, path, REPORT_SCHEMA)
+    zero = F.lit(0.0)
+
+    def filled(column: Column, kind: T.StructType) -> Column:
+        parts = [
+            (filled(column[f.name], f.dataType) if isinstance(f.dataType, T.StructType) else F.coalesce(column[f.name], zero)).alias(f.name)
+            for f in kind.fields
+        ]
+        return F.struct(*parts)
+
+    numbers = {c: filled(F.col(c), read.schema[c].dataType) for c in ("metrics", "error_distribution")}
+    drift = F.struct(
+        F.coalesce("drift_analysis.drifted_features", F.array().cast("array<string>")).alias("drifted_features"),
+        F.coalesce("drift_analysis.feature_scores", F.create_map().cast("map<string, struct<score: double, detected: boolean>>")).alias("feature_scores"),
+    )
+    features = F.coalesce("feature_performance", F.create_map().cast(read.schema["feature_performance"].dataType))
+    flag = F.coalesce("is_critical", F.lit(False))
+    return read.withColumns({**numbers, "drift_analysis": drift, "feature_performance": features, "is_critical": flag})
+
+
 def parse_json(df: DataFrame, column: str, schema: str, drop: Sequence[str] = ()) -> DataFrame:
     """Typed struct from a JSON text column, without the named fields."""
     parsed = F.from_json(F.col(column), schema)

@@ -883,26 +883,44 @@ ORACLE["one_hot_slots"] = with_(
 )
 
 
-def stream(expand: str, days: int) -> str:
+def stream(days: int) -> str:
+    """Sliding windows of ``days`` days by whole rows: every row is copied to all windows it lies in."""
+    starts = f"unnest(generate_series(CAST(date_trunc('day', ts) AS TIMESTAMP) - INTERVAL {days - 1} DAY, CAST(date_trunc('day', ts) AS TIMESTAMP), INTERVAL 1 DAY))"
+
+    def tail(x: str) -> str:
+        """The chi-square tail with eight degrees of freedom."""
+        return f"exp(-{x} / 2) * (1 + {x} / 2 + {x} ** 2 / 8 + {x} ** 3 / 48)"
+
+    tests = [
+        f"""{name[0]}q AS (SELECT quantile_cont({name}, [i / 9.0::DOUBLE for i in range(1, 9)]) AS e FROM ref),
+            {name[0]}r AS (SELECT len(list_filter(e, lambda v: {name} > v)) AS c, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM ref, {name[0]}q GROUP BY 1),
+            {name[0]}w AS (SELECT window_start, len(list_filter(e, lambda v: {name} > v)) AS c, count(*) AS n FROM bk, {name[0]}q GROUP BY 1, 2),
+            {name[0]}t AS (SELECT window_start, greatest(sum(n * n / share) / sum(n) - sum(n), 0) AS x FROM {name[0]}w JOIN {name[0]}r USING (c) GROUP BY 1)"""
+        for name in ("target", "prediction")
+    ]
     return with_(
         [
             EV, REF,
             "st AS (SELECT avg(target) AS my, stddev_pop(target) AS sy, avg(prediction) AS mp, stddev_pop(prediction) AS sp FROM ref)",
-            f"bk AS (SELECT ev.*, {expand} AS window_start FROM ev)",
+            f"bk AS (SELECT ev.*, {starts} AS window_start FROM ev)",
             f"wn AS ({quality_sql('bk', 'window_start')})",
             "mn AS (SELECT window_start, avg(target) AS ay, avg(prediction) AS ap FROM bk GROUP BY 1)",
+            *tests,
+            f"""dr AS (SELECT window_start, a.x AS tx, b.x AS px, {tail('a.x')} AS tp, {tail('b.x')} AS pp
+                 FROM tt a JOIN pt b USING (window_start))""",
         ],
         f"""SELECT window_start, window_start + INTERVAL {days} DAY AS window_end, n_rows, {r('r2_score', 'r2_score')}, {r('rmse', 'rmse')}, {r('mean_error', 'mean_error')},
-            {r('abs(ay - my) / sy', 'target_shift')}, {r('abs(ap - mp) / sp', 'prediction_shift')}, {_POOR} AS poor_performance
-            FROM wn JOIN mn USING (window_start), st
-            WHERE window_start + INTERVAL {days} DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+            {r('abs(ay - my) / sy', 'target_shift')}, {r('abs(ap - mp) / sp', 'prediction_shift')},
+            {r('tx', 'target_statistic')}, {r('tp', 'target_p_value')}, {r('px', 'prediction_statistic')}, {r('pp', 'prediction_p_value')},
+            concat_ws(',', CASE WHEN pp < 0.05 THEN 'prediction' END, CASE WHEN tp < 0.05 THEN 'target' END) AS drifted,
+            {_POOR} AS poor_performance, {_POOR} OR pp < 0.05 OR tp < 0.05 AS is_critical
+            FROM wn JOIN mn USING (window_start) JOIN dr USING (window_start), st""",
     )
 
 
-ORACLE["stream_window_metrics"] = stream("CAST(date_trunc('day', ts) AS TIMESTAMP)", 1)
-ORACLE["stream_sliding_metrics"] = stream(
-    "unnest(generate_series(CAST(date_trunc('day', ts) AS TIMESTAMP) - INTERVAL 6 DAY, CAST(date_trunc('day', ts) AS TIMESTAMP), INTERVAL 1 DAY))", 7
-)
+ORACLE["stream_window_metrics"] = stream(1)
+ORACLE["stream_sliding_metrics"] = stream(7)
+ORACLE["stream_quarter_view"] = stream(90)
 
 #: Splitting hot groups changes the plan, not the answer.
 for _name in ("ks_by_window", "wasserstein_by_window", "auc_exact", "asof_customer"):
@@ -913,3 +931,28 @@ SELECT window_id, feature, 'ks' AS method, statistic, p_value, p_value < 0.05 AS
 FROM ({ORACLE["ks_by_window"]}) WHERE feature IN ('k', 'hour')
 UNION ALL
 SELECT window_id, feature, 'chi2' AS method, statistic, p_value, p_value < 0.05 AS detected FROM ({ORACLE["chi2_by_window"]})"""
+
+ORACLE["critical_windows_tests"] = with_(
+    [
+        *BASE, QUALITY, *pooled(["target", "prediction"]),
+        "kd AS (SELECT wid AS window_id, feature, max(abs(fr - fc)) AS d, max(n_cur) AS n_cur, max(n_ref) AS n_ref FROM cdf GROUP BY ALL)",
+        "kl AS (SELECT *, sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur)) * d AS lam FROM kd)",
+        f"kp AS (SELECT window_id, feature, {KS_P} AS p FROM kl)",
+        "dn AS (SELECT window_id, string_agg(feature, ',' ORDER BY feature) AS drifted FROM kp WHERE p < 0.05 GROUP BY 1)",
+    ],
+    f"""SELECT window_id, window_start, window_end, {r('r2_score', 'r2_score')}, coalesce(drifted, '') AS drifted, {_POOR} AS poor_performance,
+        {_POOR} OR drifted IS NOT NULL AS is_critical FROM win LEFT JOIN qual USING (window_id) LEFT JOIN dn USING (window_id)""",
+)
+
+# ---------------------------------------------------------------- sources and sinks
+
+_ORDER_SUMS = f"count(*) AS n_rows, {r('sum(o_totalprice)', 'total', 2)}, CAST(sum(o_orderkey) AS BIGINT) AS keys"
+_ORDER_SPLITS = """sp AS (SELECT *, CASE WHEN o_orderdate < TIMESTAMP '2000-07-01' THEN 'train' WHEN o_orderdate < TIMESTAMP '2001-01-01' THEN 'val' END AS split FROM orders)"""
+ORACLE["source_round_trips"] = with_(
+    [_ORDER_SPLITS, "st AS (SELECT * FROM (VALUES ('csv_time'), ('csv_lower'), ('ingest'), ('months'), ('replaced')) t(source))"],
+    f"""SELECT source, {_ORDER_SUMS} FROM orders, st GROUP BY 1
+        UNION ALL SELECT 'split_' || split, {_ORDER_SUMS} FROM sp WHERE split IS NOT NULL GROUP BY 1
+        UNION ALL SELECT 'split_test', 0, 0.0, 0
+        UNION ALL SELECT 'reader', {_ORDER_SUMS} FROM orders WHERE o_orderkey % 2 = 0""",
+)
+ORACLE["report_round_trip"] = ORACLE["window_reports"].replace("SELECT fl.window_id, ", "SELECT fl.window_id, fl.window_start, fl.window_end, ", 1)

@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from modelwake.operators import cohorts, critical, profile, quality, views
 from modelwake.plans.monitoring import MonitoringRun
+from modelwake.sources import files
 
 FLAG = "window_id int, drifted array<string>, is_critical boolean"
 
@@ -41,12 +43,21 @@ def run(frame):
 
 
 def test_run_flags_the_late_windows(run):
+    # Windows of 37 rows: a test knows what chance does to them, a distance does not.
+    run = replace(run, regime="test")
     flags = run.flags.orderBy("window_id").collect()
     assert len(flags) == run.plan.count == 20
     assert not flags[0].is_critical and flags[-1].is_critical and flags[-1].poor_performance
     assert run.summary.first().total_windows == 20
 
 
+def test_methods_of_single_columns(run):
+    named = replace(run, methods={"p": "ks", "k": "psi", "c": "chi2"})
+    assert {r.method for r in named.target_drift.where("feature = 'p'").collect()} == {"ks"}
+    assert {r.method for r in named.target_drift.where("feature = 'y'").collect()} == {"wasserstein"}
+    assert {(r.feature, r.method) for r in named.feature_drift(False).collect()} == {("k", "psi"), ("c", "chi2")}
+
+
 def test_only_critical_windows_are_profiled(run):
     critical_ids = {r.window_id for r in run.flags.where("is_critical").collect()}
     assert {r.window_id for r in run.critical_rows.select("window_id").distinct().collect()} == critical_ids
@@ -66,6 +77,24 @@ def test_report_json(run):
     assert windows[0]["time_range"]["start"].startswith("2024-01-13T12:00:00")
 
 
+def test_reports_survive_the_round_trip(spark, run, tmp_path):
+    files.write_json_report(run.reports(), str(tmp_path / "r"))
+    got = {r.window_id: r for r in files.read_window_reports(spark, str(tmp_path / "r")).collect()}
+    windows = {r.window_id: r for r in run.windows.collect()}
+    assert len(got) == 20
+    for r in run.reports().collect():
+        back = got[r.window_id]
+        assert (back.metrics, back.error_distribution, back.is_critical) == (r.metrics, r.error_distribution, r.is_critical)
+        assert (back.time_range.start, back.time_range.end) == windows[r.window_id][1:3]
+        assert back.drift_analysis.drifted_features == r.drift_analysis.drifted_features and back.feature_performance == r.feature_performance
+        assert back.drift_analysis.feature_scores == r.drift_analysis.feature_scores
+    bare = str(tmp_path / "bare")
+    spark.createDataFrame([('{"window_id": 3, "time_range": {"start": "unknown"}, "metrics": {"rmse": 2.5}}',)], "value string").write.text(bare)
+    row = files.read_window_reports(spark, bare).first()
+    assert row.metrics.rmse == 2.5 and row.metrics.r2_score == 0.0 and row.error_distribution.majority.std == 0.0
+    assert row.time_range.start is None and row.drift_analysis.drifted_features == [] and row.feature_performance == {} and row.is_critical is False
+
+
 def test_series_fills_windows_without_values(run):
     only_first = run.quality.where("window_id = 1")
     rows = quality.performance_series(only_first, run.windows).orderBy("window_id").collect()

@@ -52,10 +52,11 @@ def test_command_line_monitor(spark, tmp_path):
     main([
         "--data-path", str(tmp_path / "hourly.csv"), "--output", output, "--target", "cnt", "--numeric", "temp", "hr",
         "--categorical", "season", "--reference-end", "2011-01-28 23:00:00", "--current-end", "2011-02-28 23:00:00",
+        "--regime", "test", "--method", "temp=wasserstein",
     ])
     summary = spark.read.json(f"{output}/summary").first()
     windows = spark.read.json(f"{output}/windows")
     assert summary.total_windows == windows.count() == 4
     assert summary.critical_windows >= 1 and summary.status in ("warning", "critical")
-    assert spark.read.json(f"{output}/feature_drift").where("feature = 'temp' and detected").count() >= 1
+    assert spark.read.json(f"{output}/feature_drift").where("feature = 'temp' and method = 'wasserstein' and detected").count() >= 1
     assert spark.read.parquet(f"{output}/scored/current").where("prediction is null").count() == 0

@@ -1,5 +1,6 @@
 """Roles, sources, samples, preparation, learning and streaming."""
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,9 +10,10 @@ from pyspark.sql import types as T
 from modelwake.learning.importance import individual_expectation, partial_dependence, permutation_importance, tree_importance
 from modelwake.learning.pipeline import TabularModel, boosted_classifier, boosted_trees, forest_regression, numeric_scaling
 from modelwake.operators import prepare, sampling
-from modelwake.roles import TASKS, ColumnRoles, ReferenceSets, SemanticType, TaskType
+from modelwake.roles import TASKS, ColumnRoles, SemanticType, TaskType
 from modelwake.session import bounded_broadcast
-from modelwake.sources import files
+from modelwake.sources import files, versions
+from modelwake.streaming import monitor, panes
 
 TYPES = {
     "id": SemanticType.CATEGORICAL,
@@ -43,14 +45,6 @@ def test_roles(hundred):
     assert TASKS["user-churn"].target == "churn"
 
 
-def test_reference_sets_are_written_once(hundred):
-    sets = ReferenceSets()
-    sets.attach(hundred, hundred, None)
-    assert sets["train"].count() == 100 and sets["test"] is None
-    with pytest.raises(ValueError):
-        sets.attach(hundred, hundred, hundred)
-
-
 def test_errors_by_task(frame):
     df = frame([(1.0, 1.5), (2.0, 2.0)], "target double, prediction double")
     assert [r.error for r in prepare.append_error(df, ROLES, TaskType.REGRESSION).collect()] == [0.5, 0.0]
@@ -80,6 +74,16 @@ def test_splits_round_trip(spark, hundred, tmp_path):
     split = hundred.withColumn("split", F.when(F.col("id") < 60, "train").when(F.col("id") < 80, "val").otherwise("test"))
     files.write_splits(split, folder)
     assert {s: d.count() for s, d in files.read_splits(spark, folder).items()} == {"train": 60, "val": 20, "test": 20}
+    # An empty split is a stored one; a write that did not end is none.
+    files.write_splits(split.where("split = 'train'"), folder)
+    assert {s: d.count() for s, d in files.read_splits(spark, folder).items()} == {"train": 60, "val": 0, "test": 0}
+    torn = files.split_folder(str(tmp_path), "shop", "churn", {"year": 2025})
+    split.write.partitionBy("split").parquet(torn)
+    assert files.read_splits(spark, torn) is None
+    nothing = files.split_folder(str(tmp_path), "shop", "churn", {"year": 2026})
+    files.write_splits(split.limit(0), nothing)
+    assert {s: d.columns for s, d in files.read_splits(spark, nothing).items()} == dict.fromkeys(files.SPLITS, hundred.columns)
+    files.write_splits(split, folder)
     files.write_csv_splits(files.read_splits(spark, folder), str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv" / "val"), header=True).count() == 20
 
@@ -87,6 +91,12 @@ def test_splits_round_trip(spark, hundred, tmp_path):
 def test_stored_tables(spark, hundred, tmp_path):
     assert files.create_or_replace(hundred, "stored_hundred").count() == 100
     assert files.create_or_replace(hundred.limit(7), "stored_hundred").count() == 7
+    # A query that has begun keeps its version; the table may be read by what replaces it.
+    before = spark.table("stored_hundred")
+    assert files.create_or_replace(before.unionByName(hundred), "stored_hundred", ["feature2"]).count() == 107
+    assert before.count() == 7 and spark.table("stored_hundred").where("feature2 = 'A'").count() > 30
+    spark.sql("CREATE TABLE plain_one USING parquet AS SELECT 1 AS a")
+    assert files.create_or_replace(hundred, "plain_one").count() == 100
     files.ingest({"a": hundred}, str(tmp_path))
     files.write_by_month(hundred, "timestamp", str(tmp_path / "months"))
     february = spark.read.parquet(str(tmp_path / "months")).where("month = '2024-02'")
@@ -208,3 +218,86 @@ def test_stream_equals_batch(spark, frame, tmp_path):
         assert set(got) == {s for s, r in batch.items() if r.window_end <= last}
         for s, r in got.items():
             assert list(r)[:2] == list(batch[s])[:2] and list(r)[2:] == pytest.approx(list(batch[s])[2:])
+
+
+def test_versions_are_replaced_at_one_stroke(spark, hundred, tmp_path):
+    root = str(tmp_path / "table")
+    assert versions.current(spark, root) is None
+    first = versions.publish(hundred, root, {"load": 1})
+    old = first.read(spark)
+    versions.publish(old.limit(5), root, {"load": 2})
+    # A writer that dies before the pointer moves changes nothing.
+    hundred.write.parquet(f"{root}/version-unfinished")
+    now = versions.current(spark, root)
+    assert now.notes == {"load": 2} and now.read(spark).count() == 5 and old.count() == 100
+    assert now.read(spark).schema == hundred.schema
+    versions.publish(hundred, root)
+    assert not os.path.exists(first.folder) and os.path.exists(now.folder)
+
+
+def panes_of(spark, df, tmp_path, y="y", p="p"):
+    base = panes.Reference.of(df.limit(400), y, p, 400)
+    schema = "ts timestamp_ntz, y double, p double"
+    stream = monitor.read_events(spark, str(tmp_path / "in"), schema)
+    return base, panes.paned(stream, "ts", y, p, base)
+
+
+def test_stream_restarts_without_double_rows(spark, frame, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(minutes=10 * i), float(i % 7) if i % 50 else None, i % 7 + (i % 3) / 4) for i in range(1200)]
+    df = frame(rows, "ts timestamp_ntz, y double, p double").cache()
+    root, state = str(tmp_path / "panes"), str(tmp_path / "state")
+    for low, high in ((0, 500), (500, 900), (900, 1200)):
+        df.where(f"ts >= '{rows[low][0]}' AND ts <= '{rows[high - 1][0]}'").write.mode("append").parquet(str(tmp_path / "in"))
+        base, cells = panes_of(spark, df, tmp_path)
+        stored = panes.run_panes(cells, root, state)
+        assert stored.agg(F.sum("n")).first()[0] == high
+    batch = panes.paned(df, "ts", "y", "p", base)
+    key = lambda r: [str(x) for x in r[:3]]
+    got, want = sorted(stored.collect(), key=key), sorted(batch.collect(), key=key)
+    assert len(got) == len(want) and all(list(a)[:5] == list(b)[:5] and list(a)[5:] == pytest.approx(list(b)[5:]) for a, b in zip(got, want, strict=True))
+    # A batch that comes again is known by its number, and has no effect.
+    number = versions.current(spark, root).notes["batch"]
+    panes.upsert_panes(batch, number, root)
+    assert panes.stored_panes(spark, root, batch.schema).agg(F.sum("n")).first()[0] == 1200
+    # A later batch replaces the panes it has and leaves the others.
+    day = batch.where("pane = '2024-01-02'").withColumn("n", F.lit(1).cast("long"))
+    panes.upsert_panes(day, number + 1, root)
+    panes.upsert_panes(day, number + 1, root)
+    assert panes.stored_panes(spark, root, batch.schema).agg(F.sum("n")).first()[0] == 1200 - 144 + day.count()
+    assert panes.stored_panes(spark, str(tmp_path / "none"), batch.schema).count() == 0
+
+
+def test_windows_of_panes_equal_windows_of_rows(spark, frame):
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(minutes=25 * i), 1e6 + i % 11, 1e6 + i % 11 + (i % 5) * i / 400) for i in range(900)]
+    df = frame(rows, "ts timestamp_ntz, y double, p double")
+    reference = df.limit(300)
+    base = panes.Reference.of(reference, "y", "p", 300)
+    assert sum(base.shares[0]) == pytest.approx(1) and len(base.edges[0]) + 1 == len(base.shares[0]) <= panes.CLASSES
+    stats = monitor.ReferenceStats.of(reference, "y", "p")
+    for days in (1, 5):
+        view = {r.window_start: r for r in panes.window_view(panes.paned(df, "ts", "y", "p", base), base, days).collect()}
+        rows_view = monitor.windowed_metrics(df, "ts", "y", "p", stats, f"{days} days", "1 day").collect()
+        assert set(view) == {r.window_start for r in rows_view}
+        for r in rows_view:
+            v = view[r.window_start]
+            assert (v.window_end, v.n_rows) == (r.window_end, r.n_rows)
+            for c in ("r2_score", "rmse", "mean_error", "target_shift", "prediction_shift"):
+                assert v[c] == pytest.approx(r[c], rel=1e-6, abs=1e-9)
+        late = view[max(view)]
+        assert late.is_critical and "prediction" in late.drifted
+
+
+def test_drift_of_classes(frame):
+    base = panes.Reference((0.0, 0.0), (1.0, 1.0), ((0.0,), (0.0, 1.0)), ((0.5, 0.5), (0.4, 0.6, 0.0)))
+    start = datetime(2024, 1, 1)
+    rows = [(start, i % 2 or -1.0, 0.5 if i % 5 < 3 else -1.0) for i in range(100)]
+    rows += [(start + timedelta(days=1), 1.0 if i < 60 else -1.0, 5.0 if i == 0 else -1.0) for i in range(100)]
+    df = frame([(t, float(y), p) for t, y, p in rows], "ts timestamp_ntz, y double, p double")
+    first, second = panes.window_view(panes.paned(df, "ts", "y", "p", base), base, 1).orderBy("window_start").collect()
+    assert (first.target_statistic, first.target_p_value, first.prediction_statistic) == (0.0, 1.0, pytest.approx(0.0, abs=1e-9))
+    assert first.drifted == [] and second.drifted == ["prediction", "target"]
+    assert second.target_statistic == pytest.approx(4.0) and second.target_p_value == pytest.approx(0.0455, abs=1e-4)
+    assert second.prediction_p_value == 0.0
+    assert panes.window_view(panes.paned(df.limit(0), "ts", "y", "p", base), base, 3).count() == 0
