@@ -50,9 +50,14 @@ def with_topic(df: DataFrame, text: Column, keep: list[str], topics: int = TOPIC
     return counted.select(*keep, topic.alias("topic"))
 
 
-def _keyed(cells: DataFrame, margin: str, table: DataFrame) -> DataFrame:
-    """``cells`` joined with a table of ``_key`` on their ``margin``; sorted and merged, so no broadcast piles up on the driver."""
-    return cells.join(table.hint("merge"), cells[margin].eqNullSafe(table["_key"]), "left").drop("_key")
+def _key(margin: str) -> Column:
+    """A category as a key that is never null, so that plain joins and windows share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), F.col(margin).cast("string")), F.lit(""))
+
+
+def _keyed(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` with what ``table`` has for their ``_key``; sorted and merged, so no broadcast piles up on the driver."""
+    return rows.join(table.hint("merge"), "_key", "left")
 
 
 def margin_goals(cells: DataFrame, margin: str, named: Mapping[str, float] | None, size: float, stages: Stages) -> DataFrame:
@@ -65,10 +70,10 @@ def margin_goals(cells: DataFrame, margin: str, named: Mapping[str, float] | Non
     each; a step that does not end the search fills up at least one more category.
     """
     spark = cells.sparkSession
-    rows = spark.createDataFrame([(k, float(v)) for k, v in (named or {}).items()], "_name string, share double")
-    held = cells.groupBy(F.col(margin).alias("_key")).agg(F.sum("tokens").cast("double").alias("have")).where("have > 0")
+    rows = spark.createDataFrame([(f"={k}", float(v)) for k, v in (named or {}).items()], "_name string, share double")
+    held = cells.groupBy(_key(margin).alias("_key")).agg(F.sum("tokens").cast("double").alias("have")).where("have > 0")
     # As many rows as shares were named.
-    joined = stages.keep(held.join(F.broadcast(rows), held["_key"].eqNullSafe(rows["_name"]), "left").drop("_name"))
+    joined = stages.keep(held.join(F.broadcast(rows), held["_key"] == rows["_name"], "left").drop("_name"))
     total, named_sum, open_n, open_have = joined.agg(
         F.sum("have"), F.coalesce(F.sum("share"), F.lit(0.0)), F.count_if(F.col("share").isNull()), F.coalesce(F.sum(F.when(F.col("share").isNull(), F.col("have"))), F.lit(0.0))
     ).first()
@@ -122,27 +127,25 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], b
     now = stages.keep(cells.withColumn("_x", F.col("tokens") * F.lit(float(budget))))
     tokens = F.col("tokens").cast("double")
     limited = F.least(tokens, F.col("_x"))
-
     cell_rows = now.count()
 
-    def sums(margin: str) -> DataFrame:
-        return _keyed(now.groupBy(F.col(margin).alias("_m")).agg(F.sum(limited).alias("_got")), "_m", goals[margin])
-
     def factors(margin: str) -> DataFrame:
         """_key, _factor and _off, by which the category missed its goal before."""
-        open_cells = now.where("_x > 0").select(F.col(margin).alias("_m"), (tokens / F.col("_x")).alias("_fill"), tokens.alias("t"), F.col("_x").alias("x"))
-        steps = open_cells.groupBy("_m", "_fill").agg(F.sum("t").alias("t"), F.sum("x").alias("x"))
-        run = _keyed(running_totals(steps, ["_m"], "_fill", ["t", "x"], cell_rows), "_m", goals[margin])
-        full, free = F.col("cum_t"), F.col("tot_x") - F.col("cum_x")
-        reached = full + F.col("_fill") * free >= F.col("_want")
+        others = [m for m in MARGINS if m != margin]
+        # Cells that fill up together keep an order of their own; the sums are the same after any of them.
+        order = F.struct((tokens / F.col("_x")).alias("fill"), *others)
+        cells_in_order = now.where("_x > 0").select(_key(margin).alias("_key"), order.alias("_order"), tokens.alias("t"), F.col("_x").alias("x"))
+        run = _keyed(running_totals(cells_in_order, ["_key"], "_order", ["t", "x"], cell_rows), goals[margin])
+        fill, full, free = F.col("_order.fill"), F.col("cum_t"), F.col("tot_x") - F.col("cum_x")
+        reached = full + fill * free >= F.col("_want")
         before = (F.col("_want") - (full - F.col("t"))) / (free + F.col("x"))
-        found = run.groupBy("_m").agg(
-            F.coalesce(F.min_by(before, F.when(reached, F.col("_fill"))), F.max("_fill")).alias("_factor"), F.first("_want").alias("_want")
+        found = run.groupBy("_key").agg(
+            F.coalesce(F.min_by(before, F.when(reached, F.col("_order"))), F.max(fill)).alias("_factor"),
+            F.first("_want").alias("_want"),
+            F.sum(F.least("t", "x")).alias("_got"),
         )
-        got = now.groupBy(F.col(margin).alias("_key")).agg(F.sum(limited).alias("_got"))
-        both = _keyed(found, "_m", got)
         off = F.coalesce(F.try_divide(F.abs(F.col("_got") - F.col("_want")), F.col("_want")), F.lit(0.0))
-        return both.select(F.col("_m").alias("_key"), F.coalesce("_factor", F.lit(0.0)).alias("_factor"), off.alias("_off"))
+        return found.select("_key", F.coalesce("_factor", F.lit(0.0)).alias("_factor"), off.alias("_off"))
 
     worst: list[float] = []
     while len(worst) < ROUNDS:
@@ -150,7 +153,7 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], b
         for margin in MARGINS:
             scale = stages.keep(factors(margin))
             scales.append(scale)
-            moved = _keyed(now, margin, scale.drop("_off")).withColumn("_x", F.col("_x") * F.col("_factor"))
+            moved = _keyed(now.withColumn("_key", _key(margin)), scale.drop("_off")).withColumn("_x", F.col("_x") * F.col("_factor"))
             # Categories without tokens have no goal and no factor.
             after = stages.keep(moved.select(*cells.columns, F.least(F.coalesce("_x", F.lit(0.0)), tokens * FULL).alias("_x")))
             stages.drop(now)
@@ -160,11 +163,11 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], b
         stages.drop(*scales)
         if worst[-1] < TOLERANCE or len(worst) > STALLED and worst[-1] > SLOWEST * worst[-1 - STALLED]:
             break
-    gaps = None
+    gaps = []
     for margin in MARGINS:
-        part = sums(margin).select(F.lit(margin).alias("margin"), F.col("_m").cast("string").alias("category"), F.coalesce("_want", F.lit(0.0)).alias("want"), F.col("_got").alias("got"))
-        gaps = part if gaps is None else gaps.unionByName(part)
-    return now.select(*cells.columns, limited.alias("weight")), stages.keep(gaps)
+        summed = now.groupBy(_key(margin).alias("_key")).agg(F.first(margin).cast("string").alias("category"), F.sum(limited).alias("got"))
+        gaps.append(_keyed(summed, goals[margin]).select(F.lit(margin).alias("margin"), "category", F.coalesce("_want", F.lit(0.0)).alias("want"), "got"))
+    return now.select(*cells.columns, limited.alias("weight")), stages.keep(reduce(DataFrame.unionByName, gaps))
 
 
 #: Shares of languages and sources of the mix as it is produced here: sources and topics alike.
