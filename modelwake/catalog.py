@@ -808,6 +808,41 @@ def one_hot_slots(spark, folder):
     return slots.groupBy("event_type", F.concat_ws("", F.transform("h", lambda v: v.cast("string"))).alias("slots")).agg(F.count("*").alias("n_rows"))
 
 
+def _order_periods(spark, folder) -> tuple[DataFrame, DataFrame]:
+    orders = tables.table(spark, folder, "orders").withColumn("large", (F.col("o_totalprice") > 250000).cast("int"))
+    early = F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")
+    return orders.where(early), orders.where(~early)
+
+
+@query
+def category_dictionary(spark, folder):
+    """Indices of a narrow and a wide column, fitted on early orders and applied to later ones."""
+    from modelwake.learning import dictionary
+
+    early, late = _order_periods(spark, folder)
+    columns = ["o_orderpriority", "o_custkey"]
+    known = dictionary.fit_dictionary(early, columns)
+    encoded = dictionary.one_hot(dictionary.encode(late, known, columns), known, ["o_orderpriority"])
+    slots = F.concat_ws("", F.transform("o_orderpriority_hot", lambda v: v.cast("string")))
+    return encoded.groupBy("o_orderpriority", F.col("o_orderpriority_index").alias("priority_index"), slots.alias("slots")).agg(
+        F.count("*").alias("n_rows"), F.sum("o_custkey_index").alias("custkey_indices"), F.max("o_custkey_index").alias("custkey_last")
+    )
+
+
+@query
+def target_means(spark, folder):
+    """Out-of-fold means for early orders, fitted means for later ones."""
+    from modelwake.learning import dictionary
+
+    early, late = _order_periods(spark, folder)
+    columns = ["o_orderpriority", "o_custkey"]
+    inside = dictionary.out_of_fold_means(early, ["o_orderkey"], columns, "large", seed=11)
+    after = dictionary.apply_target_means(late, dictionary.fit_target_means(early, columns, "large"), columns)
+    kept = ["o_orderkey", "o_orderpriority_mean", "o_custkey_mean"]
+    both = inside.select(F.lit("train").alias("period"), *kept).unionByName(after.select(F.lit("score").alias("period"), *kept))
+    return rounded(both)
+
+
 def _forest(spark, folder):
     from modelwake.learning.pipeline import forest_regression
 

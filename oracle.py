@@ -956,3 +956,41 @@ ORACLE["source_round_trips"] = with_(
         UNION ALL SELECT 'reader', {_ORDER_SUMS} FROM orders WHERE o_orderkey % 2 = 0""",
 )
 ORACLE["report_round_trip"] = ORACLE["window_reports"].replace("SELECT fl.window_id, ", "SELECT fl.window_id, fl.window_start, fl.window_end, ", 1)
+
+# ---------------------------------------------------------------- categories
+
+_PERIODS = [
+    "od AS (SELECT *, CAST(o_totalprice > 250000 AS DOUBLE) AS large FROM orders)",
+    "er AS (SELECT * FROM od WHERE o_orderdate < TIMESTAMP '1997-01-01')", "la AS (SELECT * FROM od WHERE o_orderdate >= TIMESTAMP '1997-01-01')",
+]
+ORACLE["category_dictionary"] = with_(
+    [
+        *_PERIODS,
+        "pd AS (SELECT o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS i FROM er GROUP BY 1)",
+        "cd AS (SELECT o_custkey, row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS i FROM er GROUP BY 1)",
+        "en AS (SELECT la.o_orderpriority, coalesce(pd.i, (SELECT count(*) FROM pd)) AS p, coalesce(cd.i, (SELECT count(*) FROM cd)) AS c FROM la LEFT JOIN pd USING (o_orderpriority) LEFT JOIN cd USING (o_custkey))",
+    ],
+    """SELECT o_orderpriority, p AS priority_index, (SELECT string_agg(CASE WHEN i = p THEN '1' ELSE '0' END, '' ORDER BY i) FROM pd) AS slots,
+       count(*) AS n_rows, CAST(sum(c) AS BIGINT) AS custkey_indices, max(c) AS custkey_last FROM en GROUP BY 1, 2""",
+)
+
+
+def _out_of_fold(column: str) -> str:
+    """The mean of a row's category over the rows of other folds, and 20 rows of the prior."""
+    same = f"b.{column} = a.{column} AND b.f <> a.f"
+    return f"(SELECT coalesce(sum(b.large), 0) FROM fo b WHERE {same}) + 20 * pr.m) / ((SELECT count(*) FROM fo b WHERE {same}) + 20.0::DOUBLE"
+
+
+def _fitted(column: str) -> str:
+    return f"(SELECT coalesce(sum(large), 0) FROM er WHERE er.{column} = la.{column}) + 20 * w.m) / ((SELECT count(*) FROM er WHERE er.{column} = la.{column}) + 20.0::DOUBLE"
+
+
+ORACLE["target_means"] = with_(
+    [
+        *_PERIODS, f"fo AS (SELECT *, CAST(floor({fraction('o_orderkey', '11')} * 5) AS INTEGER) AS f FROM er)",
+        "pr AS (SELECT g.f, avg(large) AS m FROM (SELECT DISTINCT f FROM fo) g JOIN fo ON fo.f <> g.f GROUP BY 1)", "w AS (SELECT avg(large) AS m FROM er)",
+    ],
+    f"""SELECT 'train' AS period, o_orderkey, {r('(' + _out_of_fold('o_orderpriority') + ')', 'o_orderpriority_mean')}, {r('(' + _out_of_fold('o_custkey') + ')', 'o_custkey_mean')}
+        FROM fo a JOIN pr USING (f)
+        UNION ALL SELECT 'score', o_orderkey, {r('(' + _fitted('o_orderpriority') + ')', 'o_orderpriority_mean')}, {r('(' + _fitted('o_custkey') + ')', 'o_custkey_mean')} FROM la, w""",
+)

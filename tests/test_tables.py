@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modelwake.learning import dictionary
 from modelwake.learning.importance import individual_expectation, partial_dependence, permutation_importance, tree_importance
 from modelwake.learning.pipeline import TabularModel, boosted_classifier, boosted_trees, forest_regression, numeric_scaling
 from modelwake.operators import prepare, sampling
@@ -301,3 +302,32 @@ def test_drift_of_classes(frame):
     assert second.target_statistic == pytest.approx(4.0) and second.target_p_value == pytest.approx(0.0455, abs=1e-4)
     assert second.prediction_p_value == 0.0
     assert panes.window_view(panes.paned(df.limit(0), "ts", "y", "p", base), base, 3).count() == 0
+
+
+def test_dictionary_of_many_values(spark):
+    df = spark.range(300_000).select(F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("wide"), (F.col("id") % 3).alias("narrow"))
+    known = dictionary.fit_dictionary(df.unionByName(df), ["wide", "narrow"])
+    assert known.where("feature = 'wide' AND index <> cast(substr(value, 2) as long)").count() == 0
+    assert known.count() == 300_003 and known.where("feature = 'narrow'").orderBy("index").first().value == "0"
+    unseen = spark.createDataFrame([("v0000005", 1), ("nothing", None)], "wide string, narrow long")
+    rows = {r.wide: r for r in dictionary.one_hot(dictionary.encode(unseen, known, ["wide", "narrow"]), known, ["narrow"]).collect()}
+    assert (rows["v0000005"].wide_index, rows["v0000005"].narrow_hot) == (5, [0, 1, 0])
+    assert (rows["nothing"].wide_index, rows["nothing"].narrow_index, rows["nothing"].narrow_hot) == (300_000, 3, [0, 0, 0])
+    with pytest.raises(ValueError):
+        dictionary.one_hot(unseen, known, ["wide"])
+    nothing = dictionary.fit_dictionary(df.limit(0), ["wide"])
+    assert {r.wide_index for r in dictionary.encode(unseen, nothing, ["wide"]).collect()} == {0}
+
+
+def test_means_of_a_random_category_tell_nothing(spark):
+    df = spark.range(6000).select("id", F.xxhash64("id").alias("random"), (F.col("id") % 4).alias("real"), F.when(F.col("id") % 50 != 0, (F.col("id") % 4 == 0).cast("int")).alias("y"))
+    got = dictionary.out_of_fold_means(df, ["id"], ["random", "real"], "y").cache()
+    assert got.columns == [*df.columns, "random_mean", "real_mean"] and got.count() == 6000
+    # A category of one row has the prior of the other folds only, so at most one value per fold.
+    assert got.select("random_mean").distinct().count() <= 5
+    assert abs(got.agg(F.corr("random_mean", "y")).first()[0]) < 0.1 and got.agg(F.corr("real_mean", "y")).first()[0] > 0.95
+    means = dictionary.fit_target_means(df, ["real"], "y", weight=1.0)
+    new = dictionary.apply_target_means(spark.createDataFrame([(0,), (9,), (None,)], "real long"), means, ["real"])
+    prior = df.agg(F.avg("y")).first()[0]
+    values = {r.real: r.real_mean for r in new.collect()}
+    assert values[0] > 0.99 and values[9] == values[None] == pytest.approx(prior)
