@@ -189,7 +189,7 @@ REPORT_DEFAULTS = {
 def metric_report(df: DataFrame, y: str, p: str, task: str, metrics: Sequence[str] | None = None) -> DataFrame:
     """Rows (metric, value, error). An unknown metric gives a row with ``error`` set, not a failure."""
     if task not in REPORT_DEFAULTS:
-        raise ValueError("Unsupported task type")
+        raise ValueError(f"no metrics are known for {task}; known are {', '.join(REPORT_DEFAULTS)}")
     wanted = list(metrics) if metrics is not None else list(REPORT_DEFAULTS[task])
     error = F.col(p) - F.col(y)
     simple = {

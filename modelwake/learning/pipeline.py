@@ -85,7 +85,7 @@ def preparation(df: DataFrame, roles: ColumnRoles, rows: int) -> list:
     """
     numeric, categorical = roles.numerical, roles.categorical + roles.timestamps
     if not numeric and not categorical:
-        raise ValueError("No valid columns found for preprocessing")
+        raise ValueError("there is no numerical, categorical or time feature to prepare")
     stages, inputs = [], []
     if numeric:
         stages.append(scaling_stage(numeric_scaling(df, numeric, rows)))
@@ -183,7 +183,7 @@ def forest_regression(
 ) -> PipelineModel:
     """Random forest trained on the reference rows only."""
     if not numeric and not categorical:
-        raise ValueError("Features not set")
+        raise ValueError("a forest needs at least one numeric or categorical column")
     stages = category_stages(categorical, one_hot=False) if categorical else []
     inputs = [*numeric, *[f"{c}_index" for c in categorical]]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=VECTOR))

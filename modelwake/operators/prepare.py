@@ -14,13 +14,13 @@ from modelwake.roles import ColumnRoles, TaskType
 def append_error(df: DataFrame, roles: ColumnRoles, task: TaskType | str) -> DataFrame:
     """Regression: prediction - target. Binary: whether they differ. Anything else raises."""
     if roles.target not in df.columns:
-        raise ValueError("Target column not found in dataframe")
+        raise ValueError(f"the table has no target column {roles.target}")
     y, p = F.col(roles.target), F.col(roles.prediction)
     if task == TaskType.REGRESSION:
         return df.withColumn(roles.error, p - y)
     if task == TaskType.BINARY:
         return df.withColumn(roles.error, p != y)
-    raise ValueError("Unsupported task type")
+    raise ValueError(f"no error is defined for {task}")
 
 
 def coerce(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:

@@ -106,7 +106,7 @@ class ColumnRoles:
         if missing:
             raise KeyError(f"columns not in table: {missing}")
         if need_target and self.target not in df.columns:
-            raise ValueError("Target column not found in dataframe")
+            raise ValueError(f"the table has no target column {self.target}")
 
     def project(self, df: DataFrame) -> DataFrame:
         """Features, plus the target where the table has it."""
