@@ -34,6 +34,12 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def holds_files(spark: SparkSession, path: str) -> bool:
+    """Whether the folder exists and has anything in it."""
+    files, where = _files(spark, path), _path(spark, path)
+    return files.exists(where) and len(files.listStatus(where)) > 0
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Replace a small file at one stroke: readers see the old text or the new one, never a part."""
     draft = f"{path.rsplit('/', 1)[0]}/_draft-{uuid.uuid4().hex}"
