@@ -54,7 +54,9 @@ def op8_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     index = exact.DigestIndex(spark, scratch_path(spark, "digest-index"))
-    return exact.exact_duplicates(read(spark, folder, "documents"), index)
+    found = exact.duplicates_by_halves(read(spark, folder, "documents"), index)
+    index.close()
+    return found
 
 
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:

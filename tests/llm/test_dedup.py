@@ -89,7 +89,34 @@ def test_exact_duplicates(spark, hard, empty):
     again = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(more, index, "two").collect()}
     assert again == {100: (11, 1, False), 101: (102, 2, False), 102: (102, 2, True)}
     n = index.rows().count()
-    assert exact.exact_duplicates(empty, index).count() == 0 and index.rows().count() == n == len(size) + 1
+    assert exact.exact_duplicates(empty, index, "three").count() == 0 and index.rows().count() == n == len(size) + 1
+
+
+def test_digest_index_keeps_its_buckets(spark, docs_of):
+    docs = docs_of([f"text {i % 50}" for i in range(60)])
+    path = scratch_path(spark, "index")
+    first = exact.DigestIndex(spark, path, 4)
+    assert exact.exact_duplicates(docs, first, "one").where("kept").count() == 50
+    first.close()
+    # As another session would open it, with other shuffle partitions.
+    again = exact.DigestIndex(spark, path)
+    assert again.buckets == 4 != int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert exact.exact_duplicates(docs, again, "two").where("kept").count() == 0
+    assert exact.exact_duplicates(docs, again, "one").where("kept").count() == 50
+    assert again.rows().count() == 50
+    with pytest.raises(ValueError):
+        exact.DigestIndex(spark, path, 8)
+    plain = scratch_path(spark, "plain")
+    docs.write.parquet(plain)
+    with pytest.raises(ValueError):
+        exact.DigestIndex(spark, plain)
+
+
+def test_two_loads_give_the_rows_of_one(spark, hard, empty):
+    one = exact.exact_duplicates(hard, exact.DigestIndex(spark, scratch_path(spark, "index"), 4), "one")
+    two = exact.duplicates_by_halves(hard, exact.DigestIndex(spark, scratch_path(spark, "index"), 4))
+    assert Counter(map(tuple, two.collect())) == Counter(map(tuple, one.collect()))
+    assert exact.duplicates_by_halves(empty, exact.DigestIndex(spark, scratch_path(spark, "index"), 4)).count() == 0
 
 
 def test_line_dedup(docs_of, hard, empty):
