@@ -617,6 +617,14 @@ def cohort_shift(spark, folder):
     return rounded(cohorts.cohort_shift(run.reference, run.current, "event_type", NUMERIC, [], run.rows))
 
 
+@query
+def cohort_shift_tests(spark, folder):
+    """Which features shifted in which part of the day, corrected for the number of tests."""
+    run = run_of(spark, folder)
+    current = _with_day_part(run.current)
+    return rounded(cohorts.cohort_shift_tests(run.reference, current, "day_part", [*NUMERIC, "target", "prediction"], CATEGORICAL, run.rows))
+
+
 @query
 def segment_error_test(spark, folder):
     docs = tables.scored_documents(spark, folder)
@@ -739,6 +747,24 @@ def recommendations(spark, folder):
     return cohorts.recommend(joined.select("window_id", finding.alias("finding")))
 
 
+@query
+def model_findings(spark, folder):
+    """Findings per source for a model that has seen no French texts, each with its action."""
+    docs = tables.scored_documents(spark, folder)
+    found = cohorts.model_findings(
+        docs.where("lang <> 'fr'"), docs, "source", ["lang"], "y", "score", [i / 10 for i in range(1, 10)], rare=0.15
+    )
+    return rounded(cohorts.recommend(found))
+
+
+@query
+def serving_categories(spark, folder):
+    """Customers and event types that only one of training and serving has."""
+    run = run_of(spark, folder)
+    training = run.reference.where("event_type <> 'signup'")
+    return profile.category_mismatch(training, run.current, ["event_type", "user_id"])
+
+
 # ---------------------------------------------------------------- samples and corruption
 
 
@@ -882,12 +908,54 @@ def partial_dependence(spark, folder):
 
 
 @query
-def gbt_classifier(spark, folder):
+def forest_by_nodes(spark, folder):
+    """Does every current row get the forest's prediction from the joins with its node table?"""
+    from modelwake.learning import nodes
+
+    model, _, current = _forest(spark, folder)
+    table = materialize(nodes.node_table(model.stages[-1], spark))
+    scored = model.transform(current)
+    joined = scored.select("event_id", "prediction").join(nodes.forest_scores(scored, ["event_id"], "_features", table), "event_id")
+    return joined.select("event_id", (F.abs(F.col("score") - F.col("prediction")) < 1e-9).alias("agrees"))
+
+
+@query
+def importance_by_nodes(spark, folder):
+    """Is the importance from the node table that of the model?"""
+    from modelwake.learning import nodes
+    from modelwake.learning.importance import tree_importance
+
+    model = _forest(spark, folder)[0]
+    names = [*NUMERIC, *CATEGORICAL]
+    table = materialize(nodes.node_table(model.stages[-1], spark))
+    own = nodes.node_importance(table, names).withColumnRenamed("importance", "own")
+    joined = tree_importance(model, names, spark).join(own, "feature")
+    return joined.select("feature", (F.abs(F.col("own") - F.col("importance")) < 1e-9).alias("agrees"))
+
+
+def _boosted(spark, folder):
     from modelwake.learning.pipeline import boosted_classifier
 
     docs = sampling.hash_split(tables.scored_documents(spark, folder).drop("p"), ["doc_id"])
     train, test = docs.where(F.col("split") == "train"), docs.where(F.col("split") == "test")
-    model = boosted_classifier(train, test, ["score"], ["lang", "source"], "y", "p", rounds=20)
+    return boosted_classifier(train, test, ["score"], ["lang", "source"], "y", "p", rounds=20), test
+
+
+@query
+def boosted_by_nodes(spark, folder):
+    """Is the class of every test document the sign of the weighted sum over its leaves?"""
+    from modelwake.learning import nodes
+
+    model, test = _boosted(spark, folder)
+    table = materialize(nodes.node_table(model.stages[-1], spark))
+    scored = model.transform(test)
+    joined = scored.select("doc_id", "p").join(nodes.boosted_scores(scored, ["doc_id"], "_features", table), "doc_id")
+    return joined.select("doc_id", ((F.col("score") > 0).cast("double") == F.col("p")).alias("agrees"))
+
+
+@query
+def gbt_classifier(spark, folder):
+    model, test = _boosted(spark, folder)
     return M.classification_metrics(model.transform(test), "y", "p")
 
 

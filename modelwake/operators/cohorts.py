@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwake.functions.exprs import bucket_of, chi2_tail, correlation, normal_two_sided, one_row, ratio, slope
 from modelwake.functions.metrics import confusion, with_rates
-from modelwake.operators.drift import binned_divergence, jensen_shannon, ks
+from modelwake.operators.drift import binned_divergence, chi_square, jensen_shannon, ks
+from modelwake.operators.ordered import global_rank
+from modelwake.operators.profile import category_changes
+from modelwake.session import materialize
 
 
 def metric_rows(metrics: DataFrame, by: str, names: Sequence[str]) -> DataFrame:
@@ -123,20 +127,67 @@ def rank_cohorts(cohorts: DataFrame, dimensions: Sequence[str], metric: str = "m
     """Cohorts by their share of the excess error: row share x (cohort - overall).
 
     ``cohorts`` holds the overall row (cohort ``all``). A cohort whose contribution
-    exceeds ``high`` of the overall error is of high impact.
+    exceeds ``high`` of the overall error is of high impact. The ranks are dense: distinct
+    contributions are numbered over stored ranges, so a set of many cohorts takes no
+    window of its own. Cohorts without a contribution come last.
     """
     overall = one_row(
         cohorts.where(F.col("cohort") == "all").agg(F.max("n_rows").alias("n"), F.max(metric).alias("m"))
     )
     rest = cohorts.where(F.col("cohort") != "all")
     contribution = ratio(F.col("n_rows"), overall["n"]) * (F.col(metric) - overall["m"])
-    scored = rest.withColumn("contribution", contribution)
-    order = Window.partitionBy("cohort").orderBy(F.round("contribution", 9).desc())
-    return scored.select(
-        "cohort", *dimensions, "n_rows", metric, "contribution",
-        F.dense_rank().over(order).alias("impact_rank"),
-        (F.col("contribution") > overall["m"] * high).alias("high_impact"),
+    level = F.round("contribution", 9)
+    plain = level.isNotNull() & ~F.isnan(level)
+    scored = rest.withColumn("contribution", contribution).withColumns(
+        {
+            "high_impact": F.col("contribution") > overall["m"] * high,
+            # NaN is the largest value, a missing one comes last.
+            "_class": F.when(level.isNull(), 2).when(plain, 1).otherwise(0),
+            "_level": F.when(plain, -level).otherwise(0.0),
+        }
     )
+    stored = materialize(scored.select("cohort", *dimensions, "n_rows", metric, "contribution", "high_impact", "_class", "_level"))
+    levels = ["cohort", "_class", "_level"]
+    places = global_rank(stored.select(*levels).distinct(), levels, "_place")
+    first = places.groupBy("cohort").agg((F.min("_place") - 1).alias("_before"))
+    ranks = places.join(first, "cohort").select(*levels, (F.col("_place") - F.col("_before")).cast("int").alias("impact_rank"))
+    return stored.join(ranks, levels).select("cohort", *dimensions, "n_rows", metric, "contribution", "impact_rank", "high_impact")
+
+
+def step_up(tests: DataFrame, keys: Sequence[str], alpha: float = 0.05, p_value: str = "p_value", name: str = "shifted") -> DataFrame:
+    """Which of many tests are significant when false discoveries may make up ``alpha`` of the finds.
+
+    Benjamini and Hochberg: of m tests in the order of their p-values, the largest one with
+    p <= alpha * place / m is the limit for all. ``keys`` identify a test; tests without a
+    p-value do not count and get no decision.
+    """
+    stored = materialize(tests)
+    known = stored.where(F.col(p_value).isNotNull()).select(*keys, p_value)
+    placed = global_rank(known, [p_value, *keys], "_place")
+    m = one_row(known.agg(F.count("*").alias("m")))["m"]
+    limit = one_row(placed.where(F.col(p_value) <= alpha * F.col("_place") / m).agg(F.max(p_value).alias("limit")))["limit"]
+    return stored.withColumn(name, F.when(F.col(p_value).isNotNull(), F.coalesce(F.col(p_value) <= limit, F.lit(False))))
+
+
+def cohort_shift_tests(
+    reference: DataFrame, current: DataFrame, cohort: str, numeric: Sequence[str], categorical: Sequence[str], rows: int, alpha: float = 0.05
+) -> DataFrame:
+    """Has a feature shifted in a cohort? One test per pair, ``shifted`` corrected for their number.
+
+    Kolmogorov-Smirnov for numbers, chi-square for categories, every cohort of the current
+    rows against the whole reference.
+    """
+    keyed = current.withColumn("window_id", F.col(cohort))
+    kept = ["window_id", "feature", "method", "statistic", "p_value"]
+    tests = []
+    if numeric:
+        tests.append(ks(reference, keyed, numeric, rows).withColumn("method", F.lit("ks")).select(*kept))
+    if categorical:
+        tests.append(chi_square(reference, keyed, categorical).withColumn("method", F.lit("chi2")).select(*kept))
+    if not tests:
+        raise ValueError("a cohort shift needs at least one numeric or categorical column")
+    decided = step_up(reduce(DataFrame.unionByName, tests), ["window_id", "feature"], alpha)
+    return decided.withColumnRenamed("window_id", cohort)
 
 
 def cohort_shift(reference: DataFrame, current: DataFrame, cohort: str, numeric: Sequence[str], categorical: Sequence[str], rows: int) -> DataFrame:
@@ -360,3 +411,43 @@ def recommend(findings: DataFrame, kind: str = "finding") -> DataFrame:
     table = findings.sparkSession.createDataFrame(sorted(ACTIONS.items()), f"`{kind}` string, action string")
     return findings.join(F.broadcast(table), kind, "left")
 
+
+def model_findings(
+    reference: DataFrame, current: DataFrame, segment: str, categorical: Sequence[str], label: str, score: str,
+    thresholds: Sequence[float], at: float = 0.5, rare: float = 0.05, gain: float = 0.01,
+) -> DataFrame:
+    """What a model meets in each segment that retraining on the same data would not mend: segment, finding, evidence.
+
+    ``new_categories``: categories the reference lacks (their number). ``rare_class``: a
+    class below ``rare`` of the segment (the smallest share). ``threshold``: another of the
+    ``thresholds`` raises F1 by more than ``gain`` over the one in use, ``at`` (the best, the
+    smallest of several). ``at`` must be among the thresholds; rows without label or score
+    do not count.
+    """
+    grid = sorted(thresholds)
+    if at not in grid:
+        raise ValueError(f"{at} is not among the thresholds")
+    keyed = current.withColumn("window_id", F.col(segment))
+    new = category_changes(reference, keyed, categorical).groupBy("window_id").agg(F.sum("new_categories").alias("_n"))
+    news = new.where(F.col("_n") > 0).select("window_id", F.lit("new_categories").alias("finding"), F.col("_n").cast("double").alias("evidence"))
+
+    known = keyed.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    # A few rows per segment: classes times gaps between thresholds.
+    slots = known.groupBy("window_id", F.col(label).alias("_label"), bucket_of(F.col(score), grid).alias("_slot")).agg(F.count("*").alias("_n"))
+    classes = slots.groupBy("window_id", "_label").agg(F.sum("_n").alias("_n"))
+    smallest = classes.groupBy("window_id").agg(ratio(F.min("_n"), F.sum("_n")).alias("evidence"))
+    rares = smallest.where(F.col("evidence") < rare).select("window_id", F.lit("rare_class").alias("finding"), "evidence")
+
+    # A row is called positive at all thresholds up to its slot.
+    is_positive = F.col("_label") == 1
+    reached = slots.where(F.col("_slot") > 0).select("window_id", "_label", "_n", F.explode(F.sequence(F.lit(1), F.col("_slot"))).alias("_at"))
+    called = reached.groupBy("window_id", "_at").agg(F.sum(F.when(is_positive, F.col("_n")).otherwise(0)).alias("_tp"), F.sum("_n").alias("_called"))
+    actual = classes.where(is_positive).select("window_id", F.col("_n").alias("_actual"))
+    f1 = F.round(ratio(2 * F.col("_tp"), F.col("_called") + F.col("_actual")), 9)
+    scored = called.join(actual, "window_id").withColumns({"_f1": f1, "_threshold": F.element_at(F.array(*[F.lit(float(t)) for t in grid]), F.col("_at"))})
+    best = scored.groupBy("window_id").agg(
+        F.max("_f1").alias("_best"), F.max_by("_threshold", F.struct("_f1", -F.col("_at"))).alias("evidence"),
+        F.coalesce(F.max(F.when(F.col("_threshold") == at, F.col("_f1"))), F.lit(0.0)).alias("_now"),
+    )
+    moved = best.where(F.col("_best") - F.col("_now") > gain).select("window_id", F.lit("threshold").alias("finding"), "evidence")
+    return news.unionByName(rares).unionByName(moved).withColumnRenamed("window_id", segment)

@@ -404,10 +404,11 @@ def concept_shift(reference: DataFrame, current: DataFrame, features: Sequence[s
 
 
 def prior_shift(reference: DataFrame, current: DataFrame, label: str) -> DataFrame:
-    """Class shares per window beside the reference shares, and their difference.
+    """Class shares per window beside the reference shares, their difference, and the chi-square test of the window.
 
     Every class of the reference has a row in every window, vanished ones with share 0.
     """
+    tests = chi_square(reference, current, [label]).select(WINDOW, F.col("statistic").alias("chi2"), F.col("p_value").alias("chi2_p_value"))
     reference, current = comparable(reference, current, [label])
     ref = counted(category_long(reference, [label]))
     cur = counted(category_long(current, [label], [WINDOW]))
@@ -417,11 +418,12 @@ def prior_shift(reference: DataFrame, current: DataFrame, label: str) -> DataFra
     seen = cur.select(WINDOW, "feature", "value", zero.alias("rn"), "n")
     both = known.unionByName(seen).groupBy(WINDOW, "feature", "value").agg(F.sum("rn").alias("rn"), F.sum("n").alias("n"))
     whole = bounded_broadcast(ref.groupBy("feature").agg(F.sum("n").alias("n_ref")), 1)
-    shares = both.join(totals, [WINDOW, "feature"]).join(whole, "feature", "left")
+    shares = both.join(totals, [WINDOW, "feature"]).join(whole, "feature", "left").join(tests, WINDOW, "left")
     return shares.select(
         WINDOW,
         F.col("value").alias("label"),
         ratio(F.col("n"), F.col("n_cur")).alias("share"),
         ratio(F.col("rn"), F.col("n_ref")).alias("ref_share"),
         (ratio(F.col("n"), F.col("n_cur")) - ratio(F.col("rn"), F.col("n_ref"))).alias("shift"),
+        "chi2", "chi2_p_value",
     )

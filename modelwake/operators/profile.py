@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelwake.functions.exprs import ratio
-from modelwake.operators.drift import WINDOW, category_long, counted, numeric_long
+from modelwake.operators.drift import WINDOW, category_long, comparable, counted, numeric_long
 from modelwake.operators.joins import null_safe_join
 from modelwake.operators.ordered import exact_percentiles
 from modelwake.operators.quality import most_common
@@ -171,3 +171,16 @@ def serving_mismatch(train: DataFrame, serving: DataFrame) -> DataFrame:
     same_type = F.col("train_type").eqNullSafe(F.col("serving_type"))
     same_nulls = F.abs(F.col("train_null_share") - F.col("serving_null_share")) < 0.01
     return joined.withColumn("mismatch", ~(same_type & F.coalesce(same_nulls, F.lit(False))))
+
+
+def category_mismatch(train: DataFrame, serving: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Categories that only one of training and serving has, with their rows on that side."""
+    train, serving = comparable(train, serving, features)
+    sides = category_long(train, features).withColumn("side", F.lit("train")).unionByName(
+        category_long(serving, features).withColumn("side", F.lit("serving"))
+    )
+    counts = sides.groupBy("feature", "value").agg(
+        F.count_if(F.col("side") == "train").alias("n_train"), F.count_if(F.col("side") == "serving").alias("n_serving")
+    )
+    one_sided = (F.col("n_train") == 0) | (F.col("n_serving") == 0)
+    return counts.where(one_sided).withColumn("only_in", F.when(F.col("n_serving") == 0, "train").otherwise("serving"))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwake.functions.exprs import hash_fraction, hash_normal, one_row
-from modelwake.operators.ordered import global_rank
+from modelwake.operators.ordered import global_rank, running_totals
+from modelwake.session import materialize
 
 
 def _digest(keys: Sequence[str], seed: int | str) -> Column:
@@ -36,7 +37,37 @@ def hash_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> Da
 
 
 def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows (or all, if fewer) in the order of the columns, nulls first.
+
+    A search, not a sort of whole rows: counts per value of the first column, added up over
+    ranges, tell which value holds the n-th row. Rows before it are taken where they are;
+    rows of that value go on to the next column. Which of several rows equal in all columns
+    of ``order`` are taken at the end is decided once and stored. No task holds all n rows.
+    """
+    taken, edge, left = df.limit(0), df, n
+    for c in order:
+        if left <= 0:
+            return taken
+        counts = edge.groupBy(F.col(c).alias("_value")).agg(F.count("*").alias("_n"))
+        sums = running_totals(counts, [], "_value", ["_n"], 0, -1).withColumn("_before", F.col("cum__n") - F.col("_n"))
+        within = sums.where(F.col("_before") < left)
+        found = materialize(within.agg(*[F.max_by(x, "_before").alias(x) for x in ("_value", "_n")], F.max("_before").alias("_before")))
+        row = found.first()
+        if row["_before"] is None:
+            return taken
+        value = one_row(found)["_value"]
+        below = F.col(c).isNull() & value.isNotNull() | (F.col(c) < value)
+        taken = taken.unionByName(edge.where(below))
+        edge, left = edge.where(F.col(c).eqNullSafe(value)), left - row["_before"]
+        if row["_n"] <= left:
+            return taken.unionByName(edge)
+    numbered = materialize(edge.withColumn("_part", F.spark_partition_id()))
+    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
+    # One row per partition.
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.lit(1)))
+    last = materialize(numbered.join(before, "_part").where(F.col("_before") < left).withColumn("_place", place))
+    return taken.unionByName(last.where(F.col("_place") <= left - F.col("_before")).select(*df.columns))
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:

@@ -333,7 +333,9 @@ ORACLE["concept_shift"] = with_(
 ORACLE["prior_shift"] = with_(
     [*BASE, *shares("event_type")],
     f"""SELECT window_id, value AS label, {r('cn / n_cur', 'share')}, {r('rn / n_ref', 'ref_share')},
-        {r('cn / n_cur - rn / n_ref', 'shift')} FROM sh WHERE cn > 0 OR rn > 0""",
+        {r('cn / n_cur - rn / n_ref', 'shift')}, {r('x', 'chi2')}, {r('exp(-x/2) * (1 + x/2)', 'chi2_p_value')}
+        FROM sh JOIN (SELECT window_id, sum((cn - n_cur * rn / n_ref::DOUBLE) ** 2 / (n_cur * rn / n_ref::DOUBLE)) AS x FROM sh GROUP BY 1) USING (window_id)
+        WHERE cn > 0 OR rn > 0""",
 )
 
 # ---------------------------------------------------------------- data quality
@@ -759,6 +761,18 @@ ORACLE["cohort_shift"] = with_(
     f"""SELECT wid AS event_type, feature, 'ks' AS method, {r('max(abs(fr - fc))', 'statistic')} FROM cdf GROUP BY 1, 2
         UNION ALL SELECT wid, feature, 'psi', {r('psi', 'statistic')} FROM bd""",
 )
+ORACLE["cohort_shift_tests"] = with_(
+    [
+        EV, REF, CUR, "asg AS (SELECT *, CAST(floor(hour / 6) AS INTEGER) AS window_id FROM cur)", *pooled(FOUR), *shares("event_type"),
+        "d AS (SELECT wid, feature, max(abs(fr - fc)) AS statistic, max(n_cur) AS n_cur, max(n_ref) AS n_ref FROM cdf GROUP BY ALL)",
+        "l AS (SELECT *, sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur)) * statistic AS lam FROM d)",
+        "x2 AS (SELECT window_id, sum((cn - n_cur * rn / n_ref::DOUBLE) ** 2 / (n_cur * rn / n_ref::DOUBLE)) AS x FROM sh GROUP BY 1)",
+        f"""ts AS (SELECT wid AS day_part, feature, 'ks' AS method, statistic, {KS_P} AS p FROM l
+            UNION ALL SELECT window_id, 'event_type', 'chi2', x, exp(-x/2) * (1 + x/2) FROM x2)""",
+        "lm AS (SELECT max(p) AS t FROM (SELECT p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM ts) WHERE p <= 0.05::DOUBLE * i / m)",
+    ],
+    f"SELECT day_part, feature, method, {r('statistic', 'statistic')}, {r('p', 'p_value')}, coalesce(p <= t, false) AS shifted FROM ts, lm",
+)
 ORACLE["segment_error_test"] = with_(
     [
         DOC, "sg AS (SELECT lang, count(*) AS n_rows, count(*) FILTER (y <> p) AS n_errors FROM doc GROUP BY 1)",
@@ -837,6 +851,34 @@ ORACLE["recommendations"] = with_(
        WHEN 'concept_drift' THEN 'retrain on a frequent schedule or learn online' ELSE 'keep monitoring for drift' END AS action FROM fi""",
 )
 
+ORACLE["model_findings"] = with_(
+    [
+        DOC, "gr AS (SELECT i / 10.0::DOUBLE AS t FROM range(1, 10) g(i))",
+        """nw AS (SELECT source, 'new_categories' AS finding, count(DISTINCT lang)::DOUBLE AS evidence FROM doc
+             WHERE lang NOT IN (SELECT lang FROM doc WHERE lang <> 'fr') GROUP BY 1)""",
+        """rr AS (SELECT source, 'rare_class' AS finding, min(n) / sum(n)::DOUBLE AS evidence
+             FROM (SELECT source, y, count(*) AS n FROM doc GROUP BY 1, 2) GROUP BY 1)""",
+        """f AS (SELECT source, t, round(2.0::DOUBLE * count(*) FILTER (y = 1 AND score >= t) /
+             (count(*) FILTER (score >= t) + count(*) FILTER (y = 1)), 9) AS f1 FROM doc, gr GROUP BY 1, 2
+             HAVING count(*) FILTER (score >= t) > 0 AND count(*) FILTER (y = 1) > 0)""",
+        """th AS (SELECT source, 'threshold' AS finding, first(t ORDER BY f1 DESC, t) AS evidence,
+             max(f1) - coalesce(max(f1) FILTER (t = 0.5), 0) AS gain FROM f GROUP BY 1)""",
+        """fd AS (SELECT * FROM nw UNION ALL SELECT * FROM rr WHERE evidence < 0.15
+             UNION ALL SELECT source, finding, evidence FROM th WHERE gain > 0.01)""",
+    ],
+    f"""SELECT source, finding, {r('evidence', 'evidence')}, CASE finding WHEN 'new_categories' THEN 'engineer features for the new data patterns'
+        WHEN 'rare_class' THEN 'augment the data of underrepresented classes' ELSE 'adjust the decision threshold' END AS action FROM fd""",
+)
+ORACLE["serving_categories"] = with_(
+    [
+        EV, REF, CUR, "tr AS (SELECT * FROM ref WHERE event_type <> 'signup')",
+        """v AS (SELECT 'event_type' AS feature, event_type AS value, 1 AS a, 0 AS b FROM tr UNION ALL SELECT 'event_type', event_type, 0, 1 FROM cur
+             UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR), 1, 0 FROM tr UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR), 0, 1 FROM cur)""",
+    ],
+    """SELECT feature, value, CAST(sum(a) AS BIGINT) AS n_train, CAST(sum(b) AS BIGINT) AS n_serving,
+       CASE WHEN sum(b) = 0 THEN 'train' ELSE 'serving' END AS only_in FROM v WHERE value IS NOT NULL GROUP BY 1, 2 HAVING sum(a) = 0 OR sum(b) = 0""",
+)
+
 # ---------------------------------------------------------------- samples and corruption
 
 ORACLE["hash_sample"] = with_(
@@ -876,6 +918,10 @@ ORACLE["scaled_features"] = with_(
     ],
     "SELECT event_id, " + ", ".join(r(f"({c} - (SELECT avg({c}) FROM f)) / (SELECT stddev_pop({c}) FROM f)", f"{c}_scaled") for c in ("k", "hour")) + " FROM f",
 )
+# Every row must agree with the model; which rows there are is the oracle's part.
+ORACLE["forest_by_nodes"] = with_([EV, REF, CUR], "SELECT event_id, true AS agrees FROM cur")
+ORACLE["importance_by_nodes"] = with_([EV, REF], "SELECT unnest(['event_type', 'hour', 'k']) AS feature, count(*) > 0 AS agrees FROM ref")
+ORACLE["boosted_by_nodes"] = with_([DOC], f"SELECT doc_id, true AS agrees FROM doc WHERE {fraction('doc_id', '42')} < 0.2")
 ORACLE["one_hot_slots"] = with_(
     [EV, REF, CUR],
     """SELECT event_type, CASE event_type WHEN 'click' THEN '10000' WHEN 'error' THEN '01000' WHEN 'missing' THEN '00100'
