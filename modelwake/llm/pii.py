@@ -22,8 +22,8 @@ CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*"
 
 #: Confidence from which a pattern counts as evidence, and from which an instance is accepted.
 PATTERN_CONFIDENCE, ACCEPT = 0.9, 0.9
-#: Rounds of scoring; every round lets accepted instances support patterns.
-ROUNDS = 3
+#: Matches that one inner loop places; code points of a block in which spans are compared.
+BLOCK, BLOCK_POINTS = 128, 512
 
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _MARK = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
@@ -64,24 +64,21 @@ def _shaped(kind: str, value: Column) -> Column:
     return plain & n.between(*((12, 19) if kind == "card" else (6, 15)))
 
 
-def _marks(text: Column, pattern: str, valid) -> Column:
-    """Valid matches of ``pattern`` with code point positions and the words beside them."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(found.alias("f"), pieces.alias("p"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("q"))
-    parts = F.transform(
-        zipped,
-        lambda z: F.struct(
-            F.char_length(z["p"]).alias("gap"),
-            F.coalesce(F.char_length(z["f"]), F.lit(0)).alias("size"),
-            z["f"].alias("value"),
-            F.lower(F.regexp_extract(F.right(z["p"], F.lit(80)), r"(\S+)\s*$", 1)).alias("left"),
-            F.lower(F.regexp_extract(F.left(z["q"], F.lit(80)), r"^\s*(\S+)", 1)).alias("right"),
-        ),
-    )
-    marked = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_MARK).alias("marks")),
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _spaced(text: Column) -> Column:
+    """Every white space of the pattern \\s as a space."""
+    return F.translate(text, "\t\n\x0b\f\r", "     ")
+
+
+def _placed(block: Column, start: Column, valid) -> Column:
+    """The valid matches of a few parts, the first of which begins at ``start``."""
+    return F.aggregate(
+        block,
+        F.struct(start.alias("at"), F.array().cast(_MARK).alias("marks")),
         lambda a, x: F.struct(
             (a["at"] + x["gap"] + x["size"]).alias("at"),
             F.when(
@@ -99,20 +96,57 @@ def _marks(text: Column, pattern: str, valid) -> Column:
         ),
         lambda a: a["marks"],
     )
-    return F.when(text.rlike(pattern), marked).otherwise(F.array().cast(_MARK))
+
+
+def _marks(text: Column, pattern: str, valid) -> Column:
+    """Valid matches of ``pattern`` with code point positions and the words beside them.
+
+    Matches are placed in blocks, whose starts are added up first: an array that grows by
+    one match at a time would be copied for every match of a long text.
+    """
+
+    def parts(pieces: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        zipped = F.arrays_zip(found.alias("f"), pieces.alias("p"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("q"))
+        return F.transform(
+            zipped,
+            lambda z: F.struct(
+                F.char_length(z["p"]).alias("gap"),
+                F.coalesce(F.char_length(z["f"]), F.lit(0)).alias("size"),
+                z["f"].alias("value"),
+                F.lower(F.substring_index(F.rtrim(_spaced(z["p"])), " ", -1)).alias("left"),
+                F.lower(F.substring_index(F.ltrim(_spaced(F.coalesce(z["q"], F.lit("")))), " ", 1)).alias("right"),
+            ),
+        )
+
+    def blocks(of: Column) -> Column:
+        last = F.floor((F.size(of) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(of, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def starts(of: Column) -> Column:
+        lengths = F.transform(of, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+        grown = F.aggregate(
+            lengths,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+            lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
+        )
+        return grown["starts"]
+
+    def marked(of: Column) -> Column:
+        return F.flatten(F.zip_with(of, starts(of), lambda b, at: _placed(b, at, valid)))
+
+    placed = _let(_let(_let(F.split(text, pattern, -1), parts), blocks), marked)
+    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(_MARK))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, a digest of the text, the base matches of every kind and the other candidate tokens."""
+    """doc_id, a digest of the text, the base matches of every kind and all candidate tokens."""
     texts = docs.select("doc_id", text_or_empty().alias("_text"))
-    base = texts.select("doc_id", "_text", *[_base(k) for k in KINDS])
     tokens = _marks(F.col("_text"), CANDIDATE, lambda v: v.contains("@") | (F.length(_digits(v)) >= 4))
-    rest = base.select(
-        "doc_id", F.xxhash64("_text", F.lit(0)).alias("h0"), F.xxhash64(F.lit(1), "_text").alias("h1"), *KINDS, tokens.alias("tokens")
-    )
-    every = F.concat(*KINDS)
-    free = F.filter("tokens", lambda t: ~F.exists(every, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return rest.withColumn("tokens", free)
+    return texts.select(
+        "doc_id", F.xxhash64("_text", F.lit(0)).alias("h0"), F.xxhash64(F.lit(1), "_text").alias("h1"),
+        *[_base(k) for k in KINDS], tokens.alias("tokens"),
+    )
 
 
 def _base(kind: str) -> Column:
@@ -126,20 +160,24 @@ def discovered(scan: DataFrame, stages: Stages) -> DataFrame:
     """h0, h1 and found: spans (kind, start, end) that bootstrapping adds to the base matches.
 
     Instances are base matches (seeds of their kind, weight 1) and other tokens shaped like
-    a kind (weight 0). Patterns are the words before, after, and on both sides. In each
-    round a pattern's confidence for a kind is the weight of its instances of that kind over
-    all its instances and one more, so that only patterns with nine pure seeds reach 0.9;
-    a token's weight is the noisy-or of its confident patterns. Accepted tokens keep their
-    weight in the next round. All sums run over (pattern, kind) edges with map-side
+    a kind (weight 0). Patterns are the words before, after, and on both sides. What speaks
+    against a pattern and a kind are seeds of other kinds and tokens shaped like none; a
+    token that may be an identifier speaks neither way until it is accepted. The confidence
+    is the weight of the instances of the kind over that weight, what speaks against it, and
+    one more, so that only patterns with nine pure seeds reach 0.9; a token's weight is the
+    noisy-or of its confident patterns. Accepted tokens support patterns in the next round.
+    Confidence can only grow, so accepted tokens stay, and the rounds end with the first one
+    that accepts nothing new. All sums run over (pattern, kind) edges with map-side
     aggregation, and only confident patterns are joined back, so a word that stands beside
     a third of all identifiers is no hot key.
     """
     texts = scan.dropDuplicates(["h0", "h1"])
     kinds = [F.struct(F.lit(k).alias("kind"), F.lit(True).alias("seed"), F.col(k).alias("marks")) for k in KINDS]
     seeds = texts.select("h0", "h1", F.explode(F.array(*kinds)).alias("k")).select("h0", "h1", "k.kind", "k.seed", F.explode("k.marks").alias("m"))
-    tokens = texts.select("h0", "h1", F.explode("tokens").alias("m"))
+    seeds, tokens = stages.keep(seeds), stages.keep(texts.select("h0", "h1", F.explode("tokens").alias("m")))
     shaped = F.filter(F.array(*[F.when(_shaped(k, F.col("m.value")), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
-    others = tokens.select("h0", "h1", F.explode_outer(shaped).alias("kind"), F.lit(False).alias("seed"), "m")
+    free = without_overlaps(tokens, seeds)
+    others = free.select("h0", "h1", F.explode_outer(shaped).alias("kind"), F.lit(False).alias("seed"), "m")
     instances = stages.keep(
         seeds.unionByName(others).select(
             "h0", "h1", F.coalesce("kind", F.lit("none")).alias("kind"), "seed", "m.start", "m.end",
@@ -152,22 +190,39 @@ def discovered(scan: DataFrame, stages: Stages) -> DataFrame:
     # A pattern with no word says nothing.
     bare = F.array(F.lit("L "), F.lit("R "), F.lit("B  "))
     edges = stages.keep(instances.select("h0", "h1", "kind", "seed", "start", "end", F.explode(F.array_except("patterns", bare)).alias("pattern")))
-    size = stages.keep(edges.select("h0", "h1", "start", "end", "pattern").groupBy("pattern").agg(F.count("*").alias("n")))
+    labelled = stages.keep(edges.where("seed OR kind = 'none'").groupBy("pattern").agg(F.count("*").alias("n")))
     key = ["h0", "h1", "kind", "start", "end"]
-    weights = instances.where("weight > 0").select(*key, "weight")
-    for _ in range(ROUNDS):
-        support = edges.join(weights, key).groupBy("pattern", "kind").agg(F.sum("weight").alias("w"))
-        confident = support.join(size, "pattern").select("pattern", "kind", (F.col("w") / (F.col("n") + 1)).alias("c")).where(F.col("c") >= PATTERN_CONFIDENCE)
-        evidence = edges.where("NOT seed").join(confident, ["pattern", "kind"])
+    sown = instances.where("seed").select(*key, "weight")
+    weights, known = sown, 0
+    while True:
+        support = edges.join(weights, key).groupBy("pattern", "kind").agg(F.sum("weight").alias("w"), F.count_if("seed").alias("own"))
+        # Patterns that only accepted tokens have are not among the labelled ones.
+        against = F.coalesce("n", F.lit(0)) - F.col("own")
+        confident = support.join(labelled, "pattern", "left").select("pattern", "kind", (F.col("w") / (F.col("w") + against + 1)).alias("c"))
+        evidence = edges.where("NOT seed").join(confident.where(F.col("c") >= PATTERN_CONFIDENCE), ["pattern", "kind"])
         scored = evidence.groupBy(*key).agg((1 - F.exp(F.sum(F.log(F.lit(1) - F.least("c", F.lit(0.999)))))).alias("weight"))
         accepted = stages.keep(scored.where(F.col("weight") >= ACCEPT))
-        weights = instances.where("seed").select(*key, "weight").unionByName(accepted)
+        weights, before, known = sown.unionByName(accepted), known, accepted.count()
+        if known == before:
+            break
     # One token, one kind: the best supported, then the first listed.
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     one = accepted.groupBy("h0", "h1", "start", "end").agg(F.min_by("kind", F.struct(-F.col("weight"), order)).alias("kind"))
     return one.groupBy("h0", "h1").agg(F.collect_list(F.struct("kind", "start", "end")).alias("found"))
 
 
+def without_overlaps(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The tokens that share no code point with a seed. Spans meet in short blocks of their text."""
+    first, last = F.floor(F.col("m.start") / BLOCK_POINTS), F.floor((F.col("m.end") - 1) / BLOCK_POINTS)
+    blocks = F.explode(F.sequence(first, last)).alias("block")
+    mine = tokens.select("h0", "h1", F.col("m.start").alias("start"), F.col("m.end").alias("end"), blocks)
+    theirs = seeds.select("h0", "h1", F.col("m.start").alias("_start"), F.col("m.end").alias("_end"), blocks)
+    touched = mine.join(theirs, ["h0", "h1", "block"]).where((F.col("_start") < F.col("end")) & (F.col("start") < F.col("_end")))
+    taken = touched.select("h0", "h1", "start", "end").distinct()
+    keyed = tokens.withColumns({"start": F.col("m.start"), "end": F.col("m.end")})
+    return keyed.join(taken, ["h0", "h1", "start", "end"], "left_anti").select("h0", "h1", "m")
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 

@@ -307,6 +307,106 @@ def test_contexts_reveal_unseen_identifiers(spark):
     assert got[30] == "phone:12:22" and got[31] == "" and got[32] == ""
 
 
+def shapes(value):
+    n, plain = sum(c in "0123456789" for c in value), not re.search("[A-Za-z]", value)
+    found = {
+        "email": "@" in value, "ip": len(re.findall("[.:]", value)) >= 3 and n >= 4,
+        "card": plain and 12 <= n <= 19, "phone": plain and 6 <= n <= 15,
+    }
+    return [k for k in pii.KINDS if found[k]]
+
+
+def brute_bootstrapping(texts):
+    """Added spans by text, straight from the definition."""
+    seeds, tokens = [], []
+    for t in set(texts):
+
+        def context(start, end):
+            left, right = (t[:start].split() or [""])[-1].lower(), (t[end:].split() or [""])[0].lower()
+            return [p for p in (f"L {left}", f"R {right}", f"B {left} {right}") if p.split()[1:]]
+
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_spans(t))]
+        seeds += [(t, k, a, b, context(a, b)) for k, a, b in spans]
+        for m in re.finditer(r"\S+", t):
+            digits = sum(c in "0123456789" for c in m.group())
+            free = all(b <= m.start() or m.end() <= a for _, a, b in spans)
+            if free and ("@" in m.group() or digits >= 4):
+                tokens.append((t, shapes(m.group()), m.start(), m.end(), context(m.start(), m.end())))
+    accepted = {}
+    while True:
+        own, labelled, weight = Counter(), Counter(), Counter()
+        for _, k, _, _, c in seeds:
+            for p in c:
+                own[p, k] += 1
+                labelled[p] += 1
+                weight[p, k] += 1
+        for t, kinds, a, b, c in tokens:
+            for p in c:
+                labelled[p] += not kinds
+                for k in kinds:
+                    weight[p, k] += accepted.get((t, k, a, b), 0)
+        confident = {(p, k): w / (w + labelled[p] - own[p, k] + 1) for (p, k), w in weight.items() if w}
+        new = {}
+        for t, kinds, a, b, c in tokens:
+            for k in kinds:
+                doubt = 1.0
+                for p in c:
+                    if confident.get((p, k), 0) >= 0.9:
+                        doubt *= 1 - min(confident[p, k], 0.999)
+                if 1 - doubt >= 0.9:
+                    new[t, k, a, b] = 1 - doubt
+        if len(new) == len(accepted):
+            break
+        accepted = new
+    best = {}
+    for (t, k, a, b), w in new.items():
+        best[t, a, b] = min(best.get((t, a, b), (1, 9)), (-w, pii.KINDS.index(k)))
+    return {(t, f"{pii.KINDS[i]}:{a}:{b}") for (t, a, b), (_, i) in best.items()}
+
+
+def test_bootstrapping_equals_brute_force(spark):
+    pick = random.Random(5)
+    before, after = ["call", "mail", "host", "pay", "code"], ["now", "soon", "x" * 100, "then"]
+
+    def item():
+        # Words lean to a kind, with exceptions, so that patterns of every confidence occur.
+        word = pick.choice(before)
+        kind = word if pick.random() < 0.97 else pick.choice(before)
+        seed = {
+            "call": f"+1555{pick.randrange(10**6, 10**7)}", "mail": f"u{pick.randrange(99)}@a.org", "host": f"10.0.{pick.randrange(200)}.{pick.randrange(300)}",
+            "pay": f"{pick.randrange(10**12, 10**14)}", "code": f"K{pick.randrange(10**4, 10**6)}",
+        }[kind]
+        loose = {"call": f"555-{pick.randrange(10**4, 10**9)}", "mail": "me@home", "host": f"::{pick.randrange(10**4)}:1", "pay": "1234567890123", "code": f"Z{pick.randrange(10**4, 10**5)}"}
+        return f"{word} {seed if pick.random() < 0.6 else loose[word]} {pick.choice(after)}"
+
+    texts = [" ".join(item() for _ in range(pick.randrange(1, 6))) for _ in range(160)]
+    # A word that only accepted tokens support, and whole words beyond 80 characters.
+    texts += [f"ring 555-77{i:04} {'y' * 90}a" for i in range(30)] + [f"please call +1555{i + 3000000} {'y' * 90}{'ab'[i % 2]}" for i in range(24)]
+    texts += [f"call 555-88{i:04} lastly" for i in range(40)] + ["only 555-991234 lastly", texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(texts[r.doc_id], s) for r in pii.personal_data(docs).collect() for s in r.spans.split(",") if s}
+    expected = brute_bootstrapping(texts)
+    assert got - {(t, s) for t in texts for s in base_spans(t)} == expected
+    assert ("only 555-991234 lastly", "phone:5:15") in expected and not any(t.startswith("ring") and t.endswith("b") for t, _ in expected)
+    assert {s.split(":")[0] for _, s in expected} >= {"phone", "email"}
+
+
+def test_thirty_seeds_reveal_many(spark):
+    texts = [f"call +1 555 {2000000 + i} now" for i in range(30)] + [f"call 555-9999-{i} later" for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.spans for r in pii.personal_data(docs).orderBy("doc_id").collect()][30:] == ["phone:5:15"] * 6
+
+
+def test_a_text_of_very_many_numbers(spark):
+    numbers = 200_000
+    text = " ".join(f"+1555{1000000 + i}" if i % 2 else f"n{i}" for i in range(numbers))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.personal_data(docs).first()
+    spans = row.spans.split(",")
+    assert row.n_phone == numbers // 2 == len(spans)
+    assert all(text[int(a) : int(b)].startswith("+1555") for _, a, b in (x.split(":") for x in spans[:: 5000]))
+
+
 def test_urls(spark, empty):
     pages = [
         (1, "https://Blog.NET/x?y#z", None), (2, "http://a.example.net/en/25#top", "<a href='http://good.org/q'>"), (3, "http://a.example.net/de/1", ""),
