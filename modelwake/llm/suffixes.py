@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwake.llm.common import Stages, hashed_words, small, text_slices, windows_hash
@@ -16,9 +18,11 @@ from modelwake.llm.common import Stages, hashed_words, small, text_slices, windo
 PASSAGE = 50
 #: Words of a minimiser, and the number of neighbouring ones of which the smallest is selected.
 GRAM, NEIGHBOURS = 8, 30
-#: Words by which retained suffixes are compared. In a passage of PASSAGE words the first
-#: selected position lies among the first NEIGHBOURS ones, so this many words follow it inside.
+#: Words in which suffixes must agree to count as matched. In a passage of PASSAGE words the
+#: first selected position lies among the first NEIGHBOURS ones, so this many words follow it inside.
 PREFIX = PASSAGE - NEIGHBOURS + 1
+#: Bytes of text places that may be broadcast; beyond, texts and places shuffle.
+PLACES_BYTES = 64_000_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -54,10 +58,24 @@ def hashes_at(words: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sort_keys(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A row of PASSAGE bytes per place: one byte of the hash of each word from there on, zeros past the end.
+
+    The order of these rows is the lexicographic one over bytes for words: suffixes that
+    agree in k words agree in k bytes. Words of one byte by chance only lengthen a match.
+    """
+    letters = np.concatenate([(words >> np.uint64(56)).astype(np.uint8), np.zeros(PASSAGE, dtype=np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(letters, PASSAGE)[places]
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * PASSAGE
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in text_slices(batch):
-            ids, digests = rows.column("doc_id"), rows.column("h")
             owner, places, keys = [], [], []
             for i, words in enumerate(hashed_words(rows.column("text").to_pylist())):
                 if len(words) >= PASSAGE:
@@ -65,24 +83,89 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = at[at + PREFIX <= len(words)]
                     owner.append(np.full(len(at), i))
                     places.append(at)
-                    keys.append(hashes_at(words, at, PREFIX))
+                    keys.append(sort_keys(words, at))
             if owner:
                 of = pa.array(np.concatenate(owner))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), ids.take(of), digests.take(of), pa.array(np.concatenate(places).astype(np.int32))],
+                    [_binary(np.concatenate(keys)), rows.column("doc_id").take(of), rows.column("h").take(of), pa.array(np.concatenate(places).astype(np.int32))],
                     names=["suffix", "doc_id", "h", "place"],
                 )
 
 
+_SORTED = "suffix binary, doc_id long, h long, place int, part int, edge boolean, common int"
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes with ``common``, the words shared with the nearer one of both neighbours.
+
+    Equal rows are one. The first and the last row of the partition are its edges. One row
+    waits for its successor, so a batch never needs the next one.
+    """
+    part = TaskContext.get().partitionId()
+    waiting, before, first = None, 0, True
+    for batch in batches:
+        rows = pa.Table.from_batches([batch.select(["suffix", "doc_id", "h", "place"])])
+        rows = pa.concat_tables([waiting, rows]).combine_chunks() if waiting is not None else rows
+        keys = np.frombuffer(b"".join(rows.column("suffix").to_pylist()), dtype=np.uint8).reshape(-1, PASSAGE)
+        same = np.ones(max(0, len(keys) - 1), dtype=bool)
+        for name in ("doc_id", "h", "place"):
+            values = rows.column(name).to_numpy()
+            same &= values[1:] == values[:-1]
+        distinct = np.flatnonzero(np.concatenate([[True], ~same])) if len(keys) else np.empty(0, dtype=np.int64)
+        if not len(distinct):
+            continue
+        rows, keys = rows.take(pa.array(distinct)), keys[distinct]
+        differ = keys[1:] != keys[:-1]
+        shared = np.where(differ.any(axis=1), differ.argmax(axis=1), PASSAGE).astype(np.int32)
+        if len(shared):
+            common = np.maximum(np.concatenate([[before], shared[:-1]]), shared)
+            yield from _marked(rows.slice(0, len(shared)), common, part, first, False)
+            first, before = False, int(shared[-1])
+        waiting = rows.slice(len(rows) - 1)
+    if waiting is not None:
+        yield from _marked(waiting, np.asarray([before]), part, True, True)
+
+
+def _marked(rows: pa.Table, common: np.ndarray, part: int, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """Rows that are matched, and the edges of the partition; only edges still need their key."""
+    edge = np.zeros(len(rows), dtype=bool)
+    edge[0] |= first
+    edge[-1] |= last
+    wanted = pa.array(np.flatnonzero(edge | (common >= PREFIX)))
+    keys = pc.if_else(pa.array(edge), rows.column("suffix").combine_chunks(), pa.scalar(None, pa.binary()))
+    columns = [keys, *(rows.column(n).combine_chunks() for n in ("doc_id", "h", "place"))]
+    columns += [pa.array(np.full(len(rows), part, dtype=np.int32)), pa.array(edge), pa.array(common.astype(np.int32))]
+    yield pa.RecordBatch.from_arrays(columns, names=["suffix", "doc_id", "h", "place", "part", "edge", "common"]).take(wanted)
+
+
+def matched_suffixes(suffixes: DataFrame, stages: Stages) -> DataFrame:
+    """doc_id, h, place and common of the suffixes that share PREFIX words or more with another place.
+
+    The suffixes are sorted over ranges of (key, place), so the copies of one frequent
+    suffix spread over as many ranges as they fill. In sorted order the suffix that shares
+    most words with a given one is next to it. Across two ranges only their edges meet:
+    two rows per range, compared by the same function.
+    """
+    order = ["suffix", "doc_id", "h", "place"]
+    ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+    compared = stages.keep(ranged.mapInArrow(_compared, _SORTED))
+    edges = compared.where("edge").select("part", *order).coalesce(1).sortWithinPartitions("part", *order)
+    across = edges.mapInArrow(_compared, _SORTED)
+    found = compared.where("NOT edge").unionByName(across.unionByName(compared.where("edge")))
+    best = found.where(F.col("common") >= PREFIX).groupBy("doc_id", "h", "place").agg(F.max("common").alias("common"))
+    return best
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All passages of PASSAGE words that hold a matched suffix: the match extended left and right."""
+    """The passages of PASSAGE words that a match can fill: ``common`` words to the right, the rest to the left."""
     for batch in batches:
         for rows in text_slices(batch):
             texts = rows.column("text").to_pylist()
             for i, words in enumerate(hashed_words(texts)):
                 wanted = np.zeros(len(words) - PASSAGE + 1, dtype=bool)
-                for place in rows.column("places")[i].as_py():
-                    wanted[max(0, place - NEIGHBOURS + 1) : place + 1] = True
+                for match in rows.column("places")[i].as_py():
+                    place = match["place"]
+                    wanted[max(0, place - NEIGHBOURS + 1) : max(0, place + match["common"] - PASSAGE + 1)] = True
                 starts = np.flatnonzero(wanted)
                 spans = np.asarray([m.span() for m in _WORD.finditer(texts[i])], dtype=np.int32).reshape(-1, 2)
                 of = pa.array(np.full(len(starts), i))
@@ -113,11 +196,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     space does not matter. ``first`` tells whether this document is the one with the
     smallest doc_id among those that hold it, where it would be kept.
 
-    Suffixes are retained at minimiser positions and ordered by their first PREFIX words;
-    neighbours that agree are matches. Each match is extended by looking at all passages
-    of PASSAGE words that hold it, so every repeat of that length is found, whichever pair
-    of places it comes from. Ordering is by hash: equal prefixes meet, and no sort key
-    carries text. Nothing is gathered per suffix, only sums.
+    Suffixes are retained at minimiser positions, sorted, and compared with their
+    neighbours. A match of k words is extended by PASSAGE - k words to the left or more:
+    the passages that result are compared whole, by hash, with those of all other matches,
+    because the neighbour in sorted order need not be the place that agrees furthest to
+    the left. So every repeat is found, whichever pair of places it comes from. Nothing is
+    gathered per suffix or passage, only sums.
 
     A text that others copy whole is searched once; its copies are one passage each. Rows
     that repeat doc_id and text are one document; rows without doc_id, and texts that are
@@ -135,38 +219,24 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     others = stages.keep(copies.where("NOT first").select("doc_id", "h"))
     single = texts.join(small(others, others.count()), ["doc_id", "h"], "left_anti")
 
-    suffixes = stages.keep(single.mapInArrow(_suffixes, "suffix long, doc_id long, h long, place int"))
-    matched = suffixes.join(_repeated(suffixes, "suffix", "place"), "suffix", "left_semi")
-    places = stages.keep(matched.groupBy("doc_id", "h").agg(F.collect_set("place").alias("places")))
+    suffixes = stages.keep(single.mapInArrow(_suffixes, "suffix binary, doc_id long, h long, place int"))
+    matched = matched_suffixes(suffixes, stages)
+    places = stages.keep(matched.groupBy("doc_id", "h").agg(F.collect_list(F.struct("place", "common")).alias("places")))
     stages.drop(suffixes)
-    searched = single.join(small(places, places.count()), ["doc_id", "h"])
+    size = places.agg(F.count("*"), F.coalesce(F.sum(8 * F.size("places") + 24), F.lit(0))).first()
+    searched = single.join(small(places, size[0]) if size[1] <= PLACES_BYTES else places, ["doc_id", "h"])
     passage = "passage long, doc_id long, h long, word int, start int, end int"
     windows = stages.keep(searched.mapInArrow(_windows, passage))
     repeats = windows.join(_repeated(windows, "passage", "word"), "passage")
-    # Islands of touching passages, per document: its own words bound the list.
-    marks = repeats.groupBy("doc_id", "h", (F.col("doc_id") == F.col("first_id")).alias("first")).agg(
-        F.array_sort(F.collect_set(F.struct("word", "start", "end"))).alias("marks")
-    )
-    islands = F.aggregate(
-        "marks",
-        F.array().cast("array<struct<word:int,last:int,start:int,end:int>>"),
-        lambda done, m: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["last"] >= m["word"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["word"].alias("word"), (m["word"] + PASSAGE).alias("last"),
-                        F.element_at(done, -1)["start"].alias("start"), m["end"].alias("end"),
-                    )
-                ),
-            ),
-        ).otherwise(
-            F.concat(done, F.array(F.struct(m["word"].alias("word"), (m["word"] + PASSAGE).alias("last"), m["start"].alias("start"), m["end"].alias("end"))))
-        ),
-    )
-    found = marks.select("doc_id", "first", F.explode(islands).alias("i")).select(
-        "doc_id", F.col("i.start").alias("start"), F.col("i.end").alias("end"), (F.col("i.last") - F.col("i.word")).cast("long").alias("n_words"), "first"
+    # Islands of touching passages: a new one starts behind a gap in the text.
+    marks = repeats.select("doc_id", "h", "word", "start", "end", (F.col("doc_id") == F.col("first_id")).alias("first")).distinct()
+    text = Window.partitionBy("doc_id", "h", "first").orderBy("word")
+    gap = F.coalesce(F.col("word") - F.lag("word").over(text) > PASSAGE, F.lit(True))
+    numbered = marks.withColumn("gap", gap.cast("int")).withColumn("island", F.sum("gap").over(text))
+    found = (
+        numbered.groupBy("doc_id", "h", "first", "island")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + PASSAGE).cast("long").alias("n_words"))
+        .select("doc_id", "start", "end", "n_words", "first")
     )
     whole = copies.distinct().select("doc_id", F.lit(0).alias("start"), F.col("size").alias("end"), F.col("n").alias("n_words"), "first")
     return found.unionByName(whole)

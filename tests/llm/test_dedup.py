@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from modelwake.llm import exact, lines, minhash, suffixes
+from modelwake.llm.common import Stages
 from modelwake.session import scratch_path
 from tests.llm.conftest import hard_rows, words
 
@@ -188,3 +189,40 @@ def test_repeated_passages(docs_of, hard, empty):
     assert 0 in firsts[True] and 3 in firsts[False]
     rows = suffixes.repeated_passages(hard).collect()
     assert {r.doc_id for r in rows} == {1, 2, 3} and suffixes.repeated_passages(empty).count() == 0
+
+
+def test_sorted_neighbours_equal_all_pairs(spark, docs_of):
+    """Every matched suffix with the most words it shares with any other, also over the borders of ranges."""
+    hot = " ".join(words(70, 90, 10**6))
+    texts = [f"{' '.join(words(100 + i, 3 * i, 10**6))} {hot} {' '.join(words(300 + i % 4, 60, 10**6))}" for i in range(40)]
+    texts += [" ".join(words(900 + i, 200, 10**6)) for i in range(20)]
+    stages = Stages(spark)
+    docs = docs_of(texts).selectExpr("doc_id", "xxhash64(text) AS h", "text")
+    found = stages.keep(docs.union(docs).mapInArrow(suffixes._suffixes, "suffix binary, doc_id long, h long, place int"))
+    keys = {(r.doc_id, r.place): bytes(r.suffix) for r in found.collect()}
+    ranked = sorted((key, place) for place, key in keys.items())
+
+    def shared(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+
+    expected = {}
+    for key, place in ranked:
+        most = max(shared(key, other) for other, at in ranked if at != place)
+        if most >= suffixes.PREFIX:
+            expected[place] = most
+    assert len(expected) > 100
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = suffixes.matched_suffixes(found, stages).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {(r.doc_id, r.place): r.common for r in got} == expected and len(got) == len(expected)
+
+
+def test_very_many_repeats_in_one_text(docs_of):
+    """A text of 400,000 words in which 2,000 passages recur, each apart from the next."""
+    parts = [" ".join(words(k, 60, 10**6)) for k in range(2000)]
+    long = " ".join(f"{p} {' '.join(words(50_000 + k, 140, 10**6))}" for k, p in enumerate(parts))
+    rows = suffixes.repeated_passages(docs_of([long, " ".join(f"{p} gap{k}" for k, p in enumerate(parts))])).collect()
+    assert len([r for r in rows if r.doc_id == 0]) == 2000 and all(r.first == (r.doc_id == 0) for r in rows)
