@@ -23,6 +23,8 @@ GRAM, NEIGHBOURS = 8, 30
 PREFIX = PASSAGE - NEIGHBOURS + 1
 #: Bytes of text places that may be broadcast; beyond, texts and places shuffle.
 PLACES_BYTES = 64_000_000
+#: A match is one number: its place times this, plus the common words (PASSAGE at most).
+_PLACE = 1 << PASSAGE.bit_length()
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -152,7 +154,8 @@ def matched_suffixes(suffixes: DataFrame, stages: Stages) -> DataFrame:
     edges = compared.where("edge").select("part", *order).coalesce(1).sortWithinPartitions("part", *order)
     across = edges.mapInArrow(_compared, _SORTED)
     found = compared.where("NOT edge").unionByName(across.unionByName(compared.where("edge")))
-    best = found.where(F.col("common") >= PREFIX).groupBy("doc_id", "h", "place").agg(F.max("common").alias("common"))
+    best = stages.keep(found.where(F.col("common") >= PREFIX).groupBy("doc_id", "h", "place").agg(F.max("common").alias("common")))
+    stages.drop(compared)
     return best
 
 
@@ -164,8 +167,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, words in enumerate(hashed_words(texts)):
                 wanted = np.zeros(len(words) - PASSAGE + 1, dtype=bool)
                 for match in rows.column("places")[i].as_py():
-                    place = match["place"]
-                    wanted[max(0, place - NEIGHBOURS + 1) : max(0, place + match["common"] - PASSAGE + 1)] = True
+                    place, common = divmod(match, _PLACE)
+                    wanted[max(0, place - NEIGHBOURS + 1) : max(0, place + common - PASSAGE + 1)] = True
                 starts = np.flatnonzero(wanted)
                 spans = np.asarray([m.span() for m in _WORD.finditer(texts[i])], dtype=np.int32).reshape(-1, 2)
                 of = pa.array(np.full(len(starts), i))
@@ -221,13 +224,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     suffixes = stages.keep(single.mapInArrow(_suffixes, "suffix binary, doc_id long, h long, place int"))
     matched = matched_suffixes(suffixes, stages)
-    places = stages.keep(matched.groupBy("doc_id", "h").agg(F.collect_list(F.struct("place", "common")).alias("places")))
-    stages.drop(suffixes)
-    size = places.agg(F.count("*"), F.coalesce(F.sum(8 * F.size("places") + 24), F.lit(0))).first()
+    places = stages.keep(matched.groupBy("doc_id", "h").agg(F.collect_list(F.col("place").cast("long") * _PLACE + F.col("common")).alias("places")))
+    stages.drop(suffixes, matched)
+    # Eight bytes a match, and the fixed part of a row with two keys and an array.
+    size = places.agg(F.count("*"), F.coalesce(F.sum(8 * F.size("places") + 64), F.lit(0))).first()
     searched = single.join(small(places, size[0]) if size[1] <= PLACES_BYTES else places, ["doc_id", "h"])
     passage = "passage long, doc_id long, h long, word int, start int, end int"
     windows = stages.keep(searched.mapInArrow(_windows, passage))
-    repeats = windows.join(_repeated(windows, "passage", "word"), "passage")
+    stages.drop(places)
+    # Stored, so that both sides shuffle for the join alone and a frequent passage can be split.
+    recurring = stages.keep(_repeated(windows, "passage", "word"))
+    repeats = windows.join(recurring, "passage")
     # Islands of touching passages: a new one starts behind a gap in the text.
     marks = repeats.select("doc_id", "h", "word", "start", "end", (F.col("doc_id") == F.col("first_id")).alias("first")).distinct()
     text = Window.partitionBy("doc_id", "h", "first").orderBy("word")
