@@ -1,6 +1,7 @@
 """Exact, near, line and passage deduplication against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -226,3 +227,40 @@ def test_very_many_repeats_in_one_text(docs_of):
     long = " ".join(f"{p} {' '.join(words(50_000 + k, 140, 10**6))}" for k, p in enumerate(parts))
     rows = suffixes.repeated_passages(docs_of([long, " ".join(f"{p} gap{k}" for k, p in enumerate(parts))])).collect()
     assert len([r for r in rows if r.doc_id == 0]) == 2000 and all(r.first == (r.doc_id == 0) for r in rows)
+
+
+def test_line_dedup_equals_brute_force(spark):
+    """Random texts over shared lines, with blanks, repeats, copies and nulls, against counting by hand."""
+    pick = random.Random(5)
+    shared = [f"shared line number {k}" for k in range(60)]
+    rows = []
+    for i in range(400):
+        own = [f"own {i} {k}" for k in range(pick.randrange(3))]
+        some = [f"{' ' * pick.randrange(3)}{shared[min(int(pick.expovariate(0.12)), 59)]}{' ' * pick.randrange(2)}" for _ in range(pick.randrange(6))]
+        text = own + some + [""] * pick.randrange(2)
+        pick.shuffle(text)
+        site = None if i % 31 == 0 else f"s{min(int(pick.expovariate(0.3)), 15)}"
+        rows.append((i, None if i % 97 == 0 else "\n".join(text), "en", site, 0))
+    rows += [(1000 + i, rows[7 + i % 3][1], "en", f"s{i % 12}", 0) for i in range(40)]
+    rows += [rows[5], rows[5]]
+
+    sites, carriers = defaultdict(set), defaultdict(set)
+    for _, text, _, site, _ in rows:
+        kept = {line.strip(" ") for line in (text or "").split("\n")} - {""}
+        for line in kept:
+            sites[line].add(site)
+            carriers[line].add(frozenset(kept))
+    gone = {line for line in sites if len(sites[line]) >= 5 and len(carriers[line]) >= 5}
+    assert 5 < len(gone) < len([s for s in sites if s.startswith("shared")])
+    assert any(len(sites[line]) >= 5 and line not in gone for line in sites)
+
+    def cleaned(text):
+        return None if text is None else "\n".join(line for line in text.split("\n") if line.strip(" ") not in gone)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.line_dedup(docs).collect())
+    expected = Counter()
+    for i, text, *_ in rows:
+        n = 0 if text is None else text.count("\n") + 1
+        expected[i, cleaned(text), n, sum(line.strip(" ") in gone for line in (text or "").split("\n"))] += 1
+    assert got == expected
