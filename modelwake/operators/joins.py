@@ -44,6 +44,9 @@ def interval_join(
     block as long as the whole interval, so a join partition holds one key in one
     block, not one key over all time. The spine row appears in its own block and the
     one before; those two cover the interval.
+
+    Both sides are shuffled and merged. A size estimated before rows are exploded would
+    have the spine broadcast, through the driver, with many times that size.
     """
     span = step_days * steps
 
@@ -52,7 +55,7 @@ def interval_join(
 
     blocks = spine.withColumn("_block", F.explode(F.array(block(spine_time), block(spine_time) - 1)))
     placed = facts.withColumn("_block", block(fact_time)).withColumnRenamed(key, "_key")
-    joined = blocks.join(
+    joined = blocks.hint("merge").join(
         placed,
         (blocks[key] == placed["_key"])
         & (blocks["_block"] == placed["_block"])
