@@ -100,3 +100,11 @@ def test_global_rank_numbers_all_rows(spark):
     df = spark.range(1000).selectExpr("id", "md5(string(id)) AS d")
     got = ordered.global_rank(df, ["d", "id"], "rank").collect()
     assert [r.rank for r in sorted(got, key=lambda r: (r.d, r.id))] == list(range(1, 1001))
+
+
+def test_split_asof_join_has_no_join(frame):
+    spine = frame([("hot", i) for i in range(50)], "k string, t int")
+    facts = frame([("hot", 3 * i, i) for i in range(20)], "k string, ft int, v int")
+    joined = asof_join(spine, facts, "k", "t", "ft", ["v"], 1000, split_above=0)
+    assert "Join" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert [r.v for r in joined.orderBy("t").collect()] == [None, *[min((t - 1) // 3, 19) for t in range(1, 50)]]
