@@ -25,6 +25,9 @@ VECTOR = "_features"
 #: Filler of missing categories.
 MISSING = "missing"
 
+#: Rows that one task trains on. A forest of 50 trees keeps some 400 bytes of each in memory.
+TRAINING_ROWS = 100_000
+
 
 def numeric_scaling(df: DataFrame, columns: Sequence[str], rows: int) -> dict[str, tuple[float, float, float]]:
     """Exact median, and mean and population deviation after imputation, per column.
@@ -96,6 +99,18 @@ def preparation(df: DataFrame, roles: ColumnRoles, rows: int) -> list:
     return [*stages, VectorAssembler(inputCols=inputs, outputCol=VECTOR)]
 
 
+def dealt_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of the rows for training, dealt out by hash, ``TRAINING_ROWS`` to a task.
+
+    Trainers keep every row as a wide point in the partition it comes in, and files hold
+    millions of short rows in one. Rows go by all their values, keys too, so a retry deals
+    them alike.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TRAINING_ROWS))
+    placed = df.select(*columns, F.xxhash64(*df.columns).alias("_deal"))
+    return placed.repartition(parts, "_deal").drop("_deal")
+
+
 def boosted_trees(task: TaskType | str, label: str, prediction: str, seed: int = 42, **params):
     """Gradient-boosted classifier or regressor by task; any other task raises."""
     makers = {TaskType.BINARY: GBTClassifier, TaskType.REGRESSION: GBTRegressor}
@@ -126,7 +141,7 @@ class TabularModel:
         rows = df.count()
         estimator = estimator or boosted_trees(self.task, self.roles.target, self.roles.prediction)
         labelled = df.withColumn(self.roles.target, F.col(self.roles.target).cast("double"))
-        self.fitted = Pipeline(stages=[*preparation(df, self.roles, rows), estimator]).fit(labelled)
+        self.fitted = Pipeline(stages=[*preparation(df, self.roles, rows), estimator]).fit(dealt_rows(labelled, [*self.roles.features, self.roles.target]))
         self.record = FitRecord(
             TaskType(self.task).value, self.roles.target, tuple(self.roles.identifiers), len(self.roles.features), rows
         )
@@ -193,7 +208,7 @@ def forest_regression(
             **({"maxBins": category_bins(reference, categorical)} | params),
         )
     )
-    return Pipeline(stages=stages).fit(reference)
+    return Pipeline(stages=stages).fit(dealt_rows(reference, [*numeric, *categorical, target]))
 
 
 def score_periods(
@@ -224,4 +239,4 @@ def boosted_classifier(
             maxBins=category_bins(typed, categorical),
         ),
     ]
-    return Pipeline(stages=stages).fit(typed)
+    return Pipeline(stages=stages).fit(dealt_rows(typed, [*numeric, *categorical, label, "_valid"]))

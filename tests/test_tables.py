@@ -331,3 +331,13 @@ def test_means_of_a_random_category_tell_nothing(spark):
     prior = df.agg(F.avg("y")).first()[0]
     values = {r.real: r.real_mean for r in new.collect()}
     assert values[0] > 0.99 and values[9] == values[None] == pytest.approx(prior)
+
+
+def test_training_rows_are_dealt_out_in_bounded_tasks(spark, monkeypatch):
+    from modelwake.learning import pipeline
+
+    monkeypatch.setattr(pipeline, "TRAINING_ROWS", 50)
+    df = spark.range(0, 2000, 1, 1).selectExpr("id", "id % 5 AS x", "1.0D AS y")
+    dealt = pipeline.dealt_rows(df, ["x", "y"])
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert dealt.columns == ["x", "y"] and sum(sizes) == 2000 and len(sizes) == 40 and max(sizes) < 100
