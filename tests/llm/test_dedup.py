@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from modelwake.llm import exact, lines, minhash, suffixes
 from modelwake.llm.common import Stages
@@ -67,6 +68,26 @@ def test_near_duplicates_hard_rows(hard, empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.without_near_duplicates(empty).count() == 0
 
 
+def test_stored_stages_leave_no_shuffle_files(spark):
+    """In shuffle files of the session: a stored table must not leave its own until the driver collects garbage."""
+    import time
+    from pathlib import Path
+
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {p.name for d in folders for p in Path(d).rglob("shuffle_*.data")}
+
+    before = files()
+    frame = spark.range(10_000).groupBy((F.col("id") % 50).alias("k")).agg(F.sum("id").alias("n"))
+    stored = Stages(spark).keep(frame)
+    end = time.time() + 30
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert stored.agg(F.sum("n")).first()[0] == frame.agg(F.sum("n")).first()[0] == 49_995_000
+
+
 def test_min_max_signature_is_unbiased():
     pick = np.random.default_rng(1)
     errors = []
