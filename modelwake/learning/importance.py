@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwake.functions.exprs import one_row
-from modelwake.operators.sampling import shuffle_values
+from modelwake.operators.sampling import shuffled_beside
+from modelwake.session import materialize
 
 
 def tree_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
@@ -24,20 +24,24 @@ def permutation_importance(
     model: PipelineModel, df: DataFrame, keys: Sequence[str], features: Sequence[str],
     target: str, prediction: str, seed: int = 0,
 ) -> DataFrame:
-    """Growth of the mean squared error when one feature is shuffled over all rows."""
-
-    def mse(scored: DataFrame, name: str) -> DataFrame:
-        error = F.col(prediction) - F.col(target)
-        return scored.agg(F.lit(name).alias("feature"), F.avg(error * error).alias("mse"))
-
-    base = one_row(mse(model.transform(df), "_base").select(F.col("mse")))["mse"]
-    parts = None
-    for i, f in enumerate(features):
-        shuffled = shuffle_values(df, keys, f, share=1.0, seed=seed + i)
-        part = mse(model.transform(shuffled), f)
-        parts = part if parts is None else parts.unionByName(part)
-    compared = parts.withColumn("base_mse", base)
-    return compared.select("feature", "mse", "base_mse", (F.col("mse") - F.col("base_mse")).alias("importance"))
+    """Growth of the mean squared error when one feature is shuffled over all rows.
+
+    Every row is scored as it is and once with each feature replaced, in one pass.
+    """
+    kept = list(dict.fromkeys([*keys, *features, target]))
+    rows = materialize(shuffled_beside(df.select(*kept), keys, features, seed).drop(*set(keys) - {*features, target}))
+
+    def case(place: int) -> Column:
+        values = [F.col(f"_new_{i}" if i == place else f).alias(f) for i, f in enumerate(features)]
+        return F.struct(F.lit(place).alias("_case"), *values)
+
+    cases = F.explode(F.array(*[case(i) for i in range(-1, len(features))])).alias("_row")
+    scored = model.transform(rows.select(F.col(target).alias("_target"), cases).select("_target", "_row.*"))
+    error = F.col(prediction) - F.col("_target")
+    means = scored.agg(*[F.avg(F.when(F.col("_case") == i, error * error)).alias(f"_mse_{i}") for i in range(-1, len(features))])
+    parts = [F.struct(F.lit(f).alias("feature"), F.col(f"_mse_{i}").alias("mse"), F.col("_mse_-1").alias("base_mse")) for i, f in enumerate(features)]
+    compared = means.select(F.explode(F.array(*parts)).alias("_part")).select("_part.*")
+    return compared.withColumn("importance", F.col("mse") - F.col("base_mse"))
 
 
 def partial_dependence(

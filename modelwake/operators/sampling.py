@@ -102,6 +102,22 @@ def shuffle_values(
     return joined.withColumn(column, value).select(*df.columns)
 
 
+def shuffled_beside(df: DataFrame, keys: Sequence[str], columns: Sequence[str], seed: int = 0) -> DataFrame:
+    """Add ``_new_i``, column i of ``columns`` permuted over all rows, for every column.
+
+    The values are those of ``shuffle_values`` with share 1 and the seeds seed, seed + 1, ...
+    The rows are numbered in key order once; all columns meet them by that number, so the
+    rows shuffle once, not twice for every column.
+    """
+    stored = materialize(df)
+    moved = global_rank(stored, keys, "_rank")
+    for i, c in enumerate(columns):
+        hashed = stored.select(*keys, F.col(c).alias(f"_new_{i}"), _digest(keys, f"{seed + i}p").alias("_digest"))
+        givers = global_rank(hashed, ["_digest", *keys], "_rank").select("_rank", f"_new_{i}")
+        moved = moved.join(givers, "_rank")
+    return moved.drop("_rank")
+
+
 def flip_labels(df: DataFrame, keys: Sequence[str], label: str, share: float = 0.15, seed: int = 0) -> DataFrame:
     flipped = F.when(hash_fraction(keys, f"{seed}f") < share, 1 - F.col(label)).otherwise(F.col(label))
     return df.withColumn(label, flipped)

@@ -189,6 +189,24 @@ def test_forest_and_its_explanations(spark):
     assert individual_expectation(model, df, ["id"], "x", [0, 19], "prediction").count() == 800
 
 
+def test_permutation_importance_numbers_the_rows_once(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id", "if(id % 7 = 0, null, id % 20 * 1.0D) AS x", "id % 3 * 1.0D AS noise", "id % 20 * 2.0D AS y")
+    beside = sampling.shuffled_beside(df, ["id"], ["x", "noise"], seed=4)
+    for i, c in enumerate(["x", "noise"]):
+        alone = sampling.shuffle_values(df, ["id"], c, share=1.0, seed=4 + i)
+        assert sorted(map(str, beside.select("id", f"_new_{i}").collect())) == sorted(str(r).replace(f"{c}=", f"_new_{i}=") for r in alone.select("id", c).collect())
+    filled = df.fillna(0.0)
+    model = forest_regression(filled, ["x", "noise"], [], "y", trees=3)
+    base = model.transform(filled).selectExpr("avg(pow(prediction - y, 2))").first()[0]
+    ranked, rank = [], sampling.global_rank
+    monkeypatch.setattr(sampling, "global_rank", lambda df, order, name: (ranked.append(order), rank(df, order, name))[1])
+    rows = permutation_importance(model, filled, ["id"], ["x", "noise"], "y", "prediction").collect()
+    assert [r.feature for r in rows] == ["x", "noise"] and ranked.count(["id"]) == 1 and len(ranked) == 3
+    for i, r in enumerate(rows):
+        shuffled = model.transform(sampling.shuffle_values(filled, ["id"], r.feature, share=1.0, seed=i))
+        assert abs(r.mse - shuffled.selectExpr("avg(pow(prediction - y, 2))").first()[0]) < 1e-9 and abs(r.base_mse - base) < 1e-9
+
+
 def test_boosted_classifier(spark):
     df = spark.range(300).select("id", (F.col("id") % 30).cast("double").alias("x"), (F.col("id") % 4).cast("string").alias("c"), (F.col("id") % 30 > 14).cast("int").alias("y"))
     model = boosted_classifier(df.where("id < 200"), df.where("id >= 200"), ["x"], ["c"], "y", rounds=5)
