@@ -16,6 +16,8 @@ from modelwake.llm.common import Stages, small, text_slices
 #: A trigram is three code points of 21 bits in one long; EDGE, past the last one, is the border of a text.
 BITS = 21
 EDGE = 0x110000
+#: Bytes of text whose trigrams a Python step holds at a time, at some 40 bytes each.
+GRAM_SLICE = 250_000
 #: The lowest order is uniform over the trusted characters, at least so many symbols.
 SYMBOLS = 120
 #: Places of the border and of characters without a place in the dense view of a small model.
@@ -48,26 +50,30 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """
     sizes = np.asarray([len(t) if t else 0 for t in texts], dtype=np.int64)
     joined = "".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass")
-    ends = np.cumsum(sizes + 1)
-    last = np.full(int(sizes.sum()) + len(texts), EDGE, dtype=np.int64)
-    inside = np.ones(len(last), dtype=bool)
-    inside[ends - 1] = False
-    last[inside] = np.frombuffer(joined, dtype=np.uint32)
-    place = np.arange(len(last)) - np.repeat(ends - sizes - 1, sizes + 1)
-    before = np.concatenate([[EDGE, EDGE], last])
-    one = np.where(place >= 1, before[1:-1], EDGE)
-    two = np.where(place >= 2, before[:-2], EDGE)
-    return (two << 2 * BITS) | (one << BITS) | last, ends
+    # Two borders, the text and one border; the last two places of a text start no trigram of its own.
+    stops = np.cumsum(sizes + 3)
+    inside = np.ones(int(sizes.sum()) + 3 * len(texts), dtype=bool)
+    for place in (stops - sizes - 3, stops - sizes - 2, stops - 1):
+        inside[place] = False
+    line = np.full(len(inside), EDGE, dtype=np.int64)
+    line[inside] = np.frombuffer(joined, dtype=np.uint32)
+    grams = line[:-2] << 2 * BITS
+    grams |= line[1:-1] << BITS
+    grams |= line[2:]
+    inside[:] = True
+    for place in (stops - 2, stops - 1):
+        inside[place] = False
+    return grams[inside[:-2]], np.cumsum(sizes + 1)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows in text_slices(batch):
+        for rows in text_slices(batch, size=GRAM_SLICE):
             models = np.asarray(rows.column("model").to_pylist(), dtype=object)
             grams, ends = _grams(rows.column("text").to_pylist())
-            owner = np.repeat(np.arange(len(models)), np.diff(np.concatenate([[0], ends])))
+            sizes = np.diff(ends, prepend=0)
             for name in pd.unique(models):
-                found, n = np.unique(grams[(models == name)[owner]], return_counts=True)
+                found, n = np.unique(grams[np.repeat(models == name, sizes)], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(n)], names=["model", "gram", "n"]
                 )
@@ -79,7 +85,7 @@ _DISTINCT = ("h0", "h1", "m", "gram", "n")
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The different trigrams of every text with their counts."""
     for batch in batches:
-        for rows in text_slices(batch):
+        for rows in text_slices(batch, size=GRAM_SLICE):
             grams, ends = _grams(rows.column("text").to_pylist())
             parts = [np.unique(g, return_counts=True) for g in np.split(grams, ends[:-1])]
             repeats = [len(found) for found, _ in parts]

@@ -4,16 +4,18 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from modelwake.llm import mixing, packing, pii, quality, simhash, urls
-from modelwake.llm.common import Stages
+from modelwake.llm.common import ARROW_BYTES, Stages
 from tests.llm.conftest import hard_rows, words
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -141,6 +143,37 @@ def test_null_and_unknown_languages_keep_clean_documents(spark):
     assert {r.doc_id for r in quality.passing_quality(docs, labels).collect()} == {i for i in got if got[i].kept}
 
 
+def test_trigrams_of_a_large_batch_are_held_a_slice_at_a_time():
+    texts = [" ".join(words(i, 600)) for i in range(1500)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    steps = {quality._distinct: {"h0": ids, "h1": ids, "m": ids}, quality._counted: {"model": pa.array(["lang:en"] * len(texts))}}
+    for step, columns in steps.items():
+        batch = pa.RecordBatch.from_pydict(columns | {"text": pa.array(texts)})
+        tracemalloc.start()
+        total = sum(int(np.asarray(part.column("n")).sum()) for part in step(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert total == sum(len(t) + 1 for t in texts) and peak < 25e6
+
+
+def test_stored_tables_reach_python_in_batches_of_a_few_megabytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    stages, before = Stages(spark), spark.conf.get(ARROW_BYTES)
+    texts = spark.range(8000, numPartitions=1).selectExpr("repeat(cast(id % 10 AS string), 3000) AS text")
+    stored = stages.keep(texts.mapInArrow(sizes, "n long, bytes long")).collect()
+    assert sum(r.n for r in stored) == 8000 and max(r.bytes for r in stored) < 7e6
+    assert spark.conf.get(ARROW_BYTES) == before
+    try:
+        spark.conf.set(ARROW_BYTES, "1m")
+        assert max(r.bytes for r in stages.keep(texts.mapInArrow(sizes, "n long, bytes long")).collect()) < 1.2e6
+        assert spark.conf.get(ARROW_BYTES) == "1m"
+    finally:
+        spark.conf.unset(ARROW_BYTES)
+
+
 def test_mixing_meets_targets(spark, hard, empty):
     pick = random.Random(4)
     rows = []
