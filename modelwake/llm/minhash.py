@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwake.llm.common import Stages, hashed_words, linked_components, mix, small, text_slices, windows_hash
+from modelwake.llm.common import Stages, few, hashed_words, linked_components, mix, small, text_slices, windows_hash
 
 #: Permutations; each gives a minimum and a maximum, so a signature has twice as many values.
 PERMUTATIONS = 64
 #: Values of a signature that form one band.
 BAND_VALUES = 4
 BANDS = 2 * PERMUTATIONS // BAND_VALUES
+#: Pairs of shingle sets that one task compares.
+TASK_PAIRS = 1_000
 
 _GENERATOR = np.random.default_rng(20240607)
 _FACTORS = _GENERATOR.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,11 +148,12 @@ def _pairs_across(rows: DataFrame, set_of: Callable[[DataFrame], DataFrame], per
     c = (100 - percent) / (100 + percent)
     pivots = rows.groupBy("bucket").agg(F.max_by("node", F.struct("mass", "node")).alias("p"))
     near_p = stages.keep(rows.join(pivots, "bucket").select("p", F.col("node").alias("x"), "root").distinct())
-    sets = set_of(near_p.select(F.explode(F.array("p", "x")).alias("doc_id")).distinct())
+    pairs = near_p.count()
+    sets = set_of(few(near_p.select(F.explode(F.array("p", "x")).alias("doc_id")).distinct(), 2 * pairs))
     set_x = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("set_x"))
     set_p = sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("set_p"))
     both = near_p.select("p", "x").join(set_x, "x").join(set_p, "p").select("p", "x", "set_p", "set_x")
-    deltas = stages.keep(both.mapInArrow(_deltas, _DELTA))
+    deltas = stages.keep(few(both, pairs, TASK_PAIRS).mapInArrow(_deltas, _DELTA))
     g = F.col("d") - c * F.col("n")
     known = deltas.join(near_p, ["p", "x"]).select("p", "x", "root", "d", g.alias("g"), "elements")
     best = known.groupBy("p").agg(F.min_by(F.struct("x", "root"), F.struct("g", "x")).alias("best"))
@@ -197,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     schema = "doc_id long, n_shingles long, digest binary, bands array<long>, s0 long, s1 long"
     signed = stages.keep(texts.mapInArrow(_signed(width), schema))
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stages.keep(linkable.groupBy("digest").agg(F.min("doc_id").alias("node")))
+    classes = stages.keep(few(linkable.groupBy("digest").agg(F.min("doc_id").alias("node")), signed.count()))
     heads = linkable.withColumnRenamed("doc_id", "node").join(classes, ["digest", "node"], "left_semi")
     members = heads.select(
         F.explode("bands").alias("bucket"), "node", F.struct(F.col("n_shingles").alias("n"), "s0", "s1").alias("info")
@@ -214,18 +217,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return stages.keep(wanted.mapInArrow(_sets(width), "doc_id long, shingles binary"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        sets = set_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        n = pairs.count()
+        sets = set_of(few(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 2 * n))
         x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-        links = stages.keep(pairs.join(x, "a").join(y, "b").mapInArrow(_confirmed(percent), "a long, b long"))
+        both = few(pairs.join(x, "a").join(y, "b"), n, TASK_PAIRS)
+        links = stages.keep(both.mapInArrow(_confirmed(percent), "a long, b long"))
         stages.drop(sets)
-        return links.distinct()
+        return few(links.distinct(), links.count())
 
     def across(rows: DataFrame) -> DataFrame:
         return _pairs_across(rows, set_of, percent, stages)
 
     roots = linked_components(members, near, confirm, stages, across)
-    of_class = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("_root"))
+    of_class = classes.join(small(roots, roots.count()), "node", "left").select("digest", F.coalesce("root", "node").alias("_root"))
     judged = signed.join(of_class, "digest", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_root")).otherwise(F.col("doc_id"))
     return judged.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(

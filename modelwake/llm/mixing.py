@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwake.llm.common import Stages, small
+from modelwake.llm.common import Stages, few, small
 from modelwake.operators.ordered import running_totals
 
 #: Hash topics: the number of topics that long words vote for.
@@ -60,7 +60,7 @@ def _keyed(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(table.hint("merge"), "_key", "left")
 
 
-def margin_goals(cells: DataFrame, margin: str, named: Mapping[str, float] | None, size: float, stages: Stages) -> DataFrame:
+def margin_goals(cells: DataFrame, cell_rows: int, margin: str, named: Mapping[str, float] | None, size: float, stages: Stages) -> DataFrame:
     """_key and _want: the tokens that every category of ``margin`` gives to a mix of ``size`` tokens.
 
     Categories without a named share divide what is left over equally; if nothing is left
@@ -69,11 +69,10 @@ def margin_goals(cells: DataFrame, margin: str, named: Mapping[str, float] | Non
     in proportion to their shares. The common factor is found by Newton steps, one small sum
     each; a step that does not end the search fills up at least one more category.
     """
-    spark = cells.sparkSession
-    rows = spark.createDataFrame([(f"={k}", float(v)) for k, v in (named or {}).items()], "_name string, share double")
+    # Cases instead of a table from Python rows, for which every executor would start more Python workers.
+    cases = [F.when(F.col("_key") == f"={k}", F.lit(float(v))) for k, v in (named or {}).items()]
     held = cells.groupBy(_key(margin).alias("_key")).agg(F.sum("tokens").cast("double").alias("have")).where("have > 0")
-    # As many rows as shares were named.
-    joined = stages.keep(held.join(F.broadcast(rows), held["_key"] == rows["_name"], "left").drop("_name"))
+    joined = stages.keep(few(held.withColumn("share", F.coalesce(*cases, F.lit(None).cast("double"))), cell_rows))
     total, named_sum, open_n, open_have = joined.agg(
         F.sum("have"), F.coalesce(F.sum("share"), F.lit(0.0)), F.count_if(F.col("share").isNull()), F.coalesce(F.sum(F.when(F.col("share").isNull(), F.col("have"))), F.lit(0.0))
     ).first()
@@ -122,12 +121,12 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], b
     if not total:
         none = cells.sparkSession.createDataFrame([], "margin string, category string, want double, got double")
         return cells.withColumn("weight", F.lit(0.0)), none
-    goals = {m: margin_goals(cells, m, targets.get(m), size, stages) for m in MARGINS}
+    cell_rows = cells.count()
+    goals = {m: margin_goals(cells, cell_rows, m, targets.get(m), size, stages) for m in MARGINS}
     # _x: the weight before the limit.
     now = stages.keep(cells.withColumn("_x", F.col("tokens") * F.lit(float(budget))))
     tokens = F.col("tokens").cast("double")
     limited = F.least(tokens, F.col("_x"))
-    cell_rows = now.count()
 
     def factors(margin: str) -> DataFrame:
         """_key, _factor and _off, by which the category missed its goal before."""
@@ -151,11 +150,12 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], b
     while len(worst) < ROUNDS:
         scales = []
         for margin in MARGINS:
-            scale = stages.keep(factors(margin))
+            scale = stages.keep(few(factors(margin), cell_rows))
             scales.append(scale)
             moved = _keyed(now.withColumn("_key", _key(margin)), scale.drop("_off")).withColumn("_x", F.col("_x") * F.col("_factor"))
             # Categories without tokens have no goal and no factor.
-            after = stages.keep(moved.select(*cells.columns, F.least(F.coalesce("_x", F.lit(0.0)), tokens * FULL).alias("_x")))
+            moved = moved.select(*cells.columns, F.least(F.coalesce("_x", F.lit(0.0)), tokens * FULL).alias("_x"))
+            after = stages.keep(few(moved, cell_rows))
             stages.drop(now)
             now = after
         off = reduce(DataFrame.unionByName, [scale.select("_off") for scale in scales])
@@ -167,7 +167,7 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], b
     for margin in MARGINS:
         summed = now.groupBy(_key(margin).alias("_key")).agg(F.first(margin).cast("string").alias("category"), F.sum(limited).alias("got"))
         gaps.append(_keyed(summed, goals[margin]).select(F.lit(margin).alias("margin"), "category", F.coalesce("_want", F.lit(0.0)).alias("want"), "got"))
-    return now.select(*cells.columns, limited.alias("weight")), stages.keep(reduce(DataFrame.unionByName, gaps))
+    return now.select(*cells.columns, limited.alias("weight")), reduce(DataFrame.unionByName, gaps)
 
 
 #: Shares of languages and sources of the mix as it is produced here: sources and topics alike.
@@ -190,7 +190,8 @@ def _chance(doc_id: Column) -> Column:
 
 
 def _calibrated(measured: DataFrame, targets, budget: float, stages: Stages) -> tuple[DataFrame, int]:
-    cells = stages.keep(measured.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
+    # ``measured`` is stored.
+    cells = stages.keep(few(measured.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), measured.count()))
     weights, _ = raked(cells, targets, budget, stages)
     chances = stages.keep(
         weights.select(

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwake.llm.common import Stages, small, text_slices
+from modelwake.llm.common import Stages, few, small, text_slices
 
 #: A trigram is three code points of 21 bits in one long; EDGE, past the last one, is the border of a text.
 BITS = 21
@@ -94,10 +94,10 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(_DISTINCT))
 
 
-def _discounted(counts: DataFrame, order: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
+def _discounted(counts: DataFrame, rows: int, order: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """Per n-gram its discounted share of its context, and per context the weight left for the lower order.
 
-    ``counts``: model, gram, n. Counts of counts give the three discounts of each model;
+    ``counts``: model, gram, n, of at most ``rows`` rows. Counts of counts give the three discounts of each model;
     sums by context meet the n-grams in an equi-join over hash shards.
     """
     parts = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
@@ -109,7 +109,7 @@ def _discounted(counts: DataFrame, order: int, stages: Stages) -> tuple[DataFram
         full = F.lit(k) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
         return F.least(F.greatest(F.coalesce(full, F.lit(k / 2)), F.lit(0.05)), F.lit(float(k) - 0.05)).alias(f"d{k}")
 
-    of = stages.keep(of.select("model", *[discount(k) for k in (1, 2, 3)]))
+    of = stages.keep(few(of.select("model", *[discount(k) for k in (1, 2, 3)]), rows))
     context = F.shiftright("gram", BITS) if order > 1 else F.lit(0).cast("long")
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     rich = counts.join(small(of, of.count()), "model").select("model", "gram", context.alias("context"), "n", d.alias("d"))
@@ -135,7 +135,7 @@ class LanguageModel:
 
     def _kind(self, kind: str, key: str) -> DataFrame:
         part = self.tables.where(F.col("kind") == kind).select("model", F.col("gram").alias(key), F.col("value").alias(kind))
-        return small(part, self.rows)
+        return small(part, self.rows, read=True)
 
     def prices(self, grams: DataFrame) -> DataFrame:
         """-log P(c | a, b) of every row of ``grams`` (model, gram), seen or not."""
@@ -185,7 +185,9 @@ def train(trusted: DataFrame, stages: Stages) -> LanguageModel:
     named = trusted.where("text <> ''").select(F.coalesce(model_name(), F.lit(POOLED)).alias("model"), "text")
     counted = stages.keep(named.mapInArrow(_counted, "model string, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n")))
     pooled = counted.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("model"), "gram", "n")
-    counts = stages.keep(counted.where(F.col("model") != POOLED).unionByName(pooled))
+    # Every trigram counted gives itself and a pooled one at most.
+    counts = stages.keep(few(counted.where(F.col("model") != POOLED).unionByName(pooled), 2 * counted.count()))
+    rows = counts.count()
 
     def lower(df: DataFrame, order: int) -> DataFrame:
         """Continuation counts: in how many different characters' company the shorter n-gram ends a longer one."""
@@ -194,8 +196,8 @@ def train(trusted: DataFrame, stages: Stages) -> LanguageModel:
     two = lower(counts, 2)
     tables = None
     for order, table in ((3, counts), (2, two), (1, lower(two, 1))):
-        for kind, part in zip(("share", "weight"), _discounted(table, order, stages), strict=True):
-            part = part.select("model", F.lit(f"{kind}{order}").alias("kind"), "gram", "value")
+        for kind, part in zip(("share", "weight"), _discounted(table, rows, order, stages), strict=True):
+            part = few(part.select("model", F.lit(f"{kind}{order}").alias("kind"), "gram", "value"), rows)
             tables = part if tables is None else tables.unionByName(part)
     model = LanguageModel(stages.keep(tables))
     stages.drop(counted, counts)
@@ -235,9 +237,11 @@ class QualityClassifier:
         def median(x: Column) -> Column:
             return F.percentile_approx(x, F.lit(0.5), F.lit(10_000))
 
-        middle = self.stages.keep(judged.groupBy(*by).agg(median(F.col(value)).alias("middle"), F.count("*").alias("n")))
+        middle = judged.groupBy(*by).agg(median(F.col(value)).alias("middle"), F.count("*").alias("n"))
+        rows = judged.count()
+        middle = self.stages.keep(few(middle, rows))
         away = judged.join(small(middle, middle.count()), by).groupBy(*by, "middle", "n").agg(median(F.abs(F.col(value) - F.col("middle"))).alias("away"))
-        return away.withColumn("most", F.col("middle") + deviations * 1.4826 * F.col("away"))
+        return few(away.withColumn("most", F.col("middle") + deviations * 1.4826 * F.col("away")), rows)
 
     def _keyed(self, docs: DataFrame, pooled: bool = False) -> DataFrame:
         """``docs`` with a digest of the text (h0, h1), the name of its model and a number of that (m)."""
@@ -303,7 +307,7 @@ class QualityClassifier:
 
     def _rejected(self, docs: DataFrame) -> DataFrame:
         rows = self._limited(docs.where("text <> ''").select("lang", "text"))
-        return rows.where("NOT kept").select("h0", "h1", "m").distinct()
+        return few(rows.where("NOT kept").select("h0", "h1", "m").distinct(), self.scored.count())
 
 
 def judged_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modelwake.llm import exact, lines, minhash, suffixes
-from modelwake.llm.common import Stages
+from modelwake.llm.common import Stages, components
 from modelwake.session import scratch_path
 from tests.llm.conftest import hard_rows, words
 
@@ -68,6 +68,58 @@ def test_near_duplicates_hard_rows(hard, empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.without_near_duplicates(empty).count() == 0
 
 
+def test_small_tables_are_not_written_by_every_shuffle_partition(spark, monkeypatch):
+    """Where nothing merges small partitions, the tables of every round follow their counted rows."""
+    from modelwake.llm import mixing
+
+    files, keep = [], Stages.keep
+
+    def counted(self, df):
+        stored = keep(self, df)
+        files.append(len(stored.inputFiles()))
+        return stored
+
+    monkeypatch.setattr(Stages, "keep", counted)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in settings}
+    pick = random.Random(8)
+    edges = [(pick.randrange(400), pick.randrange(400)) for _ in range(250)]
+    cells = [(s, g, t, pick.randrange(200, 3000)) for s in "abcdefghij" for g in ("en", "de", None) for t in ("t0", "t1", "t2")]
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Stages(spark)).collect()}
+        assert len(files) > 3 and max(files) == 1
+        files.clear()
+        frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+        mixing.raked(frame.coalesce(1), {"source": None, "lang": {"en": 0.6}, "topic": None}, 0.5, Stages(spark))
+        assert len(files) > 9 and max(files) == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    root = {i: i for edge in edges for i in edge}
+    while any(root[a] != root[b] for a, b in edges):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {i for a, b in edges if a != b for i in (a, b)}
+    assert got == {i: root[i] for i in linked}
+
+
+def test_named_shares_start_no_python(spark):
+    """A table made from Python rows would start Python workers of its own in every executor."""
+    from modelwake.llm import mixing
+
+    cells = spark.sql("SELECT 's' AS source, lang, 't' AS topic, 100L AS tokens FROM VALUES ('en'), ('de'), (NULL) AS v(lang)")
+    create, made = type(spark).createDataFrame, []
+    try:
+        type(spark).createDataFrame = lambda self, *a, **b: made.append(a) or create(self, *a, **b)
+        goals = mixing.margin_goals(cells, 3, "lang", {"en": 0.5, "xx": 0.1}, 150.0, Stages(spark)).collect()
+    finally:
+        type(spark).createDataFrame = create
+    assert not made
+    assert {r["_key"]: round(r["_want"], 6) for r in goals} == {"=en": 83.333333, "=de": 33.333333, "": 33.333333}
+
+
 def test_stored_stages_leave_no_shuffle_files(spark):
     """In shuffle files of the session: a stored table must not leave its own until the driver collects garbage."""
     import time
