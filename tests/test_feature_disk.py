@@ -80,6 +80,17 @@ def test_churn_features_keep_only_the_tables_that_are_read(spark, frame, shop):
     assert len([x for x in exchanges(table) if "REPARTITION_BY_NUM" in x]) == 1
 
 
+def test_item_sales_features_keep_only_the_tables_that_are_read(spark, frame, shop):
+    txns, articles, customers = shop
+    labels = frame([(a, t, 1.0) for a in (10, 12, 55, None) for t in (TS, TS - 28 * DAY)], "article_id long, timestamp timestamp_ntz, sales double")
+    before = folders(spark)
+    table = P.item_sales_features(labels, txns, articles, customers, rows=1000)
+    assert table.count() == 8
+    assert folders(spark) - before == read_by(table)
+    # Labels and sales are dealt out by label as they are: no partial sums, which have a column per week and figure.
+    assert len(exchanges(table)) == 2
+
+
 def test_weekly_aggregates_leave_the_grain_to_its_owner(spark, frame, shop):
     txns, articles, _ = shop
     labels = frame([(1, TS)], "customer_id long, timestamp timestamp_ntz")
@@ -121,7 +132,7 @@ def test_labels_are_made_without_moving_them(spark, tmp_path):
     start, end = datetime(1996, 1, 1), datetime(2001, 1, 1)
     days = [start + rng.randint(-40, 1900) * DAY for _ in range(60)] + [start, start + 6 * DAY, start + 7 * DAY, end + 3 * DAY, None]
     orders = [(i, rng.choice([1, 2, 3, None]), d) for i, d in enumerate(days)]
-    lines = [(0, 7, 1.0, "R")]
+    lines = [(rng.randrange(len(days)), rng.choice([7, 8, 9, None]), rng.choice([1.0, 2.5, None]), "R") for _ in range(150)]
     write(spark, tmp_path, orders, lines)
     times = [start + 28 * i * DAY for i in range((end - start).days // 28 + 1)]
 
@@ -134,3 +145,16 @@ def test_labels_are_made_without_moving_them(spark, tmp_path):
     assert len(got) == len(expected) and {(c, t): x for c, t, x in got} == expected
     assert 0 in expected.values()
     assert len(exchanges(churn)) == 1
+
+    sales = tables.item_sales_labels(spark, str(tmp_path))
+    day = {o[0]: o[2] for o in orders}
+    expected = {
+        (a, t): sum(x[2] or 0.0 for x in lines if a is not None and x[1] == a and day[x[0]] and t <= day[x[0]] < t + 7 * DAY)
+        for a in {x[1] for x in lines} for t in times
+    }
+    got = [(r.article_id, r.timestamp, r.sales) for r in sales.collect()]
+    assert len(got) == len(expected)
+    assert {(a, t): x for a, t, x in got} == pytest.approx(expected)
+    plan = sales._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate")
+    assert "LeftOuter" not in plan
