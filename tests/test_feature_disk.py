@@ -91,6 +91,19 @@ def test_item_sales_features_keep_only_the_tables_that_are_read(spark, frame, sh
     assert len(exchanges(table)) == 2
 
 
+def test_week_buckets_keep_only_the_tables_that_are_read(spark, frame, shop):
+    txns, articles, _ = shop
+    labels = frame([(c, t) for c in (1, 2, None) for t in (TS, TS - 28 * DAY)], "customer_id long, timestamp timestamp_ntz")
+    before = folders(spark)
+    grain = P.stored_grain(txns)
+    table = P.week_buckets(labels, grain, articles, 1000, tidy=True)
+    got = {(r.customer_id, r.timestamp): r for r in table.collect()}
+    assert folders(spark) - before == read_by(table)
+    plain = P.week_buckets(labels, P.stored_grain(txns), articles, 1000)
+    assert got == {(r.customer_id, r.timestamp): r for r in plain.collect()}
+    assert len(got) == 6
+
+
 def test_weekly_aggregates_leave_the_grain_to_its_owner(spark, frame, shop):
     txns, articles, _ = shop
     labels = frame([(1, TS)], "customer_id long, timestamp timestamp_ntz")
